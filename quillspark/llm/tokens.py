@@ -12,10 +12,13 @@ document in the whole corpus is its offset plus the prefix sum of the partitions
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,72 +26,79 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words a worker remembers; at about 200 bytes each this bounds the memory of the cache.
-CACHE_WORDS = 700_000
-#: Characters encoded at once.
-SLICE_CHARS = 2_000_000
+CACHE_WORDS = 1_000_000
 NULL_KEY = -(2**63)
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-class WordEncoder:
-    """Encodes texts word by word through a cache; equals encoding whole texts.
+#: Letters of the words that go to the model without the library's normalizer: their lower case
+#: is one letter of the same range, and none combines with another one.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+#: Fixed value: the pre-token pattern of the word-level files, for lower-case words of that range.
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
 
-    It is for tokenizers whose pre-tokenizer never joins characters across a space and
-    whose normalizer treats words alone, as the word-level BPE files do. Words are split at
-    spaces and line feeds only; any other white space stays inside a word for the library.
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordEncoder(dict):
+    """Ids of words as little-endian bytes; a word is encoded when it is first asked for.
+
+    It is for tokenizers whose pre-tokenizer never joins characters across a space and whose
+    normalizer treats words alone, as the word-level BPE files do, so encoding word by word
+    equals encoding whole texts. Words are split at spaces and line feeds only; any other
+    white space stays inside a word for the library. Words of plain letters, digits and marks
+    go straight to the library's BPE model, others through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = "H" if self.model.get_vocab_size() <= 1 << 16 else "I"
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.whole.model
+        self.kind = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [array(self.kind, e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> None:
-        """ASCII words are looked up in lower case and without one trailing mark: both parts
-        are pre-tokens of their own."""
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words = {"": b""}
-        plan: dict[str, tuple[str, str]] = {}
-        for w in missing:
-            base, tail = w, ""
-            if w.isascii():
-                base = w.lower()
-                if len(base) > 1 and base[-1] in ",." and base[-2].isalnum():
-                    base, tail = base[:-1], base[-1]
-            plan[w] = (base, tail)
-        need = list({x for pair in plan.values() for x in pair} - self.words.keys())
-        self.words.update(zip(need, self._library(need), strict=True))
-        words = self.words
-        for w, (base, tail) in plan.items():
-            words[w] = words[base] + words[tail]
+        self.bytes_as = _byte_letters()
+        spec = json.loads(Path(path).read_text())
+        self.plain = (
+            [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and "'s|'t|'re|'ve|'m|'ll|'d|" in json.dumps(spec["pre_tokenizer"])
+        )
+        self[""] = b""
+
+    def _piece(self, pre: str) -> bytes:
+        if not pre.isascii():
+            pre = pre.encode().decode("latin-1").translate(self.bytes_as)
+        return array(self.kind, [t.id for t in self.model.tokenize(pre)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+            self[""] = b""
+        if not self.plain or not _PLAIN.fullmatch(word):
+            ids = array(self.kind, self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            low = word.lower()
+            if low != word and low in self:
+                ids = self[low]
+            elif low.isalpha():
+                ids = self._piece(low)
+            else:
+                ids = b"".join([self.get(pre) or self._piece(pre) for pre in _PRE_TOKENS.findall(low)])
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size < SLICE_CHARS):
-                size += len(texts[j] or "")
-                j += 1
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[i:j]]
-            missing = set().union(*split) - self.words.keys()
-            if missing:
-                self._learn(missing)
-                if len(missing) and any(w not in self.words for w in set().union(*split)):
-                    self._learn(set().union(*split))  # the cache was emptied meanwhile
-            words = self.words
-            out += [b"".join([words[w] for w in s]) for s in split]
-            i = j
-        return out
+        of = self.__getitem__
+        return [b"".join(map(of, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 def encoder(path: str) -> WordEncoder:
