@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import packing, tokens
+from quillspark.llm import imatch, langid, mixing, packing, repeats, secrets, simhash, tokens
 from quillspark.session import Scratch, ship_package, table
 
 
@@ -34,9 +35,45 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op6")).drop("kept")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs, langid.public_pieces(public_tokenizer("piece_bpe_32k.model"))))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+
+
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
+    "op6_exact_repeats": op6_exact_repeats,
+    "op8_language_id": op8_language_id,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_imatch": op10_imatch,
 }
 
 ORACLE_SQL: dict[str, str] = {}
