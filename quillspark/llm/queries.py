@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import imatch, langid, mixing, packing, repeats, secrets, simhash, tokens
+from quillspark.llm import html_style, imatch, langid, mixing, neighbours, packing, repeats, secrets, simhash, tokens
 from quillspark.session import Scratch, ship_package, table
 
 
@@ -28,6 +28,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, manifest, uri).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op2"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return packing.pack(
@@ -50,6 +55,11 @@ def op6_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op6")).drop("kept")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return html_style.main_text(table(spark, sf_dir, "pages"), Scratch(spark, "op7"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = table(spark, sf_dir, "documents")
@@ -67,10 +77,12 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_exact_repeats": op6_exact_repeats,
+    "op7_main_text": op7_main_text,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_imatch": op10_imatch,
