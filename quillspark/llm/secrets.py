@@ -150,7 +150,8 @@ def scan(
 
 
 def redact(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """The documents with every live-looking secret replaced by a mask; all rows stay.
+    """The documents with every live-looking secret replaced by a mask; all rows stay, and
+    ``n_chars``, where there is one, follows the text.
 
     Each row's own text is cut at its spans, merged where they overlap. The spans reach their
     row by key and text hash; equal rows have equal spans.
@@ -172,7 +173,10 @@ def redact(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
     )
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
     out = docs.join(hit, same, "left")
-    return out.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(merged)).select(*cols)
+    out = out.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(merged))
+    if "n_chars" in cols:
+        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast("long")))
+    return out.select(*cols)
 
 
 __all__ = ["EXAMPLE_OWNERS", "KINDS", "candidates", "redact", "scan"]
