@@ -14,6 +14,7 @@ LOW, HIGH = 0.002, 0.25
 #: Scales of lexicon subsets: of so many random parts of the lexicon, PER_SCALE are used. Fine
 #: parts suit long documents, coarse ones short documents.
 SCALES, PER_SCALE = (16, 64, 256, 1024), 16
+NULL_KEY = -(2**63)
 _SPACE = "\t\n\u000b\u000c\r"
 
 
@@ -84,8 +85,7 @@ def _in_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     ranges = 4 * n
@@ -105,14 +105,15 @@ def _in_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo"))
     halo = F.struct(targets[F.col("bucket")].alias("bucket"), F.lit(True).alias("halo"))
     places = F.when(F.col("key") == firsts[F.col("bucket")], F.array(own, halo)).otherwise(F.array(own))
-    return rows.select("doc_id", "key", "text", F.explode(places).alias("at")).select("doc_id", "key", "text", "at.bucket", "at.halo").repartition(n, "bucket")
+    return rows.select("key", "text", F.explode(places).alias("at")).select("key", "text", "at.bucket", "at.halo").repartition(n, "bucket")
 
 
 def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     The edited text has its last half replaced by the start of the next document's, in
-    descending order of the key. Texts move once; everything after that stays in the task
+    descending order of the key. Texts move once, in an exchange that the plan's two branches share
+    (both read the same columns of it); everything after that stays in the task
     that holds the range. A null text counts as empty; null keys come last; equal keys are
     ordered by text; texts without a lexicon term have the hash of the text as fingerprint and
     are alike only if equal; an empty table gives no rows; other columns are ignored.
@@ -141,7 +142,7 @@ def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_c
     by_row = Window.partitionBy("bucket").orderBy("rn")
     out = (
         rows.select(
-            "bucket", "rn", "halo", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+            "bucket", "rn", "halo", F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
             F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("whole_edited"),
         )
         .join(fps, ["bucket", "rn"], "left")
