@@ -108,7 +108,8 @@ def snippet(pieces: list[Column], terms: list[str], radius: int = 80) -> Column:
         a = F.greatest(F.lit(1), start - radius)
         b = F.least(F.length(piece) + 1, start + length + radius)
         cut = F.trim(F.substring(piece, a, b - a))
-        return F.concat(F.when(a > 1, "…").otherwise(""), cut, F.when(b <= F.length(piece), "…").otherwise(""))
+        whole = F.concat(F.when(a > 1, "…").otherwise(""), cut, F.when(b <= F.length(piece), "…").otherwise(""))
+        return F.when(start.isNotNull(), whole)
 
     return F.coalesce(*[around(p) for p in pieces])
 

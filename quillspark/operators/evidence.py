@@ -20,7 +20,7 @@ def risk_rank(judgement: Column) -> Column:
 def study_label(authors: Column, date: Column, title: Column, eid: Column) -> Column:
     first = F.nullif(F.substring_index(F.trim(F.try_element_at(authors, F.lit(1))), " ", 1), F.lit(""))
     year = N.year_of(date).cast("string")
-    return F.coalesce(F.when(first.isNotNull(), F.concat(first, F.lit(" "), F.coalesce(year, F.lit("(year not stated)")))), M.clip(title, 48), eid)
+    return F.coalesce(F.when(first.isNotNull(), F.concat(first, F.lit(" "), F.coalesce(year, F.lit("(year not stated)")))), M.clip(title, 48), eid.cast("string"))
 
 
 def evidence_rows(records: DataFrame, extractions: DataFrame, appraisals: DataFrame) -> DataFrame:

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Composite plans and the catalog of queries."""
