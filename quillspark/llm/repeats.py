@@ -30,9 +30,11 @@ from quillspark.session import Scratch
 
 K = 24
 #: Contexts of one anchor that one task compares; anchors with more go window by window.
-CROWD = 50_000
+CROWD = 8_000
+#: Contexts whose suffixes are sorted at once, where their groups allow.
+SORTED = 2_500
 #: Bytes of text handled at once.
-SLICE = 3_000_000
+SLICE = 2_000_000
 _POS = np.uint64((1 << 23) - 1)
 NULL_KEY = -(2**63)
 ANCHORS = "h long, ctx long, doc long, start int, span int, part int, row int"
@@ -316,29 +318,31 @@ def _tree_scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             names=["part", "row", "start", "end"],
         )
 
+    def cover_all(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h = t["h"].to_numpy()
+        at = 0
+        while at < len(h):
+            to = len(h) if len(h) - at <= 2 * SORTED else int(np.searchsorted(h, h[at + SORTED]))
+            if to <= at:
+                to = int(np.searchsorted(h, h[at], side="right"))
+            yield covers(t.slice(at, to - at))
+            at = to
+
     held: list[pa.RecordBatch] = []
     many = 0
     for batch in batches:
-        if many > 8_000:  # cut before the last anchor of what is held: its group may go on
+        if many > SORTED:  # cut before the last anchor of what is held: its group may go on
             t = pa.Table.from_batches(held)
             h = t["h"].to_numpy()
             cut = int(np.searchsorted(h, h[-1]))
             if cut:
-                yield covers(t.slice(0, cut))
+                yield from cover_all(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
                 many = len(h) - cut
         held.append(batch)
         many += batch.num_rows
     if held:
-        t = pa.Table.from_batches(held)
-        h = t["h"].to_numpy()
-        at = 0
-        while at < len(h):
-            to = len(h) if len(h) - at <= 12_000 else int(np.searchsorted(h, h[min(at + 12_000, len(h) - 1)]))
-            if to <= at:
-                to = int(np.searchsorted(h, h[at], side="right"))
-            yield covers(t.slice(at, to - at))
-            at = to
+        yield from cover_all(pa.Table.from_batches(held))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
