@@ -312,7 +312,12 @@ def _tree_scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         if not got:
             piece = start = end = np.empty(0, dtype=np.int64)
         else:
+            # Nested intervals cover the same bytes again and again: one row per stretch of a context.
             piece, start, end = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), np.concatenate(ends)
+            wide = int(end.max()) + 1
+            order = np.argsort(piece * wide + start, kind="stable")
+            low, high = _merged((piece * wide + start)[order], (piece * wide + end)[order])
+            piece, start, end = low // wide, low % wide, high - low // wide * wide
         return pa.RecordBatch.from_arrays(
             [pa.array(part[piece]), pa.array(row[piece]), pa.array((begin[piece] + start).astype(np.int32)), pa.array((begin[piece] + end).astype(np.int32))],
             names=["part", "row", "start", "end"],
