@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.session import Scratch
 
-#: Parts of the hash order of a leaf: only the part where the budget ends is ordered row by row.
-SLICES = 1024
+#: Hexadecimal digits that name a slice of a leaf's hash order (4096 slices with three): only the
+#: slice where the budget ends is ordered row by row.
+DIGITS = 3
 _SPACE = " \t\n\u000b\u000c\r"
 
 
@@ -101,8 +102,8 @@ def mix(
         "plan",
     )
     # A row per leaf: a few hundred, however many documents; joined by key, not broadcast by force.
-    keyed = rows.join(plan, leaf).withColumn("h", F.xxhash64(F.lit(seed), F.col("passes"), F.col("doc_id"), F.col("n_tokens")))
-    keyed = keyed.withColumn("slice", F.shiftrightunsigned("h", 54).cast("int"))
+    keyed = rows.join(plan, leaf).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "passes", "doc_id", "n_tokens")))
+    keyed = keyed.withColumn("slice", F.substring("h", 1, DIGITS))
     sums = keyed.groupBy(*leaf, "slice").agg(F.sum("n_tokens").alias("in_slice"))
     before = Window.partitionBy(*leaf).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("in_slice").over(before), F.lit(0)))

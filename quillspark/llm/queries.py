@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import html_style, imatch, langid, mixing, neighbours, packing, repeats, secrets, simhash, tokens
+from quillspark.llm.oracles import ORACLE_SQL
 from quillspark.session import Scratch, ship_package, table
 
 
@@ -88,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_imatch": op10_imatch,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "public_tokenizer"]

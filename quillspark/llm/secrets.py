@@ -17,8 +17,8 @@ PATTERNS = {
 }
 GROUPS = {"assign": 2, "access": 0, "hex": 0}
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Candidates without a keyword or prefix: long runs that mix letters and digits.
-GENERIC = r"\b(?=[A-Za-z+/_-]{0,24}[0-9])(?=[0-9+/_-]{0,24}[A-Za-z])[A-Za-z0-9+/_-]{24,}"
+#: Candidates without a keyword or prefix: long runs that have both letters and digits.
+GENERIC = "[A-Za-z0-9+/_-]{24,}"
 #: A value that this many owners or more share is a copied example, not somebody's secret.
 EXAMPLE_OWNERS = 3
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
@@ -42,12 +42,15 @@ def _spans(parts: Column, kind: str, order: int) -> Column:
         match = F.substring_index(part, _CLOSE, 1)
         value = F.regexp_extract(match, pattern, group) if group else match
         end = acc["at"] + F.char_length(match)
+        good = F.char_length(value) >= least
+        if kind not in PATTERNS:
+            good = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
         found = F.struct(
             acc["at"].alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")
         )
         return F.struct(
             (acc["at"] + F.char_length(part) - 1).alias("at"),
-            F.when(F.char_length(value) >= least, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"),
+            F.when(good, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"),
         )
 
     none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string,value:string>>)")
@@ -102,7 +105,7 @@ def scan(
     owner of its own. Every candidate's hash is counted by distinct repositories and owners
     (pairs first, so a value in a third of all rows is combined before it moves). A value of
     ``EXAMPLE_OWNERS`` owners or more is a widely copied example, others look live. Spans by
-    pattern stay whatever their class; long mixed runs without keyword are added where they
+    pattern stay whatever their class; long runs of letters and digits without a keyword are added where they
     look live and overlap no other span.
 
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example,
