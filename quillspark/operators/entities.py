@@ -46,8 +46,7 @@ def lookup(probes: DataFrame, records: DataFrame) -> DataFrame:
 def fuzzy_lookup(probes: DataFrame, library: DataFrame) -> DataFrame:
     """Library entry of each probe: file digest, DOI, PMID, PMCID, else the most similar title.
 
-    Titles are compared within bands of length, which lose no pair: a ratio r needs lengths whose
-    smaller is at least r / (2 - r) of the larger. ``position`` decides between equal ratios.
+    ``position`` decides between equal ratios.
     """
     exact = None
     for prec, (scheme, rule) in enumerate({"sha256": lambda c: c, "doi": N.library_doi, "pmid": N.norm_pmid, "pmcid": N.norm_pmcid}.items()):
@@ -57,19 +56,18 @@ def fuzzy_lookup(probes: DataFrame, library: DataFrame) -> DataFrame:
     left = probes.join(exact.select("probe_id"), "probe_id", "left_anti")
     a = left.select("probe_id", N.normalize_title(F.col("title")).alias("t")).filter(F.length("t") >= LEAST_TITLE)
     b = library.select("entry_id", "position", N.normalize_title(F.col("title")).alias("u")).filter(F.length("u") >= LEAST_TITLE)
-    pairs = length_band_pairs(a, b, "t", "u", LIBRARY_MATCH)
-    close = pairs.withColumn("ratio", T.ratio(F.col("t"), F.col("u"), autojunk=False)).filter(F.col("ratio") >= LIBRARY_MATCH)
+    near = similar_candidates(a, b, "t", "u", LIBRARY_MATCH).withColumn("ratio", T.ratio(F.col("t"), F.col("u"), autojunk=False))
+    same = a.select("t").distinct().withColumn("u", F.col("t")).withColumn("ratio", F.lit(1.0))
+    close = near.filter(F.col("ratio") >= LIBRARY_MATCH).unionByName(same).join(a, "t").join(b, "u")
     every = exact.unionByName(close.select("probe_id", "entry_id", F.lit(4).alias("prec"), "ratio", "position"))
     return every.groupBy("probe_id").agg(F.min_by(F.struct("entry_id", "prec", "ratio"), F.struct("prec", -F.col("ratio"), "position")).alias("m")).select("probe_id", "m.*")
 
 
-def length_band_pairs(a: DataFrame, b: DataFrame, left: str, right: str, ratio: float, width: int = 8) -> DataFrame:
-    """Pairs that can reach a ratio by their lengths, by an equi-join on length bands.
+GRAM = 4
 
-    A ratio of at least r needs 2 * shorter / (both) >= r; characters are compared as well: the
-    letters that two strings share bound their matching blocks, so pairs are cut before any ratio is
-    computed.
-    """
+
+def length_band_pairs(a: DataFrame, b: DataFrame, left: str, right: str, ratio: float, width: int = 8) -> DataFrame:
+    """Pairs that can reach a ratio by their lengths, by an equi-join on length bands."""
     low = ratio / (2 - ratio)
     bands = F.sequence(F.floor(F.ceil(F.length(right) * low) / width), F.floor(F.floor(F.length(right) / low) / width))
     x = a.withColumn("_band", F.floor(F.length(left) / width))
@@ -78,6 +76,46 @@ def length_band_pairs(a: DataFrame, b: DataFrame, left: str, right: str, ratio:
     return x.join(y, "_band").filter(fits).drop("_band")
 
 
+def similar_candidates(a: DataFrame, b: DataFrame, left: str, right: str, ratio: float) -> DataFrame:
+    """Distinct strings of two frames that may reach a matching-blocks ratio; no pair is lost.
+
+    At a ratio r at most (1 - r)(m + n) characters of two strings are unmatched, and each spoils at
+    most GRAM grams of the other, so with d = (1 - r) * 2 / r * m the strings share a gram among
+    the GRAM * d + 1 rarest grams of each. Only these are joined. Strings too short for the bound are
+    compared within length bands.
+    """
+    x, y = a.select(F.col(left).alias("s")).distinct(), b.select(F.col(right).alias("s")).distinct()
+
+    def of(c: str) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - GRAM + 1))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(c), i, F.lit(GRAM))))
+
+    def grams(side: DataFrame) -> DataFrame:
+        out = side.withColumn("_g", of("s")).withColumn("_k", GRAM * F.floor((1 - ratio) * 2 / ratio * F.length("s")) + 1)
+        return out.withColumn("_short", F.size("_g") < F.col("_k"))
+
+    gx, gy = grams(x), grams(y)
+    each = lambda g: g.filter("not _short").select("s", "_k", F.explode("_g").alias("g"))
+    ex, ey = each(gx), each(gy)
+    df = ex.select("g").unionByName(ey.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy("s").orderBy("df", "g")
+
+    def prefix(e: DataFrame, name: str) -> DataFrame:
+        return e.join(df, "g").withColumn("_n", F.row_number().over(rare)).filter("_n <= _k").select("g", F.col("s").alias(name))
+
+    fits = 2 * F.least(F.length(left), F.length(right)) >= ratio * (F.length(left) + F.length(right))
+    long = prefix(ex, left).join(prefix(ey, right), "g").filter(fits & (F.col(left) != F.col(right))).select(left, right).distinct()
+    # All grams of the pair must agree as far as its own bound asks; that spares most ratios.
+    spoiled = GRAM * F.floor((1 - ratio) * (F.length(left) + F.length(right)))
+    shared = F.size(F.array_intersect(of(left), of(right)))
+    long = long.filter(shared >= F.greatest(F.size(of(left)), F.size(of(right))) - spoiled)
+    sx, sy = gx.filter("_short").select(F.col("s").alias(left)), gy.filter("_short").select(F.col("s").alias(right))
+    rest = length_band_pairs(sx, y.select(F.col("s").alias(right)), left, right, ratio).unionByName(
+        length_band_pairs(gx.filter("not _short").select(F.col("s").alias(left)), sy, left, right, ratio)
+    )
+    return long.unionByName(rest.filter(F.col(left) != F.col(right)))
+
+
 def may_merge(exact: bool) -> Column:
     """Whether pair columns ``x`` and ``y`` (structs) may be one study: reason of refusal, or null."""
     x, y = F.col("x"), F.col("y")
@@ -86,15 +124,17 @@ def may_merge(exact: bool) -> Column:
     return out if exact else out.when(F.coalesce(x["is_preprint"], F.lit(False)) != F.coalesce(y["is_preprint"], F.lit(False)), "preprint and published")
 
 
-def duplicate_pairs(records: DataFrame, threshold: float = TITLE_MATCH) -> DataFrame:
+def duplicate_pairs(records: DataFrame, scratch: Scratch, threshold: float = TITLE_MATCH) -> DataFrame:
     """Candidate pairs ``x, y, match, ratio, refused`` by pmid, doi and similar title.
 
     Exact matches link each record to the first of its key, so a key with many records makes no
-    square of pairs. Similar titles: equal normalised titles link to the first likewise; different
-    ones are compared within length bands and year blocks, where unknown years meet every year.
+    square of pairs; so do equal normalised titles. Different titles are compared where they share a
+    rare gram, which loses no pair; known years must agree, unknown ones meet every year. A ratio
+    depends on the order of its strings, so both orders are compared.
     """
     fields = ["evidence_id", "pmid", "doi", "publication_date", "is_preprint", "title", "position"]
-    own = records.withColumn("_t", N.norm_title(F.col("title"))).select(F.struct(*fields).alias("r"), "_t")
+    # Used by many branches below: written once.
+    own = scratch.table(records.withColumn("_t", N.norm_title(F.col("title"))).select(F.struct(*fields).alias("r"), "_t"), "titled")
     out = None
     for field in ("pmid", "doi"):
         key = F.col(f"r.{field}")
@@ -105,12 +145,17 @@ def duplicate_pairs(records: DataFrame, threshold: float = TITLE_MATCH) -> DataF
     titled = own.filter("_t <> ''")
     # One class per title and guard: copies meet their class's first record only.
     guard = F.struct("_t", N.year_of(F.col("r.publication_date")).alias("year"), F.coalesce("r.is_preprint", F.lit(False)).alias("pre"), "r.pmid", "r.doi")
-    classes = titled.withColumn("_g", guard).groupBy("_g").agg(F.min_by("r", "r.position").alias("first"))
+    classes = scratch.table(titled.withColumn("_g", guard).groupBy("_g").agg(F.min_by("r", "r.position").alias("first")), "title-classes")
     copies = titled.withColumn("_g", guard).join(classes, "_g").filter("first.position < r.position").select(F.col("first").alias("x"), F.col("r").alias("y"), F.lit(1.0).alias("ratio"))
-    a = classes.select(F.col("_g._t").alias("t"), F.col("_g.year").alias("ya"), F.col("first").alias("p"))
-    b = classes.select(F.col("_g._t").alias("u"), F.col("_g.year").alias("yb"), F.col("first").alias("q"))
-    near = length_band_pairs(a, b, "t", "u", threshold).filter("p.position < q.position and (ya is null or yb is null or ya = yb)")
-    near = near.withColumn("ratio", F.when(F.col("t") == F.col("u"), 1.0).otherwise(T.ratio(F.col("t"), F.col("u")))).filter(F.col("ratio") >= threshold)
+    own_class = classes.select(F.col("_g._t").alias("t"), F.col("_g.year").alias("year"), F.col("first").alias("p"))
+    titles = scratch.table(own_class.select("t").distinct(), "titles")
+    pairs = similar_candidates(titles, titles.withColumnRenamed("t", "u"), "t", "u", threshold).withColumn("ratio", T.ratio(F.col("t"), F.col("u"))).filter(F.col("ratio") >= threshold)
+    a = own_class.withColumnRenamed("year", "ya")
+    b = own_class.select(F.col("t").alias("u"), F.col("year").alias("yb"), F.col("p").alias("q"))
+    near = pairs.join(a, "t").join(b, "u").filter("p.position < q.position and (ya is null or yb is null or ya = yb)").select("p", "q", "ratio")
+    # Classes of one title that differ in a guard meet the first of them.
+    heads = own_class.groupBy("t").agg(F.min_by("p", "p.position").alias("h"))
+    near = near.unionByName(own_class.join(heads, "t").filter("h.position < p.position").select(F.col("h").alias("p"), F.col("p").alias("q"), F.lit(1.0).alias("ratio")))
     close = copies.unionByName(near.select(F.col("p").alias("x"), F.col("q").alias("y"), "ratio"))
     close = close.select("x", "y", F.lit("title").alias("match"), "ratio", may_merge(False).alias("refused"))
     return out.unionByName(close)
@@ -175,7 +220,7 @@ def merge_groups(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 def dedupe(records: DataFrame, scratch: Scratch, threshold: float = TITLE_MATCH) -> tuple[DataFrame, DataFrame]:
     """Merged records, and the pairs with what became of them."""
-    pairs = scratch.table(duplicate_pairs(records, threshold), "pairs")
+    pairs = scratch.table(duplicate_pairs(records, scratch, threshold), "pairs")
     return merge_groups(records, duplicate_groups(records, pairs, scratch)), pairs
 
 
