@@ -70,8 +70,9 @@ def mix(
 ) -> DataFrame:
     """How often each document is taken: ``doc_id, domain, lang, source, n_tokens, epochs``.
 
-    A leaf's budget is taken from seeded epochs: whole passes over the leaf, then the
-    prefix, in the seeded order of the last pass, of the documents that fit whole. A leaf is cut
+    A leaf's budget is taken from seeded epochs: whole passes over the leaf, then a prefix of the last
+    pass in its seeded order, up to the document in whose first half the budget ends; so a leaf misses
+    its budget by half a document at most, to either side. A leaf is cut
     into slices of its hash order; slices are summed before rows are, and only the slice where
     the budget ends is ordered, so a source with a third of all rows needs no task for itself.
     The total budget is ``fraction`` of all tokens; a leaf gives at most ``epochs`` passes.
@@ -110,7 +111,7 @@ def mix(
     placed = keyed.join(sums, [*leaf, "slice"])
     edge = (F.col("base") <= F.col("rest")) & (F.col("base") + F.col("in_slice") > F.col("rest"))
     inside = Window.partitionBy(*leaf, "slice").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    ended = placed.filter(edge).withColumn("upto", F.col("base") + F.sum("n_tokens").over(inside)).withColumn("more", F.col("upto") <= F.col("rest")).drop("upto")
+    ended = placed.filter(edge).withColumn("upto", F.col("base") + F.sum("n_tokens").over(inside)).withColumn("more", 2 * F.col("upto") - F.col("n_tokens") <= 2 * F.col("rest")).drop("upto")
     others = placed.filter(~edge).withColumn("more", F.col("base") + F.col("in_slice") <= F.col("rest"))
     return others.unionByName(ended).select(
         "doc_id", *leaf, "n_tokens", (F.col("passes") + F.col("more").cast("int")).cast("int").alias("epochs")

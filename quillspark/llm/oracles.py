@@ -18,7 +18,7 @@ l1 as (select domain, sum(tokens) as tokens, sum(cap) as cap, power(sum(tokens):
 plan as (select domain, lang, source, cast(floor(share / tokens) as int) as passes, share - cast(floor(share / tokens) as bigint) * tokens as rest from s3),
 k as (select r.*, passes, rest, md5(concat_ws(':', '17', passes, doc_id, n_tokens)) as h from r join plan using (domain, lang, source)),
 c as (select *, sum(n_tokens) over (partition by domain, lang, source order by h, doc_id, n_tokens rows unbounded preceding) as upto from k)
-select doc_id, domain, lang, source, n_tokens, cast(passes + cast(upto <= rest as int) as int) as epochs from c"""
+select doc_id, domain, lang, source, n_tokens, cast(passes + cast(2 * upto - n_tokens <= 2 * rest as int) as int) as epochs from c"""
 
 
 def _fill(k: int, parent: str, keys: str) -> str:

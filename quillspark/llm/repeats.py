@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.files import commit
 from quillspark.session import Scratch
 
 K = 24
@@ -150,10 +151,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], uri: str, size: int) -> Iter
                     names=["h", "ctx", "doc", "start", "span", "part", "row"],
                 )
             at_row += len(texts)
-    target = f"{root}/docs-{part:06d}"
-    if fs.get_file_info(target).type != pafs.FileType.NotFound:
-        fs.delete_file(target)
-    fs.move(temp, target)
+    commit(fs, temp, f"{root}/docs-{part:06d}")
     yield pa.RecordBatch.from_pydict(
         # A mark of the part: its file counts even if no text of it has a window.
         {"h": [0], "ctx": [0], "doc": [0], "start": [-1], "span": [0], "part": [part], "row": [at_row]},

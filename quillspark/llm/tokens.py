@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.files import commit
+
 #: Words a worker remembers; at about 200 bytes each this bounds the memory of the cache.
 CACHE_WORDS = 1_000_000
 NULL_KEY = -(2**63)
@@ -134,10 +136,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], uri: str, tokenizer: str, end
         with fs.open_output_stream(f"{temp}.{suffix}") as out:
             out.write(data.tobytes())
     for suffix in ("bin", "idx", "key"):  # a repeated attempt writes the same bytes again
-        target = f"{root}/part-{part:05d}.{suffix}"
-        if fs.get_file_info(target).type != pafs.FileType.NotFound:
-            fs.delete_file(target)
-        fs.move(f"{temp}.{suffix}", target)
+        commit(fs, f"{temp}.{suffix}", f"{root}/part-{part:05d}.{suffix}")
     yield pa.RecordBatch.from_pydict(
         {"part": [part], "n_docs": [len(keys)], "n_tokens": [total], "width": [enc.dtype.itemsize]},
         schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]),
