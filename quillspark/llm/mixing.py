@@ -38,7 +38,7 @@ def _fill(children: DataFrame, parent: list[str]) -> DataFrame:
     return at.withColumn("share", share.cast("long")).drop("level", "reached", "final")
 
 
-def budgets(leaves: DataFrame, total: Column, *, temperature: float, epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, *, fraction: float, temperature: float) -> DataFrame:
     """Budget of each ``domain, lang, source`` leaf given as ``tokens`` and ``cap``.
 
     The weight of a node is the size of what is below it to the power of ``temperature``, so
@@ -49,7 +49,9 @@ def budgets(leaves: DataFrame, total: Column, *, temperature: float, epochs: int
     langs = leaves.groupBy("domain", "lang").agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap"))
     domains = langs.groupBy("domain").agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap"))
     weigh = F.pow(F.col("tokens").cast("double"), F.lit(temperature))
-    top = _fill(domains.crossJoin(F.broadcast(domains.agg(total.cast("double").alias("budget")))).withColumn("weight", weigh).withColumn("root", F.lit(0)), ["root"])
+    rooted = domains.withColumn("root", F.lit(0)).withColumn("weight", weigh)
+    total = F.floor(F.sum("tokens").over(Window.partitionBy("root")) * F.lit(fraction))
+    top = _fill(rooted.withColumn("budget", total.cast("double")), ["root"])
     mid = langs.join(top.select("domain", F.col("share").cast("double").alias("budget")), "domain").withColumn("weight", weigh)
     mid = _fill(mid, ["domain"])
     low = leaves.join(mid.select("domain", "lang", F.col("share").cast("double").alias("budget")), ["domain", "lang"]).withColumn("weight", weigh)
@@ -93,7 +95,7 @@ def mix(
     rows = scratch.table(rows, "rows")
     leaf = ["domain", "lang", "source"]
     leaves = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * epochs)
-    shares = budgets(leaves, F.floor(F.sum("tokens") * F.lit(fraction)), temperature=temperature, epochs=epochs)
+    shares = budgets(leaves, fraction=fraction, temperature=temperature)
     plan = scratch.table(
         shares.select(
             *leaf,
