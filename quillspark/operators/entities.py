@@ -129,8 +129,8 @@ def duplicate_pairs(records: DataFrame, scratch: Scratch, threshold: float = TIT
 
     Exact matches link each record to the first of its key, so a key with many records makes no
     square of pairs; so do equal normalised titles. Different titles are compared where they share a
-    rare gram, which loses no pair; known years must agree, unknown ones meet every year. A ratio
-    depends on the order of its strings, so both orders are compared.
+    rare gram, which loses no pair. A ratio depends on the order of its strings, so both orders are
+    compared. Pairs that a guard refuses are returned with the reason.
     """
     fields = ["evidence_id", "pmid", "doi", "publication_date", "is_preprint", "title", "position"]
     # Used by many branches below: written once.
@@ -147,12 +147,12 @@ def duplicate_pairs(records: DataFrame, scratch: Scratch, threshold: float = TIT
     guard = F.struct("_t", N.year_of(F.col("r.publication_date")).alias("year"), F.coalesce("r.is_preprint", F.lit(False)).alias("pre"), "r.pmid", "r.doi")
     classes = scratch.table(titled.withColumn("_g", guard).groupBy("_g").agg(F.min_by("r", "r.position").alias("first")), "title-classes")
     copies = titled.withColumn("_g", guard).join(classes, "_g").filter("first.position < r.position").select(F.col("first").alias("x"), F.col("r").alias("y"), F.lit(1.0).alias("ratio"))
-    own_class = classes.select(F.col("_g._t").alias("t"), F.col("_g.year").alias("year"), F.col("first").alias("p"))
+    own_class = classes.select(F.col("_g._t").alias("t"), F.col("first").alias("p"))
     titles = scratch.table(own_class.select("t").distinct(), "titles")
     pairs = similar_candidates(titles, titles.withColumnRenamed("t", "u"), "t", "u", threshold).withColumn("ratio", T.ratio(F.col("t"), F.col("u"))).filter(F.col("ratio") >= threshold)
-    a = own_class.withColumnRenamed("year", "ya")
-    b = own_class.select(F.col("t").alias("u"), F.col("year").alias("yb"), F.col("p").alias("q"))
-    near = pairs.join(a, "t").join(b, "u").filter("p.position < q.position and (ya is null or yb is null or ya = yb)").select("p", "q", "ratio")
+    a = own_class.select("t", "p")
+    b = own_class.select(F.col("t").alias("u"), F.col("p").alias("q"))
+    near = pairs.join(a, "t").join(b, "u").filter("p.position < q.position").select("p", "q", "ratio")
     # Classes of one title that differ in a guard meet the first of them.
     heads = own_class.groupBy("t").agg(F.min_by("p", "p.position").alias("h"))
     near = near.unionByName(own_class.join(heads, "t").filter("h.position < p.position").select(F.col("h").alias("p"), F.col("p").alias("q"), F.lit(1.0).alias("ratio")))
