@@ -33,9 +33,11 @@ K = 24
 #: Contexts of one anchor that one task compares; anchors with more go window by window.
 CROWD = 8_000
 #: Contexts whose suffixes are sorted at once, where their groups allow.
-SORTED = 2_500
+SORTED = 1_500
+#: Bytes of text in a row group of a part file.
+GROUP_BYTES = 8_000_000
 #: Bytes of text handled at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
 _POS = np.uint64((1 << 23) - 1)
 NULL_KEY = -(2**63)
 ANCHORS = "h long, ctx long, doc long, start int, span int, part int, row int"
@@ -133,24 +135,30 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], uri: str, size: int) -> Iter
     fs.create_dir(root, recursive=True)
     temp = f"{root}/.docs-{part:06d}-{attempt}"
     schema = pa.schema([("doc", pa.int64()), ("text", pa.binary())])
-    at_row = 0
+    at_row, held = 0, []
     with fs.open_output_stream(temp) as sink, pq.ParquetWriter(sink, schema, compression="zstd", use_dictionary=False) as out:
         for batch in batches:
-            keys = pa.array([NULL_KEY if k is None else k for k in batch.column(0).to_pylist()], pa.int64())
-            texts = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            out.write_batch(pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.binary())], schema=schema))
-            keys = keys.to_numpy()
-            for i, j in _slices([len(t) for t in texts]):
-                of, first, span, h, ctx = contexts(texts[i:j], size) if len(texts[i]) <= SLICE else _long_contexts(texts[i], size)
-                row = (of + i).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h), pa.array(ctx), pa.array(keys[row]), pa.array(first.astype(np.int32)), pa.array(span.astype(np.int32)),
-                        pa.array(np.full(len(of), part, dtype=np.int32)), pa.array((row + at_row).astype(np.int32)),
-                    ],
-                    names=["h", "ctx", "doc", "start", "span", "part", "row"],
-                )
-            at_row += len(texts)
+            for at in range(0, batch.num_rows, 256):
+                keys = pa.array([NULL_KEY if k is None else k for k in batch.column(0).slice(at, 256).to_pylist()], pa.int64())
+                texts = [b"" if t is None else t for t in batch.column(1).slice(at, 256).cast(pa.binary()).to_pylist()]
+                held.append(pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.binary())], schema=schema))
+                if sum(b.nbytes for b in held) > GROUP_BYTES:
+                    out.write_table(pa.Table.from_batches(held))
+                    held = []
+                keys = keys.to_numpy()
+                for i, j in _slices([len(t) for t in texts]):
+                    of, first, span, h, ctx = contexts(texts[i:j], size) if len(texts[i]) <= SLICE else _long_contexts(texts[i], size)
+                    row = (of + i).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(h), pa.array(ctx), pa.array(keys[row]), pa.array(first.astype(np.int32)), pa.array(span.astype(np.int32)),
+                            pa.array(np.full(len(of), part, dtype=np.int32)), pa.array((row + at_row).astype(np.int32)),
+                        ],
+                        names=["h", "ctx", "doc", "start", "span", "part", "row"],
+                    )
+                at_row += len(texts)
+        if held:
+            out.write_table(pa.Table.from_batches(held))
     commit(fs, temp, f"{root}/docs-{part:06d}")
     yield pa.RecordBatch.from_pydict(
         # A mark of the part: its file counts even if no text of it has a window.
