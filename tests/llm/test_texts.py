@@ -27,6 +27,13 @@ def test_main_text_of_a_page():
     assert html_style.extract(html_style.parse(PAGE), set()) == "Head line\nFirst bold paraé\nSecond one\nitem 1\nitem 2\nc1\nc2"
 
 
+def test_layout_boxes_named_like_furniture_stay():
+    html = '<body><div class="with-sidebar"><main><p>kept</p></main><aside>gone</aside></div><div class="comments"><article><p>reader</p></article></div></body>'
+    assert html_style.extract(html_style.parse(html), set()) == "kept"
+    html = '<body><div id="no-ads"><article><h1>Head</h1><p>text</p></article></div><div class="ad">buy</div></body>'
+    assert html_style.extract(html_style.parse(html), set()) == "Head\ntext"
+
+
 @pytest.mark.parametrize("html", ["", None, "   ", "<", "<<>>", "<!doctype", "<p", "</p></p>", "&amp", "<script>never closed", "<div>" * 3000 + "x", "<![if]><!--", "plain text"])
 def test_broken_pages(html):
     assert isinstance(html_style.extract(html_style.parse(html), set()), str)
