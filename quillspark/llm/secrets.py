@@ -30,7 +30,8 @@ def _parts(text: Column, pattern: str) -> Column:
     The two marks are control characters that no pattern can match; where a text has them, they are
     first replaced by another one of the same length, so places stay.
     """
-    return F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+    cut = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+    return F.when(text.rlike(pattern), cut).otherwise(F.array(text))  # most texts have no match: none is built for them
 
 
 def _spans(parts: Column, kind: str, order: int) -> Column:
