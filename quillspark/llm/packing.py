@@ -3,16 +3,16 @@
 Documents are tokenised and cut into pieces where they lie; only a row per piece moves on.
 Pieces of one length are interchangeable and so are gaps of one size, so both sides are kept
 as runs (a length or gap size, a first rank, a count): one run per length, and one per group
-of sequences with a common history. Each round is one sweep over the runs sorted by size:
-every piece finds its successor, the smallest gap that holds it; where more pieces than gaps
-meet, rank decides, longest first, and the rest move on to the next larger gap; then gaps
-shrink and the next round starts. When nothing fits any gap, as many sequences are opened as
-the rest needs at least. Counting, ranking and placing the pieces are distributed; the sweeps
+of sequences with a common history. Rounds go from the longest pieces to the shortest. Each is
+one sweep over the gaps sorted by size: the pieces find their successor, the smallest gap that
+holds them; where more pieces than gaps meet, rank decides and the rest move on; gaps shrink
+and the next round starts. Pieces that no gap holds open new sequences. Counting, ranking and placing the pieces are distributed; the sweeps
 work on runs, whose number depends on the sequence length and not on the documents.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -61,62 +61,52 @@ def pieces(
     )
 
 
-def _sweep(docs: dict[int, list[int]], gaps: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple[int, int, int]]]:
-    """One sweep over documents and gaps in the order of their sizes.
+def sweeps(classes: list[tuple[int, int]], size: int) -> list[tuple]:
+    """Rounds for pieces given as (length, number): runs (length, rank_lo, n, per, seq_lo, n_seq, gap).
 
-    ``docs``: length to [first rank left, number left], changed in place; ``gaps``: (size,
-    first sequence, number). At each gap the longest waiting piece is its best fit, so waiting
-    pieces are a stack; those that lose a gap to longer ones go on to the next larger one.
-    Returns the placements and the gaps after them.
+    A round takes all pieces of the longest length left. Its sweep goes over the gaps sorted by size,
+    from the successor of the length on; ranks decide which pieces get the gaps of a size, and each
+    shrunk gap takes its place in the order before the next step, so it can be the successor again.
+    Pieces that no gap holds open sequences, each filled with as many of them as fit.
     """
-    placed: list[tuple] = []
-    after: list[tuple[int, int, int]] = []
-    lengths = sorted(x for x, (_, n) in docs.items() if n)
-    stack: list[int] = []
-    waiting, open_gaps, i = 0, sum(g[2] for g in gaps), 0
-    for gap, seq, n in sorted(gaps):
-        while i < len(lengths) and lengths[i] <= gap:
-            stack.append(lengths[i])
-            waiting += docs[lengths[i]][1]
-            i += 1
-        later = sum(docs[x][1] for x in lengths[i:]) if stack and open_gaps < waiting else 0
-        while n and stack:
-            length = stack[-1]
-            rank, left = docs[length]
-            # Where pieces outnumber gaps, several of one length share a gap.
-            per = max(1, min(gap // length, -(-(waiting + later) // open_gaps), left))
-            seqs = min(n, -(-left // per))
-            took = min(left, seqs * per)
-            placed.append((length, rank, took, per, seq, seqs, gap))
-            last = took - (seqs - 1) * per
-            whole = seqs - (last < per)
-            after += [(gap - per * length, seq, whole)] * (whole > 0) + [(gap - last * length, seq + whole, 1)] * (last < per)
-            docs[length] = [rank + took, left - took]
-            waiting, open_gaps = waiting - took, open_gaps - seqs
-            seq, n = seq + seqs, n - seqs
-            if took == left:
-                stack.pop()
-        if n:
-            after.append((gap, seq, n))
-            open_gaps -= n
-    return placed, [g for g in after if g[0] > 0]
-
-
-def sweeps(classes: list[tuple[int, int]], size: int) -> list[tuple]:
-    """All rounds for pieces given as (length, number): runs (length, rank_lo, n, per, seq_lo, n_seq, gap)."""
-    docs = {int(length): [0, int(n)] for length, n in classes if n}
-    gaps: list[tuple[int, int, int]] = []
+    gaps: dict[int, list[tuple[int, int]]] = {}  # size to runs (first sequence, number)
+    order: list[int] = []
     out: list[tuple] = []
     opened = 0
-    while any(n for _, n in docs.values()):
-        placed, gaps = _sweep(docs, gaps)
-        out += placed
-        if placed:
-            continue
-        total = sum(length * n for length, (_, n) in docs.items())
-        more = max(-(-total // size), sum(n for length, (_, n) in docs.items() if 2 * length > size))
-        gaps.append((size, opened, more))
-        opened += more
+
+    def give(gap: int, seq: int, n: int) -> None:
+        if gap and n:
+            if gap not in gaps:
+                bisect.insort(order, gap)
+                gaps[gap] = []
+            gaps[gap].append((seq, n))
+
+    for length, count in sorted(((int(x), int(n)) for x, n in classes), reverse=True):
+        rank = 0
+        while rank < count:
+            at = bisect.bisect_left(order, length)
+            if at == len(order):
+                whole, rest = divmod(count - rank, size // length)
+                for per, seqs in ((size // length, whole), (rest, 1)):
+                    if per and seqs:
+                        out.append((length, rank, per * seqs, per, opened, seqs, size))
+                        give(size - per * length, opened, seqs)
+                        rank, opened = rank + per * seqs, opened + seqs
+                continue
+            gap = order[at]
+            runs, shrunk = gaps[gap], []
+            while runs and rank < count:
+                seq, n = runs.pop()
+                took = min(n, count - rank)
+                out.append((length, rank, took, 1, seq, took, gap))
+                shrunk.append((seq, took))
+                rank += took
+                if took < n:
+                    runs.append((seq + took, n - took))
+            if not runs:
+                del gaps[gap], order[at]
+            for seq, n in shrunk:
+                give(gap - length, seq, n)
     return out
 
 
