@@ -57,7 +57,16 @@ b as (select rid, count(*) filter (where kind = 'assign') as n_assign, count(*)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
   coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from t left join b using (rid)"""
 
+_VECTORS = """
+with recursive g as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),
+l as (select a.vec_id as u, b.vec_id as v from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  and list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+r as (select vec_id as node, vec_id as root from embeddings union select l.v, r.root from r join l on r.node = l.u),
+c as (select node, min(root) as component_id from r group by node), n as (select u, count(*) as k from l group by u)
+select vec_id, coalesce(k, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on vec_id = node left join n on vec_id = u"""
+
 ORACLE_SQL = {
+    "op2_embedding_near_dedup": _VECTORS,
     "op4_mixing": _MIXING.replace("@1", _fill(1, "", "domain")).replace("@2", _fill(2, "domain", "lang")).replace("@3", _fill(3, "domain, lang", "source")),
     "op9_secret_scan": _SECRETS,
 }
