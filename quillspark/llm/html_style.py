@@ -49,6 +49,7 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -113,6 +114,11 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` opens a comment that ends at the next ``>``, as in browsers; the parser's own reading
+        gives up on names that it doesn't know, and skips up to the next ``]>`` behind those that it knows."""
+        return self.parse_bogus_comment(i)
+
 
 def _holds_main(node: Node) -> bool:
     """Whether the page's main part is below: a ``main``, or an ``article`` with a headline."""
@@ -127,14 +133,21 @@ def _holds_main(node: Node) -> bool:
     return False
 
 
+def _short_number(m: re.Match[str]) -> str:
+    """A character reference without its leading zeros; one beyond Unicode is a replacement character."""
+    mark, digits = ("&#x", m[0][3:]) if m[0][2] in "xX" else ("&#", m[0][2:])
+    digits = digits.rstrip(";").lstrip("0") or "0"
+    return f"{mark}{digits};" if len(digits) < 8 else "\ufffd"
+
+
 def parse(html: str | None) -> Node:
     """The tree of a page. A layout box that is only named like furniture (``with-sidebar``) is none
     if it holds the main part."""
     tree = Tree()
     try:
-        tree.feed(html or "")
+        tree.feed(_NUMBER.sub(_short_number, html or ""))  # Python refuses to read numbers of very many digits
         tree.close()
-    except (AssertionError, ValueError):  # the parser gives up on a few malformed declarations; what was read stays
+    except (AssertionError, ValueError):  # no page known does this; what was read stays
         pass
     stack = [tree.root]
     while stack:

@@ -39,6 +39,12 @@ def test_broken_pages(html):
     assert isinstance(html_style.extract(html_style.parse(html), set()), str)
 
 
+@pytest.mark.parametrize("odd", ["<![ endif]-->", "<![ foo ]>", "<![x[ y ]]>", "<![if IE>", "<![CDATA[x]]>", "&#" + "9" * 5000 + ";"])
+def test_text_behind_odd_declarations_stays(odd):
+    got = html_style.extract(html_style.parse(f"<p>a</p>{odd}<p>b</p><p>c</p>"), set())
+    assert got.startswith("a\n") and got.endswith("b\nc")
+
+
 def test_style_tree_removes_what_all_pages_share(spark, scratch):
     random.seed(1)
     words = [f"word{k}" for k in range(500)]
