@@ -33,7 +33,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
-    "head title script style noscript template svg math canvas iframe object embed audio video map nav footer aside form button select textarea input datalist dialog menu".split()
+    "head title script style noscript template svg math canvas iframe object embed audio video map nav footer aside button select textarea input datalist dialog menu".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar tablist".split())
 FURNITURE = frozenset(
@@ -42,6 +42,14 @@ FURNITURE = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar "
     "skip copyright legal disclaimer".split()
 )
+#: Names of furniture that are as common as the names of an article's own parts.
+AMBIGUOUS = frozenset(
+    "banner notice notices comment comments replies discussion related recommended recommendations legal disclaimer copyright alert sharing social share navigation "
+    "promotion consent subscription sponsor sponsored skip".split()
+)
+#: What such a name removes inside an article.
+BOXES = frozenset("div ul ol dl table span".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre search section summary table ul".split()
@@ -72,6 +80,8 @@ class Tree(HTMLParser):
     def _noise(self, tag: str, attrs: dict[str, str | None]) -> bool | str:
         if tag in NEVER:
             return True
+        if tag == "form":
+            return "form"
         inside = any(n.tag in ("article", "main") for n in self.open)
         if tag == "header" and not inside:
             return True
@@ -79,8 +89,13 @@ class Tree(HTMLParser):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
+        if inside and tag in HEADINGS:
+            return False
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        return "named" if any(t.lower() in FURNITURE for t in _TOKENS.findall(names)) else False
+        if inside and tag == "section":  # its id is the anchor of a part of the article
+            names = attrs.get("class") or ""
+        found = {t.lower() for t in _TOKENS.findall(names)} & FURNITURE
+        return "named" if (found - AMBIGUOUS if inside and tag not in BOXES else found) else False
 
     def _close(self, tags: set[str] | frozenset[str], scope: set[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -133,6 +148,23 @@ def _holds_main(node: Node) -> bool:
     return False
 
 
+def _chars(node: Node) -> int:
+    """Characters of the text below that only forms and names could remove."""
+    n, stack = 0, [node]
+    while stack:
+        for p in stack.pop().parts:
+            if isinstance(p, str):
+                n += len("".join(p.split()))
+            elif p.noise is not True:
+                stack.append(p)
+    return n
+
+
+def _wraps_page(form: Node, root: Node) -> bool:
+    """Whether a form is around the page's text (one form for the whole page), not a part of it."""
+    return _holds_main(form) or 2 * _chars(form) > _chars(root)
+
+
 def _short_number(m: re.Match[str]) -> str:
     """A character reference without its leading zeros; one beyond Unicode is a replacement character."""
     mark, digits = ("&#x", m[0][3:]) if m[0][2] in "xX" else ("&#", m[0][2:])
@@ -142,7 +174,8 @@ def _short_number(m: re.Match[str]) -> str:
 
 def parse(html: str | None) -> Node:
     """The tree of a page. A layout box that is only named like furniture (``with-sidebar``) is none
-    if it holds the main part."""
+    if it holds the main part. A form is none if it holds the main part or most of the page's text; its
+    controls always go."""
     tree = Tree()
     try:
         tree.feed(_NUMBER.sub(_short_number, html or ""))  # Python refuses to read numbers of very many digits
@@ -153,7 +186,7 @@ def parse(html: str | None) -> Node:
     while stack:
         for p in stack.pop().parts:
             if isinstance(p, Node):
-                if p.noise == "named" and _holds_main(p):
+                if (p.noise == "named" and _holds_main(p)) or (p.noise == "form" and _wraps_page(p, tree.root)):
                     p.noise = False
                 if not p.noise:
                     stack.append(p)

@@ -45,6 +45,17 @@ def test_text_behind_odd_declarations_stays(odd):
     assert got.startswith("a\n") and got.endswith("b\nc")
 
 
+def test_forms_around_the_page_are_unwrapped():
+    page = '<body><form id="aspnetForm"><input><nav>menu</nav>{}<select><option>one</select></form><form>search <input></form></body>'
+    for own in ("<article><h1>Head</h1><p>text</p></article>", "<main><h1>Head</h1><p>text</p></main>", "<div><h1>Head</h1><p>text</p></div>"):
+        assert html_style.extract(html_style.parse(page.format(own)), set()) == "Head\ntext"
+
+
+def test_parts_of_an_article_named_like_furniture_stay():
+    html = '<article><h1>Head</h1><h2 id="related-work">Related</h2><section id="discussion"><p class="legal-history">law</p></section><div class="share">gone</div><p class="ad">gone</p></article>'
+    assert html_style.extract(html_style.parse(html), set()) == "Head\nRelated\nlaw"
+
+
 def test_style_tree_removes_what_all_pages_share(spark, scratch):
     random.seed(1)
     words = [f"word{k}" for k in range(500)]
