@@ -25,6 +25,9 @@ EM_ROUNDS = 4
 SMOOTHING = 0.05
 #: Probability of a letter that the vocabulary doesn't have, in every language.
 UNKNOWN = 1e-7
+#: Mean log probability of a letter or word start in the best language below which none is identified.
+#: Clean and even spoilt texts of sf0.1 have -3.1 or more, letters that no fitted language uses about -16.
+LEAST = -9.0
 #: Letters of a word that are scored together; the rest of a longer run is a word of its own.
 LONGEST = 48
 #: Words that a task remembers.
@@ -220,13 +223,14 @@ class _Scorer(dict):
         self.model, self.vocabulary = model, Vocabulary(model.pieces)
         self.fresh: list[str] = []
         self.scores = np.empty((1 << 16, len(model.languages)), dtype=np.float64)
+        self.lengths = np.empty(1 << 16, dtype=np.int64)
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.fresh.append(word)
         return n
 
-    def text_scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
+    def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self) > CACHE_WORDS:
             self.clear()
         of = self.__getitem__
@@ -235,9 +239,22 @@ class _Scorer(dict):
             first = len(self) - len(self.fresh)
             if len(self) > len(self.scores):
                 self.scores = np.concatenate([self.scores[:first], np.empty((2 * len(self) - first, self.scores.shape[1]))])
+                self.lengths = np.concatenate([self.lengths[:first], np.empty(2 * len(self) - first, dtype=np.int64)])
             self.scores[first : len(self)] = log_likelihood(self.fresh, self.vocabulary, self.model.prob)
+            self.lengths[first : len(self)] = [len(w) + 1 for w in self.fresh]
             self.fresh = []
-        return [self.scores[i].sum(axis=0) if len(i) else None for i in ids]
+        return ids
+
+    def text_scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        return [self.scores[i].sum(axis=0) if len(i) else None for i in self._numbers(texts)]
+
+    def identified(self, texts: list[str | None], least: float) -> list[bool]:
+        """Whether a text has letters, and its best language explains them; with no languages, letters are enough."""
+        any_language = len(self.model.languages) > 0
+        return [
+            len(i) > 0 and (not any_language or bool(self.scores[i].sum(axis=0).max() >= least * self.lengths[i].sum()))
+            for i in self._numbers(texts)
+        ]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -272,8 +289,13 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     )
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The documents whose language is known: rejected are null texts and texts without a letter."""
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The documents whose language is identified.
+
+    Rejected are null texts, texts without a letter, and texts whose letters have a mean log
+    probability below ``least`` in every language, as those of a script that no fitted language
+    has. Close languages do not spoil a text. A model without languages rejects no text with letters.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
@@ -281,6 +303,6 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") ->
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                yield part.filter(pa.array([s is not None and len(s) > 0 for s in scorer.text_scores(texts)], pa.bool_()))
+                yield part.filter(pa.array(scorer.identified(texts, least), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -122,6 +122,17 @@ def test_languages_of_edge_cases(spark, edges, nothing):
     assert langid.predict(nothing, empty).count() == 0 and {r.lang_pred for r in langid.predict(edges, empty).collect()} == {"und"}
 
 
+def test_language_stage_decides_by_the_model(spark):
+    rows = [(k, "the cat sat on the mat and looked at the dog", "en") for k in range(20)] + [(k, "der Hund und die Katze sind auf dem Dach", "de") for k in range(20, 40)]
+    docs = spark.createDataFrame([*rows, (40, "ωκεανός ψυχή", None), (41, "123 ...", None), (42, None, None), (43, "cat", None)], "doc_id long, text string, lang string").repartition(2)
+    pieces = langid.public_pieces(PIECES)
+    kept = {r.doc_id for r in langid.keep_identified(docs, langid.train(docs, pieces)).collect()}
+    assert kept == {*range(40), 43}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in langid.keep_identified(unlabelled, langid.train(unlabelled, pieces)).collect()}
+    assert kept == {*range(41), 43}
+
+
 def test_word_cache_is_emptied(spark, monkeypatch):
     monkeypatch.setattr(langid, "CACHE_WORDS", 3)
     df, _ = corpus(spark, 30)
