@@ -11,6 +11,10 @@ from quillspark.session import Scratch
 #: has some hundred distinct terms, so at most (that number / LOW) terms can be in the band,
 #: however large the corpus: the lexicon can be sent to every task.
 LOW, HIGH = 0.002, 0.25
+#: Of a document's terms at or above the band, the part that its fingerprint has at least, and the
+#: least number. Where the band gives less, its terms nearest above the band are added: near copies
+#: that are many enough to lift their common terms out of the band would share nothing otherwise.
+PART, LEAST = 4, 4
 #: Scales of lexicon subsets: of so many random parts of the lexicon, PER_SCALE are used. Fine
 #: parts suit long documents, coarse ones short documents.
 SCALES, PER_SCALE = (16, 64, 256, 1024), 16
@@ -23,15 +27,19 @@ def _terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Hashes of the terms in the band; document frequencies count every document."""
-    n = docs.count()
+    """``term, above``: hashes of the terms in the band, and with their document frequency in
+    ``above`` those of higher frequency, at most (terms of a document / HIGH). Frequencies count
+    every distinct text once, so copies don't move a term."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h"), "text")
+    n = texts.agg(F.count_distinct("h")).first()[0]
     return (
-        docs.select(F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("term"))
+        texts.dropDuplicates(["h"])
+        .select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
         .filter("term <> ''")
         .groupBy(F.xxhash64("term").alias("term"))
         .agg(F.count(F.lit(1)).alias("df"))
-        .filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n)))
-        .select("term")
+        .filter(F.col("df") >= max(2, low * n))
+        .select("term", F.when(F.col("df") > max(2, high * n), F.col("df")).otherwise(F.lit(0)).alias("above"))
     )
 
 
@@ -48,12 +56,17 @@ def fingerprint_texts(texts: DataFrame, keys: list[str], text_col: str, terms: D
     null where a subset has no term.
 
     Distinct terms of a subset are sorted and hashed together, so order and repeats don't count.
+    A document with few terms in the band has the terms nearest above it as well.
     """
     subsets = len(SCALES) * PER_SCALE
-    words = texts.select(*keys, F.explode(_terms(F.col(text_col))).alias("word")).filter("word <> ''")
+    words = texts.select(*keys, F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("word")).filter("word <> ''")
     known = words.select(*keys, F.xxhash64("word").alias("term")).join(F.broadcast(terms), "term")
+    nearest = F.array_sort(F.collect_list(F.struct("above", "term")))
+    inside = F.size(F.filter("t", lambda x: x["above"] == 0))
+    wanted = F.greatest(inside, F.lit(LEAST), F.ceil(F.size("t") / PART).cast("int"))
+    chosen = known.groupBy(*keys).agg(nearest.alias("t")).select(*keys, F.explode(F.slice("t", F.lit(1), wanted)["term"]).alias("term"))
     hashed = (
-        known.select(*keys, "term", F.explode(_subsets()).alias("subset"))
+        chosen.select(*keys, "term", F.explode(_subsets()).alias("subset"))
         .groupBy(*keys, "subset")
         .agg(F.xxhash64(F.array_sort(F.collect_set("term"))).alias("h"))
     )

@@ -228,6 +228,25 @@ def test_edited_texts_and_likeness(spark, scratch):
     assert len(set(fps.values())) == len(set(texts.values()))
 
 
+def test_large_groups_of_copies_keep_their_terms(spark, scratch):
+    random.seed(8)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(random.choices(words, k=60)) for _ in range(200)]
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    near = []
+    for k in range(120):  # near copies: two words of their own each, each of them in two texts
+        own = list(one)
+        own[k % 60] = f"x{k // 2}"
+        own[(k + 7) % 60] = f"y{k // 2}"
+        near.append(" ".join(own))
+    rows = list(enumerate([*texts, *near, *[" ".join(two)] * 150, " ".join([*two[:50], "w1", "w2"])]))
+    got = {r.doc_id: r for r in imatch.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), scratch).collect()}
+    group = [got[k].near_next for k in range(201, 320)]
+    assert sum(group) / len(group) > 0.5
+    assert got[470].near_next > 0.3 and got[470].near_next < 1  # to the exact copies beside it
+    assert len(got[321].fingerprint) > 16 and got[321].fingerprint == got[322].fingerprint
+
+
 # ---------------------------------------------------------------- mixing
 
 
