@@ -3,14 +3,16 @@
 Equal vectors are one node with a mass. Random projections sort the nodes into cells, and the best
 pairs of each cell are the first graph. Each round joins, at every node, its neighbours with its
 reverse neighbours, keeps what improves their lists, and enlarges lists that are saturated with
-links (cosine at or above the threshold). Then a bounded sample of nodes is compared with all
-others, and rounds with longer lists follow while too few of its links have been found. Lists that
+links (cosine at or above the threshold). Then a bounded sample of nodes outside crowded groups is
+compared with all others, and rounds with longer lists and cells of new projections follow until the
+nodes have, on the mean, enough of their links. Lists that
 would grow without bound, as in a large group of near copies, keep a part of their links, enough to
 hold the group together; the links of such groups are then counted exactly, block against block.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +26,11 @@ from quillspark.session import Scratch
 THRESHOLD = 0.9
 LIST = 14
 TREES, CELL = 4, 80
-ROUNDS, MORE_ROUNDS = 3, 4
-#: Nodes of the recall audit, and the recall at which the descent may stop.
+ROUNDS = 3
+#: Nodes of the recall audit, and the mean recall of a node at which the descent may stop.
 AUDIT, RECALL = 256, 0.985
+#: Nodes with links that an audit should see; with fewer it is repeated with up to so many nodes.
+LINKED, AUDIT_MOST = 64, 4096
 #: Of a saturated list the nearest and so many random links are kept; groups with such lists are counted by blocks.
 KEEP = 96
 BLOCK = 1024
@@ -159,8 +163,8 @@ def _merged(edges: DataFrame, size: int) -> DataFrame:
     return ranked.filter((F.col("rank") <= size) | link).select("u", "v", "sim", "fresh", "rank")
 
 
-def _round(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """Candidates of one round of neighbours-of-neighbours joins."""
+def _round(edges: DataFrame, nodes: DataFrame, size: int, k: int) -> DataFrame:
+    """Candidates of round ``k`` of neighbours-of-neighbours joins; a large neighbourhood is cut otherwise at each node and round."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     floors = edges.groupBy("u").agg(F.min(F.when(F.col("rank") == size, F.col("sim"))).alias("floor"))
     sides = edges.select(
@@ -169,22 +173,36 @@ def _round(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     members = sides.groupBy("node", "member").agg(F.max("fresh").alias("fresh"))
     crowds = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any")).filter("any and n > 1").drop("any")
     salted = members.join(crowds, "node").select(
-        "node", "member", "fresh", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / JOIN)).alias("salt")
+        "node", "member", "fresh", F.pmod(F.xxhash64("member", "node", F.lit(k)), F.ceil(F.col("n") / JOIN)).alias("salt")
     )
     known = nodes.select(F.col("node").alias("member"), "vec").join(floors.withColumnRenamed("u", "member"), "member", "left")
     full = salted.join(known.withColumn("floor", F.coalesce("floor", F.lit(-1.0))), "member").select("node", "salt", "member", "fresh", "floor", "vec")
     return full.repartition(n, "node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_neighbourhoods, EDGES)
 
 
-def _audit(nodes: DataFrame, edges: DataFrame) -> float:
-    """Part of the links of a sample of nodes that the graph has; every listed link is a true one.
+def _audit(nodes: DataFrame, edges: DataFrame, k: int = 0) -> float:
+    """Mean part of its links that the graph has, over a sample of nodes; every listed link is a true one.
 
-    The sample has AUDIT nodes at most, by hash, so sending it to all tasks costs the same at any
-    size. Nodes whose list holds only a part of their links count as found up to that list.
+    Nodes with a list of KEEP links or more are left out: their groups are counted by blocks, and
+    would hide the others. The sample has AUDIT nodes, by a hash with ``k``, and more of them while
+    fewer than LINKED have a link, AUDIT_MOST at most; so sending it to all tasks costs the same at any size.
     """
-    sample = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).select("node", "vec").collect()
-    if not sample:
-        return 1.0
+    found = edges.filter(F.col("sim") >= THRESHOLD).groupBy("u").agg(F.count(F.lit(1)).alias("found"))
+    some = nodes.select("node", "vec").join(found, F.col("node") == F.col("u"), "left").select("node", "vec", F.coalesce("found", F.lit(0)).alias("found"))
+    size = AUDIT
+    while True:
+        sample = some.filter(F.col("found") < KEEP).orderBy(F.xxhash64("node", F.lit(k)), "node").limit(size).collect()
+        if not sample:
+            return 1.0
+        true = _true_links(nodes, sample)
+        shares = [min(1.0, r["found"] / true[r["node"]]) for r in sample if true[r["node"]]]
+        if len(shares) >= LINKED or len(sample) < size or size >= AUDIT_MOST:
+            return sum(shares) / len(shares) if shares else 1.0
+        size = min(AUDIT_MOST, 4 * size)
+
+
+def _true_links(nodes: DataFrame, sample: list) -> dict[int, int]:
+    """Number of links of each node of a sample, by comparison with all nodes."""
     ids = np.array([r["node"] for r in sample])
     vecs = [bytes(r["vec"]) for r in sample]
 
@@ -195,17 +213,16 @@ def _audit(nodes: DataFrame, edges: DataFrame) -> float:
             sizes = np.array([len(v) for v in vec])
             for size in np.unique(sizes):
                 k = np.flatnonzero(sizes == size)
-                q = np.array([i for i, v in enumerate(vecs) if len(v) == size])
-                if len(q):
-                    hit = (_unit([vecs[i] for i in q]) @ _unit([vec[i] for i in k]).T >= THRESHOLD) & (ids[q][:, None] != own[k][None, :])
-                    n[q] += hit.sum(axis=1)
+                x = _unit([vec[i] for i in k])
+                q = np.array([i for i, v in enumerate(vecs) if len(v) == size], dtype=np.int64)
+                for at in range(0, len(q), AUDIT):
+                    part = q[at : at + AUDIT]
+                    hit = (_unit([vecs[i] for i in part]) @ x.T >= THRESHOLD) & (ids[part][:, None] != own[k][None, :])
+                    n[part] += hit.sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["node", "n"])
 
-    true = nodes.select("node", "vec").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    found = edges.filter(F.col("sim") >= THRESHOLD).groupBy("u").agg(F.count(F.lit(1)).alias("found"))
-    rows = true.join(found, F.col("node") == F.col("u"), "left").select("n", F.coalesce("found", F.lit(0)).alias("found")).collect()  # AUDIT rows
-    want = sum(r["n"] for r in rows)
-    return sum(r["n"] if r["found"] >= KEEP else min(r["found"], r["n"]) for r in rows) / want if want else 1.0
+    rows = nodes.select("node", "vec").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()  # the sample's rows
+    return {r["node"]: r["n"] for r in rows}
 
 
 def graph(nodes: DataFrame, scratch: Scratch, *, seed: int = 7) -> DataFrame:
@@ -213,20 +230,23 @@ def graph(nodes: DataFrame, scratch: Scratch, *, seed: int = 7) -> DataFrame:
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = nodes.count()
     bits = max(1, min(40, int(np.ceil(np.log2(max(2, many / CELL))))))
-    placed = nodes.select("node", "vec").mapInArrow(lambda it: _project(it, bits, seed), "tree long, code long, side double, node long, vec binary")
-    first = placed.repartitionByRange(n, "tree", "code", "side").sortWithinPartitions("tree", "code", "side").mapInArrow(_cells, EDGES)
+
+    def in_cells(own: int) -> DataFrame:
+        placed = nodes.select("node", "vec").mapInArrow(lambda it: _project(it, bits, own), "tree long, code long, side double, node long, vec binary")
+        return placed.repartitionByRange(n, "tree", "code", "side").sortWithinPartitions("tree", "code", "side").mapInArrow(_cells, EDGES)
+
     size = LIST
-    edges = scratch.table(_merged(first.withColumn("fresh", F.lit(True)), size), "edges-0")
-    recall = 0.0
-    for k in range(1, ROUNDS + MORE_ROUNDS + 1):
-        if k > ROUNDS:
-            recall = _audit(nodes, edges)
-            if recall >= RECALL:
-                break
-            size += LIST // 2
-        found = _round(edges, nodes, size).withColumn("fresh", F.lit(True))
+    edges = scratch.table(_merged(in_cells(seed).withColumn("fresh", F.lit(True)), size), "edges-0")
+    for k in itertools.count(1):
+        if k > ROUNDS and _audit(nodes, edges, k) >= RECALL:
+            break
+        size += LIST // 2 if k > ROUNDS else 0
+        found = _round(edges, nodes, size, k)
+        if k > ROUNDS:  # new projections reach what the descent can't, so the recall holds in the end
+            found = found.unionByName(in_cells(seed + k))
+        # Pairs known before are not fresh, however they are found again.
         old = edges.select("u", "v", "sim", F.lit(False).alias("fresh"))
-        edges = scratch.table(_merged(old.unionByName(found), size), f"edges-{k}")
+        edges = scratch.table(_merged(old.unionByName(found.withColumn("fresh", F.lit(True))), size), f"edges-{k}")
         scratch.drop(f"edges-{k - 1}")
     return edges.select("u", "v", "sim")
 

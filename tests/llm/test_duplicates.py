@@ -160,5 +160,17 @@ def test_vectors_equal_brute_force(spark, scratch, vectors, monkeypatch):
     assert got[1001].component_id == 0 and not got[1001].kept and got[1009].component_id == 1008
 
 
+def test_audit_sees_ordinary_nodes_beside_a_crowd(spark):
+    rng = np.random.default_rng(5)
+    crowd, pairs = [rng.normal(size=16)] * 120, [c for c in rng.normal(size=(40, 16)) for _ in range(2)]
+    x = [(v + rng.normal(size=16) * 0.01).astype("<f4") for v in [*crowd, *pairs]]
+    nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, vec binary")
+    inside = [(a, b, 0.99) for a in range(120) for b in range(120) if a != b]
+    assert neighbours._audit(nodes, spark.createDataFrame(inside, neighbours.EDGES)) == 0.0
+    beside = [(a, a ^ 1, 0.99) for a in range(120, 200)]
+    assert neighbours._audit(nodes, spark.createDataFrame([*inside, *beside], neighbours.EDGES)) == 1.0
+    assert abs(neighbours._audit(nodes, spark.createDataFrame([*inside, *beside[:40]], neighbours.EDGES)) - 0.5) < 1e-9
+
+
 def test_vectors_of_nothing(spark, scratch):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
