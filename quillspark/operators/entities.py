@@ -124,11 +124,37 @@ def may_merge(exact: bool) -> Column:
     return out if exact else out.when(F.coalesce(x["is_preprint"], F.lit(False)) != F.coalesce(y["is_preprint"], F.lit(False)), "preprint and published")
 
 
+def _same_title(classes: DataFrame) -> DataFrame:
+    """Links ``p, q, ratio`` that join what all pairs of compatible classes of one title would join.
+
+    Classes may merge if the fields known in both are equal. Of two patterns of known fields, all
+    classes of one that agree in the common fields may merge with all of the other; each of them
+    is linked to the first of the other side. So a class has at most seven links, whatever its title.
+    """
+    g = F.col("_g")
+    own = F.when(g["year"].isNotNull(), 1).otherwise(0) + F.when(g["pmid"].isNotNull(), 2).otherwise(0) + F.when(g["doi"].isNotNull(), 4).otherwise(0)
+    several = classes.groupBy(g["_t"].alias("t")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t")
+    each = classes.withColumn("t", g["_t"]).join(several, "t", "left_semi").withColumn("own", own)
+    each = each.withColumn("other", F.explode(F.array(*[F.lit(k) for k in range(8)]))).filter("own <> other")
+
+    def common(c: str, bit: int) -> Column:
+        return F.when(F.col("own").bitwiseAND(F.col("other")).bitwiseAND(F.lit(bit)) > 0, g[c]).alias(c)
+
+    key = F.to_json(F.struct(g["pre"].alias("pre"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), common("year", 1), common("pmid", 2), common("doi", 4)))
+    sides = each.select("t", key.alias("k"), (F.col("own") < F.col("other")).alias("low"), F.col("first").alias("r"))
+    heads = sides.groupBy("t", "k").agg(
+        F.min_by("r", F.when(F.col("low"), F.col("r.position"))).alias("h"), F.min_by("r", F.when(~F.col("low"), F.col("r.position"))).alias("i")
+    )
+    met = sides.join(heads, ["t", "k"]).withColumn("o", F.when(F.col("low"), F.col("i")).otherwise(F.col("h"))).filter("o is not null")
+    ahead = F.col("r.position") < F.col("o.position")
+    return met.select(F.when(ahead, F.col("r")).otherwise(F.col("o")).alias("p"), F.when(ahead, F.col("o")).otherwise(F.col("r")).alias("q"), F.lit(1.0).alias("ratio")).distinct()
+
+
 def duplicate_pairs(records: DataFrame, scratch: Scratch, threshold: float = TITLE_MATCH) -> DataFrame:
     """Candidate pairs ``x, y, match, ratio, refused`` by pmid, doi and similar title.
 
     Exact matches link each record to the first of its key, so a key with many records makes no
-    square of pairs; so do equal normalised titles. Different titles are compared where they share a
+    square of pairs; equal normalised titles are linked by what is known of them. Different titles are compared where they share a
     rare gram, which loses no pair. A ratio depends on the order of its strings, so both orders are
     compared. Pairs that a guard refuses are returned with the reason.
     """
@@ -153,9 +179,10 @@ def duplicate_pairs(records: DataFrame, scratch: Scratch, threshold: float = TIT
     a = own_class.select("t", "p")
     b = own_class.select(F.col("t").alias("u"), F.col("p").alias("q"))
     near = pairs.join(a, "t").join(b, "u").filter("p.position < q.position").select("p", "q", "ratio")
-    # Classes of one title that differ in a guard meet the first of them.
+    near = near.unionByName(_same_title(classes))
+    # Classes of one title meet the first of them as well, so that refusals are seen.
     heads = own_class.groupBy("t").agg(F.min_by("p", "p.position").alias("h"))
-    near = near.unionByName(own_class.join(heads, "t").filter("h.position < p.position").select(F.col("h").alias("p"), F.col("p").alias("q"), F.lit(1.0).alias("ratio")))
+    near = near.unionByName(own_class.join(heads, "t").filter("h.position < p.position").select(F.col("h").alias("p"), F.col("p").alias("q"), F.lit(1.0).alias("ratio"))).distinct()
     close = copies.unionByName(near.select(F.col("p").alias("x"), F.col("q").alias("y"), "ratio"))
     close = close.select("x", "y", F.lit("title").alias("match"), "ratio", may_merge(False).alias("refused"))
     return out.unionByName(close)

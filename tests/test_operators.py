@@ -281,6 +281,21 @@ def test_dedupe_rules(spark, scratch):
     assert sum(len(r.merged_from) for r in got.values()) >= 2
 
 
+def test_classes_of_one_title_join_as_all_pairs_would(spark, scratch):
+    random = __import__("random").Random(4)
+    known = [(random.choice([None, "1", "2"]), random.choice([None, "10.1/a"]), random.choice([None, "2000", "2001"]), random.random() < 0.3) for _ in range(14)]
+    for given in ([("7", None, "2000", False), ("2", None, "2001", False), (None, None, "2001", False)], known):
+        df = records(spark, *[rec(k, pmid=p, doi=d, title="Editorial", date=y, pre=pre) for k, (p, d, y, pre) in enumerate(given)])
+        got = {(r.x.position, r.y.position) for r in entities.duplicate_pairs(df, scratch).filter("refused is null and match = 'title'").collect()}
+        clash = lambda a, b: any(u and v and u != v for u, v in zip(a[:3], b[:3], strict=True)) or a[3] != b[3]
+        want = {(a, b) for a in range(len(given)) for b in range(a + 1, len(given)) if not clash(given[a], given[b])}
+        assert got <= want
+        group = list(range(len(given)))
+        for a, b in got:
+            group = [group[a] if g == group[b] else g for g in group]
+        assert all(group[a] == group[b] for a, b in want)
+
+
 def test_similar_candidates_lose_nothing(spark):
     import random
 
