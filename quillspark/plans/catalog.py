@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import measures as M
@@ -276,11 +276,32 @@ def x_stale_sources(spark: SparkSession, d: str) -> DataFrame:
     return search.stale_sources(s, indexed).select("paper_id", "source_id")
 
 
+#: Words in a row that an item and a document share if the document is searched for its spans.
+_GRAM = 5
+
+
+def _sharing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``query, doc``: all documents with _GRAM words of an item in a row, or with all of a shorter item."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+
+    def grams(w: str, n: Column) -> Column:
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(F.col(w), i, n), " "))))
+
+    asked = items.select(F.col("item_id").alias("query"), words.alias("w")).filter(F.size("w") > 0).withColumn("n", F.least(F.lit(_GRAM), F.size("w")))
+    sizes = [r["n"] for r in asked.select("n").distinct().collect()]  # _GRAM rows at most
+    wanted = asked.select("query", F.explode(grams("w", F.col("n"))).alias("g")).distinct()
+    has = docs.select(F.col("doc_id").alias("doc"), words.alias("w")).filter(F.size("w") > 0)
+    every = F.flatten(F.array(*[grams("w", F.lit(n)) for n in sizes])) if sizes else F.expr("cast(array() as array<bigint>)")
+    return has.select("doc", F.explode(every).alias("g")).join(wanted, "g").select("query", "doc").distinct()
+
+
 @query()
 def x_find_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of benchmark items in the documents that share their rarest words, best five each."""
+    """Spans of benchmark items in every document that shares words in a row with them, and in the five with the best score."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    best = search.top(_search(spark, d, False), 5).join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    pairs = search.top(_search(spark, d, False), 5).select("query", "doc").unionByName(_sharing(docs, items)).distinct()
+    best = pairs.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
     both = best.join(items.select(F.col("item_id").alias("query"), F.col("text").alias("asked")), "query")
     return both.select("query", "doc", F.explode(T.find_spans(F.col("text"), F.col("asked"), 3)).alias("s")).select("query", "doc", "s.*")
 

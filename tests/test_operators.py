@@ -47,6 +47,17 @@ def test_components(spark, scratch, edges):
 # ---------------------------------------------------------------- search
 
 
+def test_spans_in_every_document_with_a_passage(spark, tmp_path):
+    from quillspark.plans import catalog
+
+    passage = "seven green boats sailed slowly past the old harbour wall"
+    rows = [(k, f"intro {k} words. {passage} and more " + "filler text here " * 40 * k) for k in range(9)] + [(9, "nothing shared"), (10, "tiny item at last"), (11, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage), (2, "Tiny item"), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalog.QUERIES["x_find_spans"](spark, str(tmp_path)).filter("method = 'exact'").collect()
+    assert {(r.query, r.doc) for r in got} == {(1, k) for k in range(9)} | {(2, 10)}
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a dog and a cat"), (3, "nothing here"), (4, None), (5, "cat cat cat")], "doc_id int, text string")
