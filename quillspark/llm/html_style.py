@@ -2,17 +2,22 @@
 
 Pages of one host share templates. Their document trees are merged: an element of the merged tree
 is a path of tags with classes and ids, and for each element the pages' presentations (sequences
-of child elements) and contents (texts below) are counted. The entropy of these counts, on the
-scale of the number of pages, is the importance of the element: near 0 where all pages have the
-same, near 1 where each page has its own. Branches of low importance are removed from each page,
-but for those in an ``article`` or ``main``. Importance cannot see furniture that differs from page
-to page, and says nothing about a host with a few pages, so branches are also removed by what
-their tags, roles and class names say.
+of child elements) and contents (texts below) are counted, copies of one text once. The entropy of
+these counts, on the scale of the number of pages, is the importance of the element: near 0 where all
+pages have the same, near 1 where each page has its own.
+
+On a host with pages enough the tree decides: a branch goes if its importance is below the bound of
+its kind. What tags and names say only moves the bound (a ``footer`` must be as various as a text to
+stay, a plain box or a part of an article must be nearly the same on all pages to go). Three things
+no tree can see go by their names there: what is never shown, forms, and furniture that is each
+page's own, such as reader comments and rotating adverts. On a host with fewer pages the tags,
+roles and names are the prior that decides, beside boxes that all pages have alike.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,8 +27,12 @@ from pyspark.sql import functions as F
 
 from quillspark.session import Scratch
 
-#: Importance below which a branch is furniture, and the pages that a judgement needs.
+#: Importance below which a plain box is furniture on a host with PAGES texts or more, whatever else is known.
 LOW, PAGES = 0.15, 8
+#: Texts of a host from which its tree decides, and the importance below which branches go then, by kind.
+JUDGED = 48
+PLAIN, SITE, INSIDE, KEPT = 0, 1, 2, 3
+BOUNDS = {PLAIN: 0.6, SITE: 0.95, INSIDE: 0.3, KEPT: 0.0}
 #: Elements of low importance, over all hosts, up to which the list is sent to every task.
 SENT = 100_000
 
@@ -33,15 +42,22 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
-    "head title script style noscript template svg math canvas iframe object embed audio video map nav footer aside button select textarea input datalist dialog menu".split()
+    "head title script style noscript template svg math canvas iframe object embed audio video map button select textarea input datalist dialog".split()
 )
+SITE_TAGS = frozenset("nav footer aside menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar tablist".split())
+OWN_ROLES = frozenset("search form dialog alertdialog alert".split())
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar navigation menu menubar topbar sidebar "
     "footer masthead breadcrumb breadcrumbs comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar "
     "skip copyright legal disclaimer".split()
 )
+#: Those of them that are each page's own, so that no comparison of pages can tell them from its text.
+OWN = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion comment comments commentlist disqus respond replies discussion "
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager".split()
+)
 #: Names of furniture that are as common as the names of an article's own parts.
 AMBIGUOUS = frozenset(
     "banner notice notices comment comments replies discussion related recommended recommendations legal disclaimer copyright alert sharing social share navigation "
@@ -58,14 +74,19 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+_MASK = (1 << 64) - 1
+_DIGITS = re.compile(r"\b[0-9]+\b")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "sign", "parts", "noise")
+    """An element. ``noise`` is what the prior says of it: "" (nothing), "never" (not shown), "form",
+    "site" and "named" (furniture by tag or role, and by name), "own" (by name, and each page's own)."""
+
+    __slots__ = ("tag", "sign", "parts", "noise", "inside", "holds", "headed", "chars", "total", "linked", "links")
 
-    def __init__(self, tag: str, sign: str, noise: bool | str) -> None:
-        self.tag, self.sign, self.noise = tag, sign, noise
+    def __init__(self, tag: str, sign: str, inside: bool) -> None:
+        self.tag, self.sign, self.inside, self.noise = tag, sign, inside, ""
         self.parts: list[Node | str] = []
 
 
@@ -76,31 +97,36 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", "", False)
         self.open = [self.root]
+        self.count: Counter[str] = Counter()
 
-    def _noise(self, tag: str, attrs: dict[str, str | None]) -> bool | str:
-        if tag in NEVER:
-            return True
+    def _noise(self, tag: str, inside: bool, attrs: dict[str, str | None]) -> str:
+        if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
+            return "never"
         if tag == "form":
             return "form"
-        inside = any(n.tag in ("article", "main") for n in self.open)
-        if tag == "header" and not inside:
-            return True
-        if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
-        if inside and tag in HEADINGS:
-            return False
+        role = (attrs.get("role") or "").lower()
+        if tag in SITE_TAGS or (tag == "header" and not inside) or role in ROLES:
+            return "own" if inside or role in OWN_ROLES else "site"
+        if tag in ("html", "body", "article", "main") or (inside and tag in HEADINGS):
+            return ""
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         if inside and tag == "section":  # its id is the anchor of a part of the article
             names = attrs.get("class") or ""
         found = {t.lower() for t in _TOKENS.findall(names)} & FURNITURE
-        return "named" if (found - AMBIGUOUS if inside and tag not in BOXES else found) else False
+        if inside and tag not in BOXES:
+            found -= AMBIGUOUS
+        return ("own" if found & OWN else "named") if found else ""
+
+    def _drop(self, k: int) -> None:
+        self.count.subtract(n.tag for n in self.open[k:])
+        del self.open[k:]
 
     def _close(self, tags: set[str] | frozenset[str], scope: set[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
+                self._drop(k)
                 return
             if self.open[k].tag in scope:
                 return
@@ -112,19 +138,23 @@ class Tree(HTMLParser):
             self._close(SIBLINGS[tag], SCOPES[tag])
         named = dict(attrs)
         mark = "".join(f".{re.sub(r'[0-9]+', '#', x)}" for x in sorted(((named.get("class") or "") + " " + (named.get("id") or "")).split()))
-        node = Node(tag, tag + mark, self._noise(tag, named))
-        self.open[-1].parts.append(node)
+        above = self.open[-1]
+        node = Node(tag, tag + mark, above.inside or above.tag in ("article", "main"))
+        node.noise = self._noise(tag, node.inside, named)
+        above.parts.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count[tag]:
+            k = len(self.open) - 1
+            while self.open[k].tag != tag:
+                k -= 1
+            self._drop(k)
 
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
@@ -135,34 +165,31 @@ class Tree(HTMLParser):
         return self.parse_bogus_comment(i)
 
 
-def _holds_main(node: Node) -> bool:
-    """Whether the page's main part is below: a ``main``, or an ``article`` with a headline."""
-    stack = [(node, False)]
+def _measure(root: Node) -> list[Node]:
+    """All elements, each before those below it, with what is below: whether the page's main part is (a
+    ``main``, or an ``article`` with a headline), whether a headline is, the characters that only forms
+    and names could remove, and all characters, those in links and the links."""
+    order, stack = [], [root]
     while stack:
-        x, inside = stack.pop()
+        x = stack.pop()
+        order.append(x)
+        stack.extend(p for p in x.parts if isinstance(p, Node))
+    for x in reversed(order):
+        x.holds = x.headed = False
+        x.chars = x.total = x.linked = x.links = 0
         for p in x.parts:
-            if isinstance(p, Node):
-                if p.tag == "main" or (inside and p.tag in ("h1", "h2")):
-                    return True
-                stack.append((p, inside or p.tag == "article"))
-    return False
-
-
-def _chars(node: Node) -> int:
-    """Characters of the text below that only forms and names could remove."""
-    n, stack = 0, [node]
-    while stack:
-        for p in stack.pop().parts:
             if isinstance(p, str):
-                n += len("".join(p.split()))
-            elif p.noise is not True:
-                stack.append(p)
-    return n
-
-
-def _wraps_page(form: Node, root: Node) -> bool:
-    """Whether a form is around the page's text (one form for the whole page), not a part of it."""
-    return _holds_main(form) or 2 * _chars(form) > _chars(root)
+                n = len("".join(p.split()))
+                x.chars += n
+                x.total += n
+            else:
+                x.total += p.total
+                x.linked += p.total if p.tag == "a" else p.linked
+                x.links += p.links + (p.tag == "a")
+                x.headed = x.headed or p.headed or p.tag in ("h1", "h2")
+                x.holds = x.holds or p.holds or p.tag == "main" or (p.tag == "article" and p.headed)
+                x.chars += p.chars if p.noise not in ("never", "site") else 0
+    return order
 
 
 def _short_number(m: re.Match[str]) -> str:
@@ -182,48 +209,58 @@ def parse(html: str | None) -> Node:
         tree.close()
     except (AssertionError, ValueError):  # no page known does this; what was read stays
         pass
-    stack = [tree.root]
-    while stack:
-        for p in stack.pop().parts:
-            if isinstance(p, Node):
-                if (p.noise == "named" and _holds_main(p)) or (p.noise == "form" and _wraps_page(p, tree.root)):
-                    p.noise = False
-                if not p.noise:
-                    stack.append(p)
+    for x in _measure(tree.root):
+        wraps = x.holds or 2 * x.chars > tree.root.chars  # one form around the page's text, not a part of it
+        if (x.noise in ("named", "own") and x.holds) or (x.noise == "form" and wraps):
+            x.noise = ""
     return tree.root
 
 
-def features(root: Node) -> list[tuple[int, int, int]]:
-    """(element, presentation, content) hashes of a page's elements that no other rule removes."""
-    import xxhash
+def _signed(x: int) -> int:
+    x &= _MASK
+    return x - (1 << 64) if x >> 63 else x
 
-    digest = xxhash.xxh3_64_intdigest
-    shape: dict[int, int] = {}
-    text: dict[int, int] = {}
 
-    def signed(x: int) -> int:
-        x &= (1 << 64) - 1
-        return x - (1 << 64) if x >> 63 else x
+def _kind(x: Node) -> int:
+    """Which bound of importance an element has."""
+    if x.noise in ("site", "named"):
+        return SITE
+    if x.tag in HEADINGS or x.tag in ("#root", "html", "body", "article", "main") or x.holds:
+        return KEPT  # a headline says little but belongs to what follows it
+    return INSIDE if x.inside else PLAIN
 
-    stack: list[tuple[Node, int, bool, tuple[int, ...]]] = [(root, 0, False, ())]
+
+def features(root: Node) -> list[tuple[int, int, int, int]]:
+    """(element, kind, presentation, content) of a page's elements: hashes of the element's path, of its
+    child elements in order, and of the texts below it without their numbers, summed over its places."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    order: list[tuple[Node, int, int]] = []  # element, place of the one above, key
+    stack = [(root, -1, 0)]
     while stack:
-        node, path, inside, above = stack.pop()
+        node, above, path = stack.pop()
         key = digest(node.sign, path)
-        shape[key] = shape.get(key, 0) + digest(">".join(p.sign for p in node.parts if isinstance(p, Node)), 1)
-        text.setdefault(key, 0)
-        line = (*above, key)
+        stack.extend((p, len(order), key) for p in node.parts if isinstance(p, Node) and p.noise not in ("never", "form", "own") and p.tag not in INLINE)
+        order.append((node, above, key))
+    content = [0] * len(order)
+    found: dict[int, list[int]] = {}
+    for k in range(len(order) - 1, -1, -1):
+        node, above, key = order[k]
+        line: list[str] = []
         for p in node.parts:
             if isinstance(p, str):
-                own = digest(" ".join(p.split()), 2)
-                for k in line:
-                    text[k] += own
-            elif not (inside or p.noise or p.tag in ("article", "main") or p.tag in INLINE):
-                stack.append((p, key, inside, line))
-            else:  # below articles only the text counts, for the elements around them
-                own = digest(" ".join(_all_text(p).split()), 2)
-                for k in line:
-                    text[k] += own
-    return [(signed(k), signed(shape[k]), signed(text[k])) for k in shape]
+                line.append(p)
+            elif p.tag in INLINE and not p.noise:
+                line.append(_all_text(p))
+        own = _DIGITS.sub("#", " ".join("".join(line).split()))
+        content[k] += digest(own, 2) if own else 0
+        if above >= 0:
+            content[above] = (content[above] + content[k] * 3) & _MASK
+        row = found.setdefault(key, [_kind(node), 0, 0])
+        row[1] += digest(">".join(p.sign for p in node.parts if isinstance(p, Node)), 1)
+        row[2] += content[k]
+    return [(_signed(key), kind, _signed(shape), _signed(text)) for key, (kind, shape, text) in found.items()]
 
 
 def _all_text(node: Node) -> str:
@@ -251,33 +288,22 @@ def _has_main(root: Node) -> bool:
 
 
 def _menu(node: Node) -> bool:
-    """A list or box whose text is nearly all links, three or more."""
-    if node.tag not in ("ul", "ol", "dl", "div", "table", "section"):
+    """A list or box whose text is nearly all links, three or more; a ``nav`` whose text is mostly links."""
+    if node.tag not in ("ul", "ol", "dl", "div", "table", "section", "nav"):
         return False
-    total = linked = links = 0
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
-    while stack:
-        x, within = stack.pop()
-        if isinstance(x, str):
-            n = len(x) - x.count(" ")
-            total += n
-            linked += n * within
-        else:
-            links += x.tag == "a"
-            stack.extend((p, within or x.tag == "a") for p in x.parts)
-    return links >= 3 and linked >= 0.85 * total
+    return node.linked >= 0.5 * node.total if node.tag == "nav" else node.links >= 3 and node.linked >= 0.85 * node.total
 
 
-def extract(root: Node, low: frozenset[int] | set[int]) -> str:
-    """Text blocks of a page in order, one per line."""
+def extract(root: Node, low: frozenset[int] | set[int], judged: bool = False) -> str:
+    """Text blocks of a page in order, one per line, without the branches in ``low`` and those of the prior.
+
+    Where the host's tree is ``judged`` it alone decides on site furniture and on what is beside an ``article``.
+    """
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    main_only = _has_main(root)
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
+    main_only = not judged and _has_main(root)
+    gone = ("never", "form", "own") if judged else ("never", "form", "own", "site", "named")
     blocks: list[str] = []
     line: list[str] = []
 
@@ -300,7 +326,8 @@ def extract(root: Node, low: frozenset[int] | set[int]) -> str:
         else:
             key = digest(x.sign, path)
             inside = inside or x.tag in ("article", "main")
-            if x.noise or (not inside and (signed(key) in low or (not main_only and x is not root and _menu(x)))):
+            removed = x.noise in gone or (x.noise and x.tag in INLINE) or ((judged or not inside) and _signed(key) in low)
+            if removed or (not inside and not main_only and x is not root and _menu(x)):
                 if x.tag not in INLINE:
                     flush()
                 continue
@@ -313,15 +340,19 @@ def extract(root: Node, low: frozenset[int] | set[int]) -> str:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            hosts = batch.column(0).slice(at, 256).to_pylist()
-            rows = [(host, *f) for host, html in zip(hosts, batch.column(1).slice(at, 256).to_pylist(), strict=True) for f in features(parse(html))]
+            rows = []
+            for host, html in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
+                root = parse(html)
+                text = _signed(xxhash.xxh3_64_intdigest(extract(root, frozenset()) or html or ""))
+                rows += [(host, text, *f) for f in features(root)]
             if rows:
-                host, key, shape, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(host, pa.string()), pa.array(key, pa.int64()), pa.array(shape, pa.int64()), pa.array(text, pa.int64())], names=["host", "key", "shape", "content"]
-                )
+                cols = list(zip(*rows, strict=True))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "text", "key", "kind", "shape", "content"])
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -330,19 +361,39 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged tree of every host: ``host, key, pages, importance``.
+    """The merged tree of every host: ``host, key, kind, pages, importance``; ``pages`` counts texts.
 
-    Pages give a row per element; the rows are counted by feature before they meet by host, so a
+    Pages give a row per element. Rows of one text (what the prior leaves of a page) are one page, so copies of an
+    article don't make it look like furniture. The rows are counted by feature before they meet by host, so a
     host with a third of all pages is no larger a group than its template.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(
-        _feature_rows, "host string, key long, shape long, content long"
+        _feature_rows, "host string, text long, key long, kind int, shape long, content long"
     )
-    both = rows.select("host", "key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("x")))).alias("f"))
-    counts = both.groupBy("host", "key", "f.kind", "f.x").agg(F.count(F.lit(1)).alias("c"))
-    sums = counts.groupBy("host", "key", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    once = rows.groupBy("host", "key", "text").agg(F.min(F.struct("kind", "shape", "content")).alias("f")).select("host", "key", "f.*")
+    both = once.select("host", "key", "kind", F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("shape").alias("x")), F.struct(F.lit(1).alias("of"), F.col("content").alias("x")))).alias("f"))
+    counts = both.groupBy("host", "key", "f.of", "f.x").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("kind"))
+    sums = counts.groupBy("host", "key", "of").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("kind").alias("kind"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("clogc") / (F.col("pages") * F.log("pages"))).otherwise(F.lit(1.0))
-    return sums.withColumn("entropy", entropy).groupBy("host", "key").agg(F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
+    return sums.withColumn("entropy", entropy).groupBy("host", "key").agg(F.max("kind").alias("kind"), F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
+
+
+def verdicts(tree: DataFrame) -> DataFrame:
+    """``host, judged, low``: whether the tree decides on a host, and the elements that go. Hosts of which nothing is known have no row.
+
+    Where it decides, furniture by tag or name that is on fewer than JUDGED texts goes, and other elements
+    on fewer than PAGES go or stay with the branch that they are on. Elsewhere only plain boxes go that
+    nearly all pages have alike.
+    """
+    judged = tree.groupBy("host").agg((F.max("pages") >= JUDGED).alias("judged"))
+    bound = F.element_at(F.create_map(*[F.lit(x) for kv in BOUNDS.items() for x in kv]), F.col("kind"))
+    known = F.col("pages") >= PAGES
+    by_tree = (known & (F.col("importance") < bound)) | ((F.col("kind") == SITE) & (F.col("pages") < JUDGED))
+    low = F.when(F.col("judged"), by_tree).otherwise(known & (F.col("kind") == PLAIN) & (F.col("importance") < LOW))
+    return (
+        tree.join(judged, "host").groupBy("host", "judged").agg(F.collect_set(F.when(low, F.col("key"))).alias("low"))
+        .filter(F.col("judged") | (F.size("low") > 0))
+    )
 
 
 def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,9 +401,9 @@ def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             out = []
-            for html, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for html, judged, low in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 root = parse(html)
-                text = extract(root, set(low or ()))
+                text = extract(root, set(low or ()), bool(judged))
                 out.append(text or (extract(root, set()) if low else ""))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
@@ -364,18 +415,12 @@ def main_text(pages: DataFrame, scratch: Scratch, *, id_col: str = "page_id", ur
 
     A null or empty page, and a page of nothing but furniture, has an empty text. Pages without a
     host are a site of their own. Null ids stay; repeated rows are returned as often; an empty
-    table gives no rows; other columns are ignored. The pages themselves are never shuffled while
+    table gives no rows; other columns, whatever their names, are ignored. The pages themselves are never shuffled while
     the list of low elements is small, which is counted first; beyond that they are joined by host.
     """
-    low = scratch.table(
-        importance(pages, url_col=url_col, html_col=html_col)
-        .filter((F.col("pages") >= PAGES) & (F.col("importance") < LOW))
-        .groupBy("host")
-        .agg(F.collect_set("key").alias("low")),
-        "low",
-    )
-    size = low.agg(F.sum(F.size("low"))).first()[0] or 0
+    low = scratch.table(verdicts(scratch.table(importance(pages, url_col=url_col, html_col=html_col), "tree")), "low")
+    size = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0
     sent = F.broadcast(low) if size <= SENT else low
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(sent, "host", "left").select("page_id", "url", "html", "low")
+    joined = rows.join(sent, "host", "left").select("page_id", "url", "html", "judged", "low")
     return joined.mapInArrow(_extract_rows, "page_id long, url string, text string, n_chars long")

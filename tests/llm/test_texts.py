@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -68,6 +69,74 @@ def test_style_tree_removes_what_all_pages_share(spark, scratch):
     assert all("word" in got[k] and "\n" not in got[k] or "friends" not in got[k] for k in range(40))
 
 
+def site(k, n_menus, rng):
+    """A page where tags and names say nothing: furniture is plain boxes, of ``n_menus`` kinds on the site."""
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    box = random.Random(k % n_menus)
+    menu = " ".join("".join(box.choices("xyz", k=6)) for _ in range(8))
+    own = [text(30), text(25)]
+    html = (
+        f"<body><div class=a1><span>{menu}</span></div><div class=b2><h2>Summary</h2><p>{own[0]}</p><div class=c3>Tell your friends</div><p>{own[1]}</p></div>"
+        f"<div class=d4>Seen 1{k} times. {menu[::-1]}</div></body>"
+    )
+    return html, "Summary\n" + "\n".join(own)
+
+
+def test_importance_alone_finds_the_text(spark, scratch):
+    rng = random.Random(3)
+    made = [site(k, 10, rng) for k in range(120)]
+    rows = [(k, f"http://h.example/{k}", html) for k, (html, _) in enumerate(made)] + [(200, "http://h.example/copy", made[0][0])]
+    rows += [(300 + k, "http://small.example/", site(k, 10, rng)[0]) for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: r.text for r in html_style.main_text(df, scratch).collect()}
+    assert [got[k] for k in range(120)] == [text for _, text in made] and got[200] == got[0]
+    assert all("Tell your friends" in got[300 + k] for k in range(5))  # too few pages to tell
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(k, f"http://{'a' if k % 3 else 'b'}.example/", site(k % 40, 5, rng)[0] if k % 7 else "<body><p>short</p></body>") for k in range(90)]
+    got = {(r.host, r.key): r for r in html_style.importance(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    seen = collections.defaultdict(dict)
+    for _, url, html in rows:
+        root = html_style.parse(html)
+        for key, _, shape, content in html_style.features(root):
+            seen[url[7:16], key][html_style.extract(root, set())] = (shape, content)
+    assert got.keys() == seen.keys()
+    for at, pages in seen.items():
+        n, entropies = len(pages), []
+        for of in (0, 1):
+            parts = [c / n for c in collections.Counter(v[of] for v in pages.values()).values()]
+            entropies.append(1.0 if n == 1 else -sum(p * math.log(p, n) for p in parts))
+        assert got[at].pages == n and abs(got[at].importance - max(entropies)) < 1e-9
+
+
+def test_furniture_by_name_needs_its_own_sameness_on_a_judged_host(spark, scratch):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    want, rows = {}, []
+    for k in range(60):
+        head, body, foot = text(4), text(40), text(10)
+        html = f"<nav><a>Home</a></nav><article><h1>{head}</h1><p>{body}</p><aside>{text(3)}</aside></article><footer>Sources: {foot}</footer><div class=comments>{text(9)}</div><footer class=x>All rights 20{k}</footer>"
+        rows.append((k, "http://h.example/", html))
+        want[k] = f"{head}\n{body}\nSources: {foot}"
+    got = {r.page_id: r.text for r in html_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+    assert got == want
+
+
+def test_deep_pages_take_time_in_proportion():
+    deep = "<div>" * 20_000 + "<p>x</p>"
+    root = html_style.parse(deep + "<b>" * 3000 + "<p>y")
+    assert len(html_style.features(root)) > 20_000 and html_style.extract(root, set()).startswith("x")
+
+
+def test_pages_with_null_and_repeated_ids(spark, scratch):
+    rows = [(None, "http://a.example/", "<p>one</p>"), (1, None, "<p>two</p>"), (1, None, "<p>two</p>"), (2, "no url", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "url as judged", "url as low", "url as host", "html as text")
+    got = [(r.page_id, r.text, r.n_chars) for r in html_style.main_text(df, scratch).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, "one", 3), (1, "two", 3), (1, "two", 3), (2, "", 0)]))
+
+
 def test_pages_of_nothing(spark, scratch):
     assert html_style.main_text(spark.createDataFrame([], "page_id long, url string, html string"), scratch).count() == 0
 
