@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.columns import free_names
 from quillspark.session import Scratch
 
 #: Hexadecimal digits that name a slice of a leaf's hash order (4096 slices with three): only the
@@ -58,6 +59,20 @@ def budgets(leaves: DataFrame, *, fraction: float, temperature: float) -> DataFr
     return _fill(low, ["domain", "lang"]).select("domain", "lang", "source", "tokens", "cap", "share")
 
 
+def _identity(id_col: str, text_col: str, domain: Column | None) -> dict[str, Column]:
+    """What a row is to the mixing: key, leaf and size; rows that agree in all of them are taken alike."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    if domain is None:  # two-level names: the last digit of a source's number stands for its domain
+        domain = F.concat(F.lit("domain"), F.pmod(F.coalesce(F.nullif(F.regexp_extract(source, r"(\d{1,9})$", 1), F.lit("")), F.lit("0")).cast("int"), F.lit(4)))
+    return {
+        "doc_id": F.col(id_col).cast("long"),
+        "domain": domain,
+        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
+        "source": source,
+        "n_tokens": word_tokens(F.col(text_col)),
+    }
+
+
 def mix(
     docs: DataFrame,
     scratch: Scratch,
@@ -82,16 +97,7 @@ def mix(
     Nulls in lang or source are a group of their own (empty string); a null text has one token;
     repeated rows are taken alike; an empty table gives no rows; other columns are ignored.
     """
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if domain is None:  # two-level names: the last digit of a source's number stands for its domain
-        domain = F.concat(F.lit("domain"), F.pmod(F.coalesce(F.nullif(F.regexp_extract(source, r"(\d{1,9})$", 1), F.lit("")), F.lit("0")).cast("int"), F.lit(4)))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        domain.alias("domain"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        source.alias("source"),
-        word_tokens(F.col(text_col)).alias("n_tokens"),
-    )
+    rows = docs.select(*[c.alias(name) for name, c in _identity(id_col, text_col, domain).items()])
     rows = scratch.table(rows, "rows")
     leaf = ["domain", "lang", "source"]
     leaves = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * epochs)
@@ -120,13 +126,20 @@ def mix(
     )
 
 
-def apply(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
-    """The mixed documents: a row for each epoch that takes a document, none for those left out."""
-    cols = docs.columns
-    taken = mix(docs, scratch, id_col=id_col, **options).filter("epochs > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").alias("_epochs"))
-    return (
-        docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-        .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_epochs"))))
-        .select(*cols)
-    )
+def apply(
+    docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, **options  # noqa: ANN003
+) -> DataFrame:
+    """The mixed documents: a row for each epoch that takes a document, none for those left out.
+
+    Rows are told apart by key, leaf and size, so rows that share a key, or have none, are taken at the rate of their own
+    leaf; those that agree in all three are taken alike. An empty table gives no rows; columns of any name are kept as they are.
+    """
+    identity = _identity(id_col, text_col, domain)
+    own = dict(zip(identity, free_names(docs, len(identity)), strict=True))
+    times, epoch = free_names(docs, len(own) + 2)[len(own) :]
+    taken = mix(docs, scratch, id_col=id_col, text_col=text_col, domain=domain, **options)
+    taken = taken.groupBy(*[F.col(c).alias(name) for c, name in own.items()]).agg(F.max("epochs").alias(times)).filter(F.col(times) > 0)
+    same = F.lit(True)
+    for c, name in own.items():
+        same = same & identity[c].eqNullSafe(F.col(name))
+    return docs.join(taken, same).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

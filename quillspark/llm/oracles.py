@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from quillspark.llm import secrets
-
 _MIXING = r"""
 with r as (
   select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
@@ -31,31 +29,38 @@ g{k} as (select *, first_value(case when level * weight < cap then level end ign
 s{k} as (select * exclude (level, final), cast(case when final is null then cap else least(cap, floor(final * weight)) end as bigint) as share from g{k})"""
 
 
-def _spans(kind: str, order: int) -> str:
-    pattern = secrets.PATTERNS.get(kind, secrets.GENERIC).replace("'", "''")
-    value = f"regexp_extract(m, '{pattern}', {secrets.GROUPS[kind]})" if secrets.GROUPS.get(kind) else "m"
-    good = f"length(value) >= {secrets.LEAST[kind]}" if kind in secrets.LEAST else "regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')"
-    return f"""select rid, owner, '{kind}' as kind, {order} as ord, start, start + length(m) as stop, value from (
-    select *, {value} as value from (
-      select rid, owner, i, split_part(part, chr(2), 1) as m, cast(sum(length(part) - cast(i > 1 as int)) over (partition by rid order by i rows unbounded preceding) - length(part) + cast(i > 1 as int) as bigint) as start
-      from (select rid, owner, unnest(parts) as part, generate_subscripts(parts, 1) as i from (
-        select rid, owner, string_split(regexp_replace(text, '{pattern}', concat(chr(1), '\\0', chr(2)), 'g'), chr(1)) as parts from t)))
+# Kinds of the secret scan: pattern as given, the group that holds the value, and what a value must be.
+_KINDS = (
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, "length(value) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(value) >= 20"),
+    ("hex", "[0-9a-f]+", 0, "length(value) >= 24"),
+    ("generic", "[A-Za-z0-9+/_-]{24,}", 0, "regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')"),
+)
+
+
+def _spans(kind: str, pattern: str, group: int, good: str, order: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""select rid, owner, repo, '{kind}' as kind, {order} as ord, start, start + length(m) as stop, value from (
+    select *, regexp_extract(m, '{pattern}', {group}) as value from (
+      select rid, owner, repo, i, split_part(part, chr(2), 1) as m, cast(sum(length(part) - cast(i > 1 as int)) over (partition by rid order by i rows unbounded preceding) - length(part) + cast(i > 1 as int) as bigint) as start
+      from (select rid, owner, repo, unnest(parts) as part, generate_subscripts(parts, 1) as i from (
+        select rid, owner, repo, string_split(regexp_replace(text, '{pattern}', concat(chr(1), '\\0', chr(2)), 'g'), chr(1)) as parts from t)))
     where i > 1) where {good}"""
 
 
 _SECRETS = f"""
-with t as (select doc_id, row_number() over () as rid, translate(coalesce(text, ''), concat(chr(1), chr(2)), concat(chr(3), chr(3))) as text, coalesce(source, '') as owner from documents),
-base as ({" union all ".join(_spans(k, i) for i, k in enumerate(secrets.KINDS))}),
-extra as (select * from ({_spans("generic", len(secrets.KINDS))}) g where not exists (select 1 from base b where b.rid = g.rid and b.start < g.stop and g.start < b.stop)),
+with t as (select doc_id, row_number() over () as rid, translate(coalesce(text, ''), concat(chr(1), chr(2)), concat(chr(3), chr(3))) as text, coalesce(source, '') as owner, coalesce(lang, '') as repo from documents),
+base as ({" union all ".join(_spans(*k, i) for i, k in enumerate(_KINDS[:3]))}),
+extra as (select * from ({_spans(*_KINDS[3], 3)}) g where not exists (select 1 from base b where b.rid = g.rid and b.start < g.stop and g.start < b.stop)),
 a as (select * from base union all select * from extra),
-used as (select value, count(distinct owner) < {secrets.EXAMPLE_OWNERS} as live from a group by value),
-j as (select a.*, live from a join used using (value)),
+used as (select value, count(distinct owner) < 3 as live, count(distinct (owner, repo)) > 1 as spread from a group by value),
+j as (select a.*, live, spread from a join used using (value)),
 b as (select rid, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
   coalesce(string_agg(concat_ws(':', kind, start, stop), ',' order by start, ord) filter (where ord < 3), '') as base,
   coalesce(string_agg(concat_ws(':', kind, start, stop), ',' order by start, ord) filter (where ord < 3 or live), '') as spans,
-  count(*) filter (where live) as n_live, count(*) filter (where not live) as n_example from j group by rid)
+  count(*) filter (where live) as n_live, count(*) filter (where not live) as n_example, count(*) filter (where live and spread) as n_spread from j group by rid)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
-  coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from t left join b using (rid)"""
+  coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example, coalesce(n_spread, 0) as n_spread from t left join b using (rid)"""
 
 _VECTORS = """
 with recursive g as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),

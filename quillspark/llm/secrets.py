@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.columns import free_names
 from quillspark.session import Scratch
 
 # The kinds in their order, their patterns, the group that holds the secret
@@ -21,6 +22,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 GENERIC = "[A-Za-z0-9+/_-]{24,}"
 #: A value that this many owners or more share is a copied example, not somebody's secret.
 EXAMPLE_OWNERS = 3
+#: A value that more than this part of all candidates share is joined to its counts by broadcast: there are at most 1 / HOT of them.
+HOT = 0.001
+#: Spans to mask, over the corpus, up to which they are sent to every task.
+SENT = 500_000
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
 
 
@@ -34,55 +39,63 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), cut).otherwise(F.array(text))  # most texts have no match: none is built for them
 
 
-def _spans(parts: Column, kind: str, order: int) -> Column:
-    """Array of (start, ord, end, kind, value) in code points, from the cut text."""
-    group, least = GROUPS.get(kind, 0), LEAST.get(kind, 0)
-    pattern = PATTERNS.get(kind, GENERIC)
-
-    def step(acc: Column, part: Column) -> Column:
-        match = F.substring_index(part, _CLOSE, 1)
-        value = F.regexp_extract(match, pattern, group) if group else match
-        end = acc["at"] + F.char_length(match)
-        good = F.char_length(value) >= least
-        if kind not in PATTERNS:
-            good = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-        found = F.struct(
-            acc["at"].alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")
-        )
-        return F.struct(
-            (acc["at"] + F.char_length(part) - 1).alias("at"),
-            F.when(good, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"),
-        )
+def _measured(parts: str, order: int) -> Column:
+    """Number, match and length of each part of a cut text; none where nothing matched."""
+
+    def measure(part: Column, i: Column) -> Column:
+        match = F.when(i > 0, F.substring_index(part, _CLOSE, 1))
+        return F.struct(F.lit(order).alias("ord"), i.alias("i"), match.alias("match"), (F.char_length(part) - (i > 0).cast("int")).alias("n"))
+
+    none = F.expr("cast(array() as array<struct<ord:int,i:int,match:string,n:int>>)")
+    return F.when(F.size(parts) > 1, F.transform(parts, measure)).otherwise(none)
+
+
+def _value(match: Column, kind: str) -> Column:
+    group = GROUPS.get(kind, 0)
+    return F.regexp_extract(match, PATTERNS[kind], group) if group else match
 
-    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string,value:string>>)")
-    zero = F.struct(F.char_length(parts[0]).alias("at"), none.alias("out"))
-    many = F.aggregate(F.slice(parts, 2, F.size(parts)), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(parts) > 1, many).otherwise(none)
 
+def candidates(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, owner: Column, repository: Column) -> tuple[DataFrame, DataFrame]:
+    """Every row (``rid, doc_id, text_hash, owner, repository``) and every span (``rid, ord, start, end, kind, value``).
 
-def candidates(docs: DataFrame, *, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
-    """Base and generic spans of every row, one pass over the texts, without a shuffle."""
+    One pass over the texts cuts them before each match and keeps the matches and the lengths of the parts. Places
+    are running sums over a row's parts, and overlaps come from a running maximum over its spans, so the
+    time of a text with very many matches grows in proportion to it.
+    """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _OPEN + _CLOSE, _OTHER + _OTHER)
+    kinds = (*KINDS, "generic")
     cut = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(text_col).alias("text_hash"),
         owner.alias("owner"),
         repository.alias("repository"),
-        F.xxhash64(text_col).alias("text_hash"),
         text.alias("text"),
     )
-    for kind in KINDS:
-        cut = cut.withColumn(f"p_{kind}", _parts(F.col("text"), PATTERNS[kind]))
-    cut = cut.withColumn("p_generic", _parts(F.col("text"), GENERIC))
-    for i, kind in enumerate((*KINDS, "generic")):
-        cut = cut.withColumn(f"s_{kind}", _spans(F.col(f"p_{kind}"), kind, i))
-    base = F.array_sort(F.concat(*[F.col(f"s_{k}") for k in KINDS]))
-    extra = F.filter("s_generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    return (
-        cut.withColumn("base", base)
-        .withColumn("extra", extra)
-        .select("rid", "doc_id", "text_hash", "owner", "repository", *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "base", "extra")
+    for kind in kinds:
+        cut = cut.withColumn(f"p_{kind}", _parts(F.col("text"), PATTERNS.get(kind, GENERIC)))
+    parts = F.concat(*[_measured(f"p_{kind}", k) for k, kind in enumerate(kinds)])
+    cut = scratch.table(cut.select("rid", "doc_id", "text_hash", "owner", "repository", parts.alias("parts")), "cut")
+    before = Window.partitionBy("rid", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        cut.filter("size(parts) > 0").select("rid", F.explode("parts").alias("p")).select("rid", "p.*")
+        .withColumn("start", F.sum("n").over(before).cast("int")).filter("i > 0")
+        .select("rid", "ord", "start", (F.col("start") + F.char_length("match")).alias("end"), "match")
     )
+    value = F.lit(None).cast("string")
+    kind_name = F.lit("generic")
+    good = F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")
+    for k, kind in enumerate(KINDS):
+        mine = F.col("ord") == k
+        value, kind_name = F.when(mine, _value(F.col("match"), kind)).otherwise(value), F.when(mine, F.lit(kind)).otherwise(kind_name)
+        good = F.when(mine, F.char_length(_value(F.col("match"), kind)) >= LEAST[kind]).otherwise(good)
+    value = F.coalesce(value, "match")
+    found = placed.filter(good).select("rid", "ord", "start", "end", kind_name.alias("kind"), value.alias("value"))
+    # A generic span overlaps a base span if, of the base spans that start before its end, the last end is behind its start.
+    generic = F.col("ord") == len(KINDS)
+    upto = Window.partitionBy("rid").orderBy(F.when(generic, F.col("end")).otherwise(F.col("start")), F.when(generic, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("reach", F.max(F.when(~generic, F.col("end"))).over(upto)).filter(~generic | F.col("reach").isNull() | (F.col("reach") <= F.col("start")))
+    return cut.drop("parts"), scratch.table(found.drop("reach"), "spans")
 
 
 def _joined(spans: Column) -> Column:
@@ -105,50 +118,58 @@ def scan(
     Owners default to ``source`` and repositories to ``source/lang``; a null counts as one
     owner of its own. Every candidate's hash is counted by distinct repositories and owners
     (pairs first, so a value in a third of all rows is combined before it moves). A value of
-    ``EXAMPLE_OWNERS`` owners or more is a widely copied example, others look live. Spans by
+    ``EXAMPLE_OWNERS`` owners or more is a widely copied example, others look live; a live-looking
+    one in several repositories of its owners is in use across them (``n_spread``), one in a single repository is not. Spans by
     pattern stay whatever their class; long runs of letters and digits without a keyword are added where they
     look live and overlap no other span.
 
-    Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example,
+    Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_spread,
     live`` (array of start and end of live-looking spans), ``text_hash`` and ``rid``, one row per
     input row. A null text counts as empty; a null
-    key stays null; rows that repeat are returned as often; an empty table gives no rows.
+    key stays null; rows that repeat are returned as often; an empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
     owner = F.coalesce((F.col("source") if owner is None else owner).cast("string"), F.lit(""))
     if repository is None:
         repository = F.concat_ws("/", owner, F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    found = scratch.table(candidates(docs, id_col=id_col, text_col=text_col, owner=owner, repository=repository), "candidates")
-    each = found.filter("size(base) + size(extra) > 0").select(
-        "rid", "owner", "repository", F.explode(F.concat("base", "extra")).alias("s")
-    ).select("rid", "owner", "repository", F.sha2("s.value", 256).alias("hash"), F.col("s").dropFields("value").alias("s"))
-    used = (
+    rows, spans = candidates(docs, scratch, id_col=id_col, text_col=text_col, owner=owner, repository=repository)
+    each = scratch.table(
+        spans.join(rows.select("rid", "owner", "repository"), "rid")
+        .select("rid", "owner", "repository", F.sha2("value", 256).alias("hash"), F.struct("start", "ord", "end", "kind").alias("s")),
+        "each",
+    )
+    used = scratch.table(
         each.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
-        .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+        .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n")),
+        "used",
     )
+    total = used.agg(F.sum("n")).first()[0] or 0
+    hot = used.filter(F.col("n") > HOT * total)  # 1 / HOT rows at most, so no task gets all rows of one value
     judged = (
-        each.join(used, "hash")
+        each.join(F.broadcast(hot), "hash")
+        .unionByName(each.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(used.filter(F.col("n") <= HOT * total), "hash"))
         .withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
         .groupBy("rid")
         .agg(
-            F.array_sort(F.collect_list(F.when((F.col("s.ord") < 3) | F.col("live"), F.col("s")))).alias("all"),
+            F.array_sort(F.collect_list(F.when((F.col("s.ord") < len(KINDS)) | F.col("live"), F.col("s")))).alias("all"),
             F.array_sort(F.collect_list(F.when(F.col("live"), F.struct("s.start", "s.end")))).alias("live"),
+            *[F.count_if(F.col("s.ord") == k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
             F.count_if("live").alias("n_live"),
             F.count_if(~F.col("live")).alias("n_example"),
+            F.count_if(F.col("live") & (F.col("repositories") > 1)).alias("n_spread"),
         )
     )
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return found.select("rid", "doc_id", "text_hash", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256")).join(
-        judged, "rid", "left"
-    ).select(
+    base = F.filter("all", lambda x: x["ord"] < len(KINDS))
+    counts = [*[f"n_{k}" for k in KINDS], "n_live", "n_example", "n_spread"]
+    return rows.select("rid", "doc_id", "text_hash").join(judged, "rid", "left").select(
         "rid",
         "doc_id",
         "text_hash",
-        *[f"n_{k}" for k in KINDS],
-        "base_sha256",
+        F.sha2(F.coalesce(_joined(base), F.lit("")), 256).alias("base_sha256"),
         F.coalesce(_joined(F.col("all")), F.lit("")).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
         F.coalesce("live", none).alias("live"),
     )
 
@@ -157,29 +178,37 @@ def redact(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
     """The documents with every live-looking secret replaced by a mask; all rows stay, and
     ``n_chars``, where there is one, follows the text.
 
-    Each row's own text is cut at its spans, merged where they overlap. The spans reach their
-    row by key and text hash; equal rows have equal spans.
+    Each row's own text is cut at its spans, merged where they overlap, and the pieces are joined with the mask. The
+    spans reach their row by key and text hash; equal rows have equal spans. Null texts and texts without such a
+    secret stay as they are; an empty table gives no rows; columns of any name are kept as they are.
     """
     cols = docs.columns
-    spans = scan(docs, scratch, id_col=id_col, text_col=text_col).filter("size(live) > 0")
-    hit = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("live").alias("_live")).dropDuplicates(["_id", "_hash"])
-    merged = F.aggregate(
-        "_live",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(F.col(text_col)))),
+    own_id, own_hash, own_live = free_names(docs, 3)
+    spans = scan(docs, scratch, id_col=id_col, text_col=text_col).filter("size(live) > 0").select("doc_id", "text_hash", "rid", F.explode("live").alias("s"))
+    # Overlapping spans become one: a span begins one if no earlier span reaches behind its start.
+    earlier = Window.partitionBy("rid").orderBy("s.start", "s.end").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("rid").orderBy("s.start", "s.end").rowsBetween(Window.unboundedPreceding, 0)
+    merged = (
+        spans.withColumn("new", F.coalesce(F.col("s.start") >= F.max("s.end").over(earlier), F.lit(True)).cast("int"))
+        .withColumn("run", F.sum("new").over(whole))
+        .groupBy("rid", "run").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.min("s.start").alias("start"), F.max("s.end").alias("end"))
+        .groupBy("rid").agg(F.min("doc_id").alias(own_id), F.min("text_hash").alias(own_hash), F.array_sort(F.collect_list(F.struct("start", "end"))).alias(own_live))
+    )
+    hit = scratch.table(merged.drop("rid").dropDuplicates([own_id, own_hash]), "hit")
+    size = hit.agg(F.sum(F.size(own_live) + 4)).first()[0] or 0
+    hit = F.broadcast(hit) if size <= SENT else hit  # texts stay where they are while few have secrets
+    # The text between two spans, by place: what is before the first span, between each and the next, and behind the last.
+    pieces = F.transform(
+        F.arrays_zip(
+            F.concat(F.array(F.lit(0)), F.col(own_live)["end"]).alias("from"), F.concat(F.col(own_live)["start"], F.array(F.char_length(text_col))).alias("upto")
+        ),
+        lambda z: F.substring(F.col(text_col), z["from"] + 1, z["upto"] - z["from"]),
     )
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
     out = docs.join(hit, same, "left")
-    out = out.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(merged))
+    out = out.withColumn(text_col, F.when(F.col(own_live).isNull(), F.col(text_col)).otherwise(F.array_join(pieces, mask)))
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(own_live).isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast("long")))
     return out.select(*cols)
 
 

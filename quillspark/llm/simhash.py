@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.columns import free_names
 from quillspark.operators.graph import components
 from quillspark.session import Scratch
 
@@ -120,15 +121,12 @@ def near_duplicates(
 def keep_one(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the one with the least key.
 
-    Rows with a null key can't be told apart and stay; of rows with one key, one stays.
+    Rows with a null key can't be told apart and stay; of equal rows of one key and text one stays, and
+    different texts of one key all do. An empty table gives no rows; columns of any name are kept as they are.
     """
+    own, row = free_names(docs, 2)
     found = near_duplicates(docs, scratch, id_col=id_col, text_col=text_col)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = (
-        docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi")
-        .withColumn("_row", F.row_number().over(one))
-        .filter("_row = 1")
-        .drop("_row")
-    )
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    one = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+    kept = docs.join(keep, F.col(id_col) == F.col(own), "left_semi").withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1)
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -3,13 +3,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_style, imatch, langid, mixing, secrets
+from quillspark.llm import html_style, imatch, langid, mixing, secrets, simhash
 from tests.llm.conftest import edge_rows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -263,6 +264,68 @@ def test_redaction_keeps_rows_and_columns(edges, scratch):
     assert out.filter("text is not null and n_chars <> char_length(text)").count() == 0
 
 
+def test_texts_with_very_many_secrets(spark, scratch):
+    many = "token=abcdef1 AKIA" + "Z" * 20 + " " + "Ab1" * 10 + "\n"
+    rows = [(1, many * 16_000, "en", "s1"), (2, "", "en", "s1"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    t = time.monotonic()
+    got = {r.doc_id: r for r in secrets.scan(df, scratch).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "n_live").collect()}
+    assert time.monotonic() - t < 60
+    assert ([got[1].n_assign, got[1].n_access, got[1].n_hex], got[1].base_sha256) == slow_scan(rows[0][1]) and got[1].n_live == 48_000
+    out = {r.doc_id: r.text for r in secrets.redact(df, scratch).collect()}
+    assert out[1] == "[secret] [secret] [secret]\n" * 16_000 and out[2] == "" and out[3] is None
+
+
+def slow_generic(text):
+    """Places of long runs of letters and digits that overlap no base span, one against one."""
+    base = [(m.start(), m.end()) for p, g, least in SLOW.values() for m in p.finditer(text) if len(m.group(g)) >= least]
+    runs = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{24,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [(a, b) for a, b in runs if not any(x < b and a < y for x, y in base)]
+
+
+def test_generic_spans_and_repositories(spark, scratch):
+    random.seed(9)
+    bits = ["token=", "Zx9" * 9, "0123456789abcdef" * 2, " ", "/", "AKIA" + "Q" * 20, "-" * 30, "password: hunter2hunter2"]
+    rows = [(k, "".join(random.choices(bits, k=random.randint(0, 9))) + f" {k}own{k}" + "x" * 24, f"l{k % 2}", f"s{k % 2}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in secrets.scan(df, scratch).collect()}
+    for k, text, _, _ in rows:  # two owners: everything looks live
+        found = [tuple(map(int, s.split(":")[1:])) for s in got[k].spans.split(",") if s.startswith("generic")]
+        assert found == slow_generic(text) and got[k].n_example == 0
+    own = "Qq1" * 9
+    rows = [(1, own, "en", "s1"), (2, own, "fr", "s1"), (3, "Rr2" * 9, "en", "s1"), (4, "Rr2" * 9, "en", "s1")]
+    got = {r.doc_id: (r.n_live, r.n_spread) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), scratch).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 0), 4: (1, 0)}
+
+
+CLASHES = ("_id", "_hash", "_live", "_row", "_kept", "_epoch", "_epochs", "OWN_0", "own_1", "own_2", "rid", "doc", "epochs", "domain", "n_tokens", "live", "spans", "h", "slice", "component_id")
+
+
+def test_stages_keep_columns_of_any_name(spark, edges, nothing, scratch):
+    for base in (edges, nothing):
+        df = base.select(*[c for c in base.columns if c not in CLASHES], *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+        model = langid.train(df, langid.public_pieces(PIECES))
+        for out in (secrets.redact(df, scratch), mixing.apply(df, scratch), simhash.keep_one(df, scratch), langid.keep_identified(df, model)):
+            rows = out.collect()
+            assert out.columns == df.columns and (base is edges) == (len(rows) > 0)
+            assert all([r[c] for c in CLASHES] == list(range(len(CLASHES))) for r in rows)
+
+
+def test_rows_of_one_key_keep_their_own_leaf(spark, scratch):
+    rows = [(1, "w " * 50, "en", "src0"), (1, "w " * 60, "fr", "src1"), (None, "w " * 3, "en", "src0"), (None, "w " * 4, "fr", "src1")]
+    rows += [(k, "w " * 40, "en", "src0") for k in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {(r.doc_id, r.source): r.epochs for r in mixing.mix(df, scratch).collect()}
+    took = collections.Counter((r.doc_id, r.source) for r in mixing.apply(df, scratch).collect())
+    assert {k: took[k] for k in want} == want and len(set(want.values())) > 1
+
+
+def test_different_texts_of_one_key_stay(spark, scratch):
+    rows = [(1, "alpha beta gamma delta"), (1, "other words are here now"), (2, "alpha beta gamma delta"), (1, "alpha beta gamma delta")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:2])
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
