@@ -1,13 +1,13 @@
 """Best-fit packing of documents into sequences of bounded length, bulk-synchronously.
 
-Documents are tokenised and cut into pieces where they lie; only a row per piece moves on.
-Pieces of one length are interchangeable and so are gaps of one size, so both sides are kept
-as runs (a length or gap size, a first rank, a count): one run per length, and one per group
-of sequences with a common history. Rounds go from the longest pieces to the shortest. Each is
-one sweep over the gaps sorted by size: the pieces find their successor, the smallest gap that
-holds them; where more pieces than gaps meet, rank decides and the rest move on; gaps shrink
-and the next round starts. Pieces that no gap holds open new sequences. Counting, ranking and placing the pieces are distributed; the sweeps
-work on runs, whose number depends on the sequence length and not on the documents.
+Documents are tokenised and cut into pieces where they lie; only a narrow row per piece moves on. Pieces
+go by bands of length, the longest first; a piece of over half a sequence opens one. In each round
+of a band its pieces and the gaps of all open sequences are range-sorted together by size, and swept from the
+largest down: a gap raises the level and a piece lowers it. A piece's successor, the smallest gap that holds it
+and that no longer piece takes, is the last gap before it that crossed its level upwards, so levels, running sums
+over the ranges, are the ranks that settle all conflicts at once. Matched gaps shrink and the next round follows. Where
+few pieces of the band still find a gap, as many sequences are opened as their tokens need. A gap that holds several pieces
+of the band is several gaps in a round.
 """
 
 from __future__ import annotations
@@ -18,13 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.tokens import encoder
 from quillspark.session import Scratch
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
+UNITS = "size long, piece boolean, id long, sub int, gap long, part int, at long, edge long"
+#: Bands of length are halved down to this one, which also holds all shorter pieces.
+LAST_BAND = 16
+#: Part of a band's pieces left that must find a gap in a round, or sequences are opened.
+ENOUGH = 0.05
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -33,7 +38,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size
     part = TaskContext.get().partitionId()
     enc = encoder(tokenizer)
     end = np.array([end_id], dtype=enc.dtype).tobytes()
-    seen = np.zeros(size + 1, dtype=np.int64)
+    item = part << 40  # rows of one task are numbered from here
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             keys = batch.column(0).slice(at, 512).to_pylist()
@@ -42,29 +47,139 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size
                 wide = np.frombuffer(ids + end, dtype=enc.dtype).astype("<u4")
                 for piece, start in enumerate(range(0, len(wide), size)):
                     own = wide[start : start + size]
-                    rows.append((key, piece, start, len(own), zlib.crc32(own.tobytes()), part, int(seen[len(own)])))
-                    seen[len(own)] += 1
+                    rows.append((key, piece, start, len(own), zlib.crc32(own.tobytes()), item))
+                    item += 1
             cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "item"],
             )
 
 
 def pieces(
     docs: DataFrame, tokenizer: str, end_id: int, size: int, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Token pieces of every document, without their ids; ``rank`` counts a length within a task."""
+    """Token pieces of every document, without their ids; ``item`` is a number of each."""
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
         lambda it: _pieces(it, tokenizer, end_id, size), PIECES
     )
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of one range in their order, with the level edge that each crosses, counted from the range's start."""
+    from pyspark import TaskContext
+
+    part, level, at = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        piece = batch.column(1).to_numpy(zero_copy_only=False)
+        after = level + np.cumsum(np.where(piece, -1, 1))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(at, at + n)), pa.array(np.where(piece, after, after - 1))],
+            names=["size", "piece", "id", "sub", "gap", "part", "at", "edge"],
+        )
+        level, at = int(after[-1]), at + n
+
+
+def match(left: DataFrame, gaps: DataFrame, most: int, least: int, scratch: Scratch) -> DataFrame:
+    """Best fit of every piece (``item, length``, all of ``least`` to ``most``) among the gaps (``seq, gap``), each used once:
+    ``item, length, seq, sub, gap``, with null where no gap is left that holds the piece.
+
+    ``sub`` numbers the parts of a gap that is several gaps of at least ``most``. No task holds a whole size: equal sizes
+    are ordered by a hash and cut anywhere. At one level there is an event per size at most.
+    """
+    parts = F.greatest(F.lit(1), F.floor(F.col("gap") / most)).cast("int")
+    split = gaps.filter(F.col("gap") >= least).select("seq", "gap", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("sub"))
+    units = split.select(F.floor(F.col("gap") / F.col("parts")).alias("size"), F.lit(False).alias("piece"), F.col("seq").alias("id"), "sub", "gap").unionByName(
+        left.select(F.col("length").alias("size"), F.lit(True).alias("piece"), F.col("item").alias("id"), F.lit(0).alias("sub"), F.lit(0).cast("long").alias("gap"))
+    )
+    order = [F.col("size").desc(), F.col("piece").asc(), F.xxhash64("id", "sub").asc(), F.col("id").asc(), F.col("sub").asc()]
+    swept = scratch.table(units.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_levels, UNITS), "swept")
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per range, whatever the number of units.
+    bases = swept.groupBy("part").agg(F.sum(F.when(F.col("piece"), -1).otherwise(1)).alias("rise")).select("part", F.coalesce(F.sum("rise").over(before), F.lit(0)).alias("base"))
+    events = swept.join(F.broadcast(bases), "part").withColumn("edge", F.col("edge") + F.col("base"))
+    last = Window.partitionBy("edge").orderBy("part", "at")
+    found = F.lag(F.when(~F.col("piece"), F.struct("id", "sub", "gap"))).over(last)
+    return events.withColumn("g", found).filter("piece").select(
+        F.col("id").alias("item"), F.col("size").alias("length"), F.col("g.id").alias("seq"), F.col("g.sub").alias("sub"), F.col("g.gap").alias("gap")
+    )
+
+
+def place(items: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """A sequence for every piece given as ``item, length``: ``item, length, seq, round, sub``.
+
+    The pieces of a sequence lie in it in the order of round and sub.
+    """
+    spark = items.sparkSession
+    count = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
+    done = [items.filter(2 * F.col("length") > size).select("item", "length", F.col("item").alias("seq"), F.lit(0).alias("round"), F.lit(0).alias("sub"))]
+    gaps = scratch.table(done[0].filter(F.col("length") < size).select("seq", (F.lit(size) - F.col("length")).alias("gap")), "gaps-0")
+    upper, k = size // 2, 0
+    while upper:
+        lower = upper // 2 if upper > LAST_BAND else 0
+        own = {x: n for x, n in count.items() if lower < x <= upper}
+        left = items.filter((F.col("length") > lower) & (F.col("length") <= upper))
+        n, tokens, most, least = sum(own.values()), sum(x * c for x, c in own.items()), max(own, default=0), min(own, default=0)
+        room = n  # places that the gaps may have, at most
+        while n:
+            k += 1
+            if room < ENOUGH * n:  # as many as the pieces need at least; ids of opened sequences are negative, those of pieces are not
+                need = max(-(-tokens // size), -(-n // (size // least)))
+                opened = spark.range(need).select((-F.col("id") - 1 - F.lit(k << 40)).alias("seq"), F.lit(size).cast("long").alias("gap"))
+                gaps = gaps.unionByName(opened)
+            missed, shrunk = Observation(), Observation()
+            length = F.when(F.col("seq").isNull(), F.col("length"))
+            found = match(left, gaps, most, least, scratch).observe(
+                missed, F.count(length).alias("n"), F.sum(length).alias("tokens"), F.max(length).alias("most"), F.min(length).alias("least")
+            )
+            found = scratch.table(found, f"round-{k}")
+            n, tokens, most, least = (missed.get[x] or 0 for x in ("n", "tokens", "most", "least"))
+            placed = found.filter("seq is not null").select("item", "length", "seq", F.lit(k).alias("round"), "sub")
+            done.append(placed)
+            used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
+            gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0")
+            places = F.when(F.col("gap") >= least, F.greatest(F.lit(1), F.floor(F.col("gap") / max(1, most))))
+            gaps = scratch.table(gaps.observe(shrunk, F.sum(places).alias("room")), f"gaps-{k}")
+            room = shrunk.get["room"] or 0
+            scratch.drop(f"gaps-{k - 1}")
+            left = found.filter("seq is null").select("item", "length")
+        upper = lower
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    scratch: Scratch,
+    *,
+    end_id: int = 1,
+    size: int = 4096,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Pack every document; one row per piece with its sequence and the place in it.
+
+    A null text counts as empty, so its piece is the end id alone; a null key stays null;
+    repeated rows are packed each; an empty table gives no rows; other columns, whatever their names, are ignored.
+    """
+    cut = scratch.table(pieces(docs, tokenizer, end_id, size, id_col=id_col, text_col=text_col), "pieces")
+    placed = scratch.table(place(cut.select("item", "length"), size, scratch), "placed")
+    before = Window.partitionBy("seq").orderBy("round", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed.select("item", F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return cut.join(at, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def sweeps(classes: list[tuple[int, int]], size: int) -> list[tuple]:
-    """Rounds for pieces given as (length, number): runs (length, rank_lo, n, per, seq_lo, n_seq, gap).
+    """Best-fit decreasing, one length after another, for pieces given as (length, number): runs (length, rank_lo, n, per, seq_lo, n_seq, gap).
 
-    A round takes all pieces of the longest length left. Its sweep goes over the gaps sorted by size,
+    It is what the rounds are compared with. A step takes all pieces of the longest length left. Its sweep goes over the gaps sorted by size,
     from the successor of the length on; ranks decide which pieces get the gaps of a size, and each
     shrunk gap takes its place in the order before the next step, so it can be the successor again.
     Pieces that no gap holds open sequences, each filled with as many of them as fit.
@@ -108,61 +223,3 @@ def sweeps(classes: list[tuple[int, int]], size: int) -> list[tuple]:
             for seq, n in shrunk:
                 give(gap - length, seq, n)
     return out
-
-
-RUNS = "length long, rank_lo long, n long, per long, seq_lo long, n_seq long, gap long"
-
-
-def plan(classes: DataFrame, size: int) -> DataFrame:
-    """Placements for pieces given as ``length, n``.
-
-    There is a row per length, at most ``size`` of them whatever the number of documents, so
-    one task holds all runs; how many documents a run stands for doesn't matter to it.
-    """
-
-    def run(frames):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        rows = [r for f in frames for r in zip(f["length"], f["n"], strict=True)]
-        yield pd.DataFrame(sweeps(rows, size), columns=["length", "rank_lo", "n", "per", "seq_lo", "n_seq", "gap"], dtype="int64")
-
-    return classes.select("length", "n").coalesce(1).mapInPandas(run, RUNS)
-
-
-def pack(
-    docs: DataFrame,
-    tokenizer: str,
-    scratch: Scratch,
-    *,
-    end_id: int = 1,
-    size: int = 4096,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Pack every document; one row per piece with its sequence and the place in it.
-
-    A null text counts as empty, so its piece is the end id alone; a null key stays null;
-    repeated rows are packed each; an empty table gives no rows; other columns are ignored.
-    """
-    cut = scratch.table(pieces(docs, tokenizer, end_id, size, id_col=id_col, text_col=text_col), "pieces")
-    by_part = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    classes = by_part.groupBy("length").agg(F.sum("n").alias("n"))
-    runs = scratch.table(plan(classes, size), "runs")
-    ranked = cut.join(bases, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
-    at = F.col("rank") - F.col("rank_lo")
-    # At most a few runs per length, whatever the number of documents: small enough to send everywhere.
-    return (
-        ranked.join(F.broadcast(runs.withColumnRenamed("n", "run_n")), "length")
-        .filter((at >= 0) & (at < F.col("run_n")))
-        .select(
-            "doc_id",
-            "piece",
-            "start",
-            "length",
-            "ids_crc32",
-            (F.col("seq_lo") + F.floor(at / F.col("per"))).cast("long").alias("sequence_id"),
-            (F.lit(size) - F.col("gap") + F.pmod(at, F.col("per")) * F.col("length")).cast("long").alias("offset"),
-        )
-    )

@@ -105,3 +105,54 @@ def test_sweeps_equal_best_fit_decreasing(seed):
 def test_sweeps_do_not_grow_with_documents():
     few, many = {k: 3 for k in range(1, 101)}, {k: 3_000_000 for k in range(1, 101)}
     assert len(packing.sweeps(sorted(many.items()), 100)) <= 3 * len(packing.sweeps(sorted(few.items()), 100)) + 100
+
+
+def slow_match(pieces, gaps):
+    """Best fit with each gap used once, one piece after another from the longest: item to gap size."""
+    free, out = sorted(gaps), {}
+    for item, length in sorted(pieces.items(), key=lambda x: -x[1]):
+        best = next((g for g in free if g >= length), None)
+        out[item] = best
+        if best is not None:
+            free.remove(best)
+    return out
+
+
+@pytest.mark.parametrize("ranges", ["1", "3", "8"])
+def test_sweeps_over_ranges_equal_best_fit(spark, scratch, ranges):
+    random.seed(int(ranges))
+    pieces = {k: random.choice([30, 30, 30, random.randint(11, 40)]) for k in range(400)}
+    gaps = {1000 + k: random.choice([30, 35, random.randint(1, 60)]) for k in range(350)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = packing.match(
+            spark.createDataFrame(list(pieces.items()), "item long, length long").repartition(4), spark.createDataFrame(list(gaps.items()), "seq long, gap long"), 60, 11, scratch
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 400 and all(r.seq is None or gaps[r.seq] == r.gap >= r.length for r in got)
+    assert len({r.seq for r in got if r.seq is not None}) == sum(r.seq is not None for r in got)
+    want = slow_match(pieces, gaps.values())
+    assert Counter((r.length, r.gap) for r in got) == Counter((pieces[k], g) for k, g in want.items())
+
+
+@pytest.mark.parametrize("ranges", ["1", "5"])
+@pytest.mark.parametrize("mean", [3, 40, 400])
+def test_rounds_open_as_few_sequences_as_best_fit_decreasing(spark, scratch, ranges, mean):
+    random.seed(mean)
+    sizes = {k: min(512, 1 + int(random.expovariate(1 / mean))) for k in range(1500)}
+    sizes |= {k: 100 for k in range(1500, 2200)}  # a third has one length
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        rows = packing.place(spark.createDataFrame(list(sizes.items()), "item long, length long").repartition(6), 512, scratch).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.item: r.length for r in rows} == sizes and len(rows) == len(sizes)
+    full = Counter()
+    for r in rows:
+        full[r.seq] += r.length
+    assert max(full.values()) <= 512
+    best = max(r[4] + r[5] for r in packing.sweeps(sorted(Counter(sizes.values()).items()), 512))
+    assert len(full) <= best * 1.01 + 1
