@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from quillspark.session import Scratch
 
 #: The band of document frequencies, as parts of all documents, whose terms count. A document
 #: has some hundred distinct terms, so at most (that number / LOW) terms can be in the band,
-#: however large the corpus: the lexicon can be sent to every task.
+#: however large the corpus.
 LOW, HIGH = 0.002, 0.25
+#: Terms of the lexicon up to which it is sent to every task; a longer one is joined by term.
+SENT = 500_000
+#: A text that more than this part of all rows have counts once in the frequencies; there are at most 1 / HOT such texts.
+HOT = 0.001
 #: Of a document's terms at or above the band, the part that its fingerprint has at least, and the
 #: least number. Where the band gives less, its terms nearest above the band are added: near copies
 #: that are many enough to lift their common terms out of the band would share nothing otherwise.
@@ -26,49 +32,62 @@ def _terms(text: Column) -> Column:
     return F.split(F.lower(F.translate(text, _SPACE, " " * len(_SPACE))), " ")
 
 
-def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``term, above``: hashes of the terms in the band, and with their document frequency in
-    ``above`` those of higher frequency, at most (terms of a document / HIGH). Frequencies count
-    every distinct text once, so copies don't move a term."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h"), "text")
-    n = texts.agg(F.count_distinct("h")).first()[0]
+def _subsets(digest: Column) -> Column:
+    """Numbers of the subsets that a term is in: one part of each scale, if that part is used. Each scale reads its own four digits of the term's md5."""
+    parts = [F.pmod(F.conv(F.substring(digest, 17 + 4 * k, 4), 16, 10).cast("int"), F.lit(s)) for k, s in enumerate(SCALES)]
+    return F.array_compact(F.array(*[F.when(p < PER_SCALE, F.lit(k * PER_SCALE) + p) for k, p in enumerate(parts)]))
+
+
+def lexicon(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """``word_hash, above, digest, subsets`` of the terms in the band, and with their document frequency in
+    ``above`` those of higher frequency, at most (terms of a document / HIGH).
+
+    A text that many rows have (HOT) counts once, at its least key, so large groups of copies don't move a
+    term. No text moves: words are counted where they are.
+    """
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    sizes = texts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+    rows = texts.count()
+    hot = sizes.filter(F.col("n") > max(1.0, HOT * rows))
+    left = hot.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    n = rows - left
     return (
-        texts.dropDuplicates(["h"])
-        .select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-        .filter("term <> ''")
-        .groupBy(F.xxhash64("term").alias("term"))
+        texts.join(F.broadcast(hot.select("h", "first")), "h", "left")
+        .filter(F.col("first").isNull() | (F.col("first") == F.col("key")))
+        .select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("word"))
+        .filter("word <> ''")
+        .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df"))
         .filter(F.col("df") >= max(2, low * n))
-        .select("term", F.when(F.col("df") > max(2, high * n), F.col("df")).otherwise(F.lit(0)).alias("above"))
-    )
-
-
-def _subsets() -> Column:
-    """Numbers of the subsets that a term is in: one part of each scale, if that part is used."""
-    parts = [F.pmod(F.xxhash64(F.col("term"), F.lit(k)), F.lit(s)) for k, s in enumerate(SCALES)]
-    return F.array_compact(
-        F.array(*[F.when(p < PER_SCALE, (F.lit(k * PER_SCALE) + p).cast("int")) for k, p in enumerate(parts)])
+        .withColumn("digest", F.md5("word"))
+        .select(
+            F.xxhash64("word").alias("word_hash"),
+            F.when(F.col("df") > max(2, high * n), F.col("df")).otherwise(F.lit(0)).alias("above"),
+            F.substring("digest", 1, 16).alias("digest"),
+            _subsets(F.col("digest")).alias("subsets"),
+        )
     )
 
 
-def fingerprint_texts(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame) -> DataFrame:
-    """One row per key with terms in the lexicon: ``fp``, an array of 64-bit hashes by subset,
+def fingerprint_texts(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame, *, sent: bool = True) -> DataFrame:
+    """One row per key with terms in the lexicon: ``fp``, an array of hashes (8 digits) by subset,
     null where a subset has no term.
 
-    Distinct terms of a subset are sorted and hashed together, so order and repeats don't count.
+    Distinct terms of a subset are sorted by their digests and hashed together, so order and repeats don't count.
     A document with few terms in the band has the terms nearest above it as well.
     """
     subsets = len(SCALES) * PER_SCALE
     words = texts.select(*keys, F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("word")).filter("word <> ''")
-    known = words.select(*keys, F.xxhash64("word").alias("term")).join(F.broadcast(terms), "term")
-    nearest = F.array_sort(F.collect_list(F.struct("above", "term")))
+    known = words.select(*keys, F.xxhash64("word").alias("word_hash")).join(F.broadcast(terms) if sent else terms, "word_hash")
+    nearest = F.array_sort(F.collect_list(F.struct("above", "digest", "subsets")))
     inside = F.size(F.filter("t", lambda x: x["above"] == 0))
     wanted = F.greatest(inside, F.lit(LEAST), F.ceil(F.size("t") / PART).cast("int"))
-    chosen = known.groupBy(*keys).agg(nearest.alias("t")).select(*keys, F.explode(F.slice("t", F.lit(1), wanted)["term"]).alias("term"))
+    chosen = known.groupBy(*keys).agg(nearest.alias("t")).select(*keys, F.explode(F.slice("t", F.lit(1), wanted)).alias("x"))
     hashed = (
-        chosen.select(*keys, "term", F.explode(_subsets()).alias("subset"))
+        chosen.select(*keys, "x.digest", F.explode("x.subsets").alias("subset"))
         .groupBy(*keys, "subset")
-        .agg(F.xxhash64(F.array_sort(F.collect_set("term"))).alias("h"))
+        .agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("digest")), "")), 1, 8).alias("h"))
     )
     return hashed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("subset", "h"))).alias("m")).select(
         *keys, F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda i: F.element_at("m", i)).alias("fp")
@@ -84,7 +103,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _text_of(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda h: F.when(h.isNull(), F.lit("-")).otherwise(F.right(F.lpad(F.hex(h), 16, "0"), F.lit(8)))), "")
+    return F.array_join(F.transform(fp, lambda h: F.coalesce(h, F.lit("-"))), "")
+
+
+def _numbers(values: list[int | None]) -> Column:
+    """An array as one constant, however many numbers it has."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 def _in_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,17 +130,15 @@ def _in_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cuts = sorted(set(cuts))
     step = max(1, int(len(cuts) ** 0.5))
     below = lambda c: c < F.col("key")
-    fine = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    coarse = F.array(*[F.lit(c) for c in cuts[step - 1 :: step]]) if cuts else fine
-    skip = F.size(F.filter(coarse, below)) * step
-    rows = rows.withColumn("bucket", skip + F.size(F.filter(F.slice(fine, skip + 1, F.lit(step)), below)))
+    skip = F.size(F.filter(_numbers(cuts[step - 1 :: step]), below)) * step
+    rows = rows.withColumn("bucket", skip + F.size(F.filter(F.slice(_numbers(cuts), skip + 1, F.lit(step)), below)))
     first = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.max("key").alias("first")).collect()}
     order = sorted(first, reverse=True)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    firsts = F.array(*[F.lit(first.get(b)).cast("long") for b in range(len(cuts) + 1)])
-    targets = F.array(*[F.lit(before.get(b)).cast("int") for b in range(len(cuts) + 1)])
+    firsts = _numbers([first.get(b) for b in range(len(cuts) + 1)])
+    targets = _numbers([before.get(b) for b in range(len(cuts) + 1)])
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo"))
-    halo = F.struct(targets[F.col("bucket")].alias("bucket"), F.lit(True).alias("halo"))
+    halo = F.struct(targets[F.col("bucket")].cast("int").alias("bucket"), F.lit(True).alias("halo"))
     places = F.when(F.col("key") == firsts[F.col("bucket")], F.array(own, halo)).otherwise(F.array(own))
     return rows.select("key", "text", F.explode(places).alias("at")).select("key", "text", "at.bucket", "at.halo").repartition(n, "bucket")
 
@@ -131,7 +153,8 @@ def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_c
     ordered by text; texts without a lexicon term have the hash of the text as fingerprint and
     are alike only if equal; an empty table gives no rows; other columns are ignored.
     """
-    terms = scratch.table(lexicon(docs, text_col=text_col), "lexicon")
+    terms = scratch.table(lexicon(docs, id_col=id_col, text_col=text_col), "lexicon")
+    sent = terms.count() <= SENT
     in_order = Window.partitionBy("bucket").orderBy("halo", F.desc("key"), F.desc(F.xxhash64("text")), "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (
@@ -148,7 +171,7 @@ def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_c
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"),
     ).select("bucket", "rn", "x.which", "x.text")
     fps = (
-        fingerprint_texts(both, ["bucket", "rn", "which"], "text", terms)
+        fingerprint_texts(both, ["bucket", "rn", "which"], "text", terms, sent=sent)
         .groupBy("bucket", "rn")
         .agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("fp_edited"))
     )
@@ -156,7 +179,7 @@ def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_c
     out = (
         rows.select(
             "bucket", "rn", "halo", F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-            F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("whole_edited"),
+            F.md5("text").alias("whole"), F.md5("edited").alias("whole_edited"),
         )
         .join(fps, ["bucket", "rn"], "left")
         .withColumn("fp_next", F.lead("fp").over(by_row))
@@ -169,14 +192,14 @@ def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_c
         return alike.otherwise(likeness(F.col(a), F.col(b)))
 
     def shown(fp: str, whole: str) -> Column:
-        return F.coalesce(_text_of(F.col(fp)), F.lower(F.lpad(F.hex(whole), 16, "0")))
+        return F.coalesce(_text_of(F.col(fp)), F.substring(whole, 1, 16))
 
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.lower(shown("fp", "whole")).alias("fingerprint"),
-        F.lower(shown("fp_edited", "whole_edited")).alias("edited_fingerprint"),
+        shown("fp", "whole").alias("fingerprint"),
+        shown("fp_edited", "whole_edited").alias("edited_fingerprint"),
         near("fp", "whole", "fp_edited", "whole_edited").alias("near_edited"),
         near("fp", "whole", "fp_next", "whole_next").alias("near_next"),
     )

@@ -62,6 +62,36 @@ b as (select rid, count(*) filter (where kind = 'assign') as n_assign, count(*)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
   coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example, coalesce(n_spread, 0) as n_spread from t left join b using (rid)"""
 
+# Scales 16, 64, 256 and 1024, of each 16 parts; the scale of number k reads the digits 17 + 4k to 20 + 4k of a term's md5.
+_IMATCH = r"""
+with recursive scale as (select unnest([0, 1, 2, 3]) as k, unnest([16, 64, 256, 1024]) as parts),
+d as (select doc_id, coalesce(text, '') as text from documents),
+o as (select doc_id, text, length(text) as n, row_number() over (order by doc_id desc) as i, count(*) over () as many from d),
+p as (select a.*, b.text as next, b.doc_id as next_id, left(a.text, a.n - a.n // 2) || left(b.text, a.n // 2) as edited from o a join o b on b.i = a.i % a.many + 1),
+hot as (select text, min(doc_id) as first, count(*) as copies from d group by text having count(*) > greatest(1.0, 0.001 * (select count(*) from d))),
+total as (select (select count(*) from d) - coalesce((select sum(copies - 1) from hot), 0) as n),
+w as (select unnest(list_distinct(string_split(lower(regexp_replace(text, '[\t\n\v\f\r]', ' ', 'g')), ' '))) as word from d left join hot using (text) where first is null or first = doc_id),
+c as (select word, count(*) as df from w where word <> '' group by word having count(*) >= greatest(2, 0.002 * (select n from total))),
+lex as (select word, md5(word) as h, left(md5(word), 16) as digest, case when df > greatest(2, 0.25 * (select n from total)) then df else 0 end as above from c),
+both_ as (select doc_id, 0 as which, text from p union all select doc_id, 1, edited from p),
+u as (select doc_id, which, unnest(list_distinct(string_split(lower(regexp_replace(text, '[\t\n\v\f\r]', ' ', 'g')), ' '))) as word from both_),
+k as (select doc_id, which, h, digest, row_number() over (partition by doc_id, which order by above, digest) as r,
+  greatest(count(*) filter (where above = 0) over (partition by doc_id, which), 4, ceil(count(*) over (partition by doc_id, which) / 4.0)) as wanted from u join lex using (word)),
+m as (select doc_id, which, digest, scale.k * 16 + cast('0x' || substr(h, cast(17 + 4 * scale.k as int), 4) as int) % parts as subset
+  from k cross join scale where r <= wanted and cast('0x' || substr(h, cast(17 + 4 * scale.k as int), 4) as int) % parts < 16),
+s as (select doc_id, which, subset, left(md5(string_agg(digest, '' order by digest)), 8) as x from m group by all),
+f as (select doc_id, which, string_agg(coalesce(x, '-'), '' order by g.subset) as fp from (select distinct doc_id, which from s) t cross join (select unnest(range(64)) as subset) g left join s using (doc_id, which, subset) group by all),
+alike as (select a.doc_id, a.which as wa, b.doc_id as other, b.which as wb, count(*) as same from s a join p on p.doc_id = a.doc_id join s b on b.subset = a.subset and b.x = a.x
+  and ((b.doc_id = a.doc_id and b.which = 1) or (b.doc_id = p.next_id and b.which = 0)) where a.which = 0 group by all),
+used as (select p.doc_id, q.other, q.wb, (select count(*) from (select subset from s where s.doc_id = p.doc_id and s.which = 0 union select subset from s where s.doc_id = q.other and s.which = q.wb)) as n
+  from p, lateral (select p.doc_id as other, 1 as wb union all select p.next_id, 0) q)
+select p.doc_id, p.n as n_chars, sha256(edited) as edited_sha256, coalesce(f0.fp, left(md5(p.text), 16)) as fingerprint, coalesce(f1.fp, left(md5(edited), 16)) as edited_fingerprint,
+  case when p.text = edited then 1.0 when f0.fp is null or f1.fp is null then 0.0 else coalesce(a1.same, 0) / u1.n end::double as near_edited,
+  case when p.text = p.next then 1.0 when f0.fp is null or f2.fp is null then 0.0 else coalesce(a2.same, 0) / u2.n end::double as near_next
+from p left join f f0 on f0.doc_id = p.doc_id and f0.which = 0 left join f f1 on f1.doc_id = p.doc_id and f1.which = 1 left join f f2 on f2.doc_id = p.next_id and f2.which = 0
+left join alike a1 on a1.doc_id = p.doc_id and a1.other = p.doc_id and a1.wb = 1 left join alike a2 on a2.doc_id = p.doc_id and a2.other = p.next_id and a2.wb = 0
+left join used u1 on u1.doc_id = p.doc_id and u1.wb = 1 left join used u2 on u2.doc_id = p.doc_id and u2.wb = 0"""
+
 _VECTORS = """
 with recursive g as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),
 l as (select a.vec_id as u, b.vec_id as v from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
@@ -74,4 +104,5 @@ ORACLE_SQL = {
     "op2_embedding_near_dedup": _VECTORS,
     "op4_mixing": _MIXING.replace("@1", _fill(1, "", "domain")).replace("@2", _fill(2, "domain", "lang")).replace("@3", _fill(3, "domain, lang", "source")),
     "op9_secret_scan": _SECRETS,
+    "op10_imatch": _IMATCH,
 }
