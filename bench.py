@@ -19,6 +19,7 @@ os.environ["PYTHONPATH"] = REPO + os.pathsep + os.environ.get("PYTHONPATH", "")
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from quillspark.functions.text import analyze_text  # noqa: E402
 from quillspark.operators import search  # noqa: E402
 from quillspark.plans import catalog  # noqa: E402
 from quillspark.plans.adapters import entity  # noqa: E402
@@ -53,7 +54,7 @@ def main() -> None:
     timed("index_rebuild", lambda: scratch.table(search.postings(papers, metadata, doc="paper_id", stem=True), "metadata"))
     timed("chunk_index", lambda: scratch.table(search.chunk_table(sources).withColumn("doc", F.concat_ws("#", "source_id", "start")), "chunks"))
     chunks = spark.read.parquet(scratch.path("chunks")).cache()
-    timed("chunk_postings", lambda: scratch.table(search.postings(chunks, F.col("text"), doc="doc").repartition(int(CPUS), "term").sortWithinPartitions("term"), "chunk_postings"))
+    timed("chunk_postings", lambda: scratch.table(search.postings(chunks, F.col("text"), doc="doc").repartitionByRange(int(CPUS), "term", "doc").sortWithinPartitions("term"), "chunk_postings"))
     meta, post = spark.read.parquet(scratch.path("metadata")).cache(), spark.read.parquet(scratch.path("chunk_postings")).cache()
     ids, cids = papers.select(F.col("paper_id").alias("doc")).cache(), chunks.select("doc").cache()
     for df in (chunks, meta, post, ids, cids):
@@ -63,10 +64,10 @@ def main() -> None:
     known = {id(meta): scratch.table(search.corpus_stats(meta, ids), "meta-stats").cache(), id(post): scratch.table(search.corpus_stats(post, cids), "post-stats").cache()}
 
     def keyword(words: str, stem: bool, table, docs, require_all: bool, keep=None):  # noqa: ANN001, ANN202
-        q = search.query_terms(spark.createDataFrame([(1, words)], "query_id int, q string"), F.col("q"), stem=stem)
-        scored = search.bm25(table, q, docs, require_all=require_all, stats=known[id(table)])
-        if keep is not None:
-            scored = scored.join(keep.select(F.col("paper_id").alias("doc")), "doc", "left_semi")
+        own = list(dict.fromkeys(analyze_text(words) if stem else words.split()))
+        q = spark.createDataFrame([(1, w) for w in own], "query int, term string")
+        keep = None if keep is None else keep.select(F.col("paper_id").alias("doc"))
+        scored = search.bm25(table, q, docs, require_all=require_all, stats=known[id(table)], keep=keep, words=own)
         return scored.orderBy(F.desc("score"), "doc").limit(20).collect()
 
     years, journal = search.filter_papers(papers, years=(2000, 2010)), search.filter_papers(papers, journal="src1")

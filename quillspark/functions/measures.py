@@ -42,7 +42,8 @@ def precision_class(effect: Column, low: Column, high: Column, measure: Column)
 
 def fmt_num(c: Column) -> Column:
     """Number with up to four decimals, without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", c.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    shown = F.when(c.isNotNull(), F.format_string("%.4f", c.cast("double")))  # a null number has no text
+    return F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def effect_text(effect: Column, low: Column, high: Column, measure: Column) -> Column:

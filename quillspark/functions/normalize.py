@@ -18,10 +18,10 @@ CORPUS_DOI_PREFIXES = (
     "https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http://dx.doi.org/", "doi.org/", "dx.doi.org/", "doi:",
 )
 LIBRARY_DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi:", "https://dx.doi.org/")
-STOP_WORDS = (
-    "a an and are as at be by can does for from has have how in into is it its of on or that the their to vs with "
-    "without what which who why"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "does", "for", "from", "has", "have", "how", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the",
+    "their", "to", "vs", "with", "without", "what", "which", "who", "why",
+]
 STRAIGHT = {"“": '"', "”": '"', "‘": "'", "’": "'", "«": '"', "»": '"', "′": "'", "″": '"'}
 
 
@@ -160,7 +160,7 @@ def record_stem(pmid: Column, doi: Column, pmcid: Column, eid: Column) -> Column
     """File name stem of a record."""
     return F.coalesce(
         F.concat(F.lit("pmid-"), pmid),
-        F.concat(F.lit("doi-"), slugify(F.replace(library_doi(doi), F.lit("/"), F.lit("-")))),
+        F.when(library_doi(doi).isNotNull(), F.concat(F.lit("doi-"), slugify(F.replace(library_doi(doi), F.lit("/"), F.lit("-"))))),
         F.concat(F.lit("pmcid-"), pmcid),
         slugify(F.replace(eid, F.lit(":"), F.lit("-"))),
     )

@@ -331,6 +331,32 @@ def revertible(moves: DataFrame, rows: DataFrame) -> DataFrame:
     return j.groupBy("merge_id").agg(F.bool_and(F.coalesce(F.col("paper_id") == F.col("survivor"), F.lit(False))).alias("can_revert"))
 
 
+def merge_papers(tables: dict[str, DataFrame], aliases: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All rows of absorbed papers under their survivors, and what moved: ``table, row_id, absorbed, survivor``.
+
+    ``tables`` by name, each with ``row_id`` and ``paper_id``: identifiers, attachments, chunks, figures, terms.
+    """
+    a = aliases.select(F.col("absorbed").alias("_a"), F.col("survivor").alias("_s"))
+    joined = {name: t.join(a, F.col("paper_id") == F.col("_a"), "left") for name, t in tables.items()}
+    after = {name: j.withColumn("paper_id", F.coalesce("_s", "paper_id")).drop("_a", "_s") for name, j in joined.items()}
+    moves = [j.filter("_s is not null").select(F.lit(name).alias("table"), "row_id", F.col("_a").alias("absorbed"), F.col("_s").alias("survivor")) for name, j in joined.items()]
+    return after, functools.reduce(DataFrame.unionByName, moves)
+
+
+def revert_merges(tables: dict[str, DataFrame], moves: DataFrame) -> dict[str, DataFrame]:
+    """The inverse: every merge all of whose moved rows still belong to the survivor is undone, others stay whole."""
+    held = [
+        t.join(moves.filter(F.col("table") == name).drop("table"), "row_id", "right").select("absorbed", F.coalesce(F.col("paper_id") == F.col("survivor"), F.lit(False)).alias("ok"))
+        for name, t in tables.items()
+    ]
+    free = functools.reduce(DataFrame.unionByName, held).groupBy("absorbed").agg(F.bool_and("ok").alias("ok")).filter("ok").drop("ok")
+    back = moves.join(free, "absorbed").select("table", F.col("row_id").alias("_row"), F.col("absorbed").alias("_a"))
+    return {
+        name: t.join(back.filter(F.col("table") == name).drop("table"), F.col("row_id") == F.col("_row"), "left").withColumn("paper_id", F.coalesce("_a", "paper_id")).drop("_row", "_a")
+        for name, t in tables.items()
+    }
+
+
 def primary_identifiers(ids: DataFrame) -> DataFrame:
     """Primary of each paper and scheme: flagged first, then the earliest."""
     w = Window.partitionBy("paper_id", "scheme").orderBy(F.desc(F.col("is_primary").cast("int")), "created_at", "id")

@@ -14,15 +14,15 @@ EVENT_TYPES = ("fetch", "local_pdf", "register", "read")
 FRESH_TYPES = ("fetch", "local_pdf")
 CHECK_ORDER = ("span", "paper", "url", "fresh", "verdict")
 APPRAISAL_TOOLS = (
-    ("RoB2", "low some_concerns high unclear", "^(low|some_concerns|high|unclear)$", "", 5, ""),
-    ("ROBINS-I", "low moderate serious critical unclear", "^(low|moderate|serious|critical|unclear)$", "", 7, ""),
-    ("Newcastle-Ottawa", "yes no", r"^\d{1,2}/9$", "", None, ""),
-    ("AMSTAR-2", "yes partial_yes no unclear", "^(high|moderate|low|critically_low)$", "", 16, ""),
-    ("QUADAS-2", "low high unclear", "^(low|high|unclear)$", "risk_of_bias applicability", 7, "index_test"),
-    ("PROBAST", "low high unclear", "^(low|high|unclear)$", "risk_of_bias applicability", 7, "prediction_model"),
-    ("CASP-qualitative", "yes partial_yes no unclear", r"^\d{1,2}/10$", "", 10, ""),
-    ("JBI-prevalence", "yes no unclear", r"^\d{1,2}/9$", "", 9, ""),
-    ("JBI-cross-sectional", "yes no unclear", r"^\d{1,2}/8$", "", 8, ""),
+    ("RoB2", ("low", "some_concerns", "high", "unclear"), "^(low|some_concerns|high|unclear)$", (), 5, ""),
+    ("ROBINS-I", ("low", "moderate", "serious", "critical", "unclear"), "^(low|moderate|serious|critical|unclear)$", (), 7, ""),
+    ("Newcastle-Ottawa", ("yes", "no"), r"^\d{1,2}/9$", (), None, ""),
+    ("AMSTAR-2", ("yes", "partial_yes", "no", "unclear"), "^(high|moderate|low|critically_low)$", (), 16, ""),
+    ("QUADAS-2", ("low", "high", "unclear"), "^(low|high|unclear)$", ("risk_of_bias", "applicability"), 7, "index_test"),
+    ("PROBAST", ("low", "high", "unclear"), "^(low|high|unclear)$", ("risk_of_bias", "applicability"), 7, "prediction_model"),
+    ("CASP-qualitative", ("yes", "partial_yes", "no", "unclear"), r"^\d{1,2}/10$", (), 10, ""),
+    ("JBI-prevalence", ("yes", "no", "unclear"), r"^\d{1,2}/9$", (), 9, ""),
+    ("JBI-cross-sectional", ("yes", "no", "unclear"), r"^\d{1,2}/8$", (), 8, ""),
 )
 
 
@@ -139,7 +139,7 @@ def appraisal_problems(appraisals: DataFrame) -> DataFrame:
     evidence_basis, domains array<struct<domain, domain_group, judgement>>.
     """
     spark = appraisals.sparkSession
-    rows = [(t, j.split(), o, g.split(), n, target) for t, j, o, g, n, target in APPRAISAL_TOOLS]
+    rows = [(t, list(j), o, list(g), n, target) for t, j, o, g, n, target in APPRAISAL_TOOLS]
     specs = spark.createDataFrame(rows, "tool string, words array<string>, overall string, kinds array<string>, number int, target string")
     j = appraisals.join(F.broadcast(specs), "tool", "left")  # nine rows
     known = F.col("words").isNotNull()

@@ -52,7 +52,7 @@ def read_input_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records given as one JSON array, one object, or JSON lines."""
     whole = spark.read.text(path, wholetext=True)
     array = F.from_json("value", f"array<struct<{_struct(schema)}>>")
-    is_array = F.trim("value").startswith("[")
+    is_array = F.col("value").rlike(r"^\s*\[")
     listed = whole.filter(is_array).select(F.inline(array))
     lines = whole.filter(~is_array).select(F.explode(F.split("value", r"\n(?=\s*\{)")).alias("value")).select(F.from_json("value", schema).alias("r")).filter("r is not null").select("r.*")
     return listed.unionByName(lines)

@@ -12,6 +12,7 @@ from quillspark.functions import normalize as N
 # Tiers of full text as notes name them, and the escapes of TeX.
 TIERS = ("local library", "PMC full text", "PMC PDF", "Europe PMC full-text XML", "Unpaywall location", "open-access fetch", "preprint twin", "browser search/fetch", "quarantined; full text not obtained")
 TEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+# Notes by retraction status, and preprint servers by what names them.
 RETRACTION_NOTES = {"retracted": "RETRACTED.", "expression_of_concern": "Expression of Concern.", "corrected": "A correction to this article exists."}
 SERVERS = {"biorxiv": "bioRxiv", "medrxiv": "medRxiv", "researchsquare": "Research Square", "research-square": "Research Square", "arxiv": "arXiv", "10.1101": "bioRxiv / medRxiv", "10.21203": "Research Square"}
 
@@ -206,3 +207,15 @@ def unique_names(rows: DataFrame) -> DataFrame:
 def manifest(files: DataFrame) -> DataFrame:
     """``path, size, sha256`` of binary files."""
     return files.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def rename_files(spark: SparkSession, source: str, target: str, suffix: str) -> None:
+    """Give every file of a folder another suffix, in another folder; a rename each, whatever the file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target))
+    for status in fs.listStatus(path(source)):
+        name = status.getPath().getName()
+        if status.isFile() and not name.startswith(("_", ".")):
+            fs.rename(status.getPath(), path(f"{target}/{name.rpartition('.')[0]}{suffix}"))
