@@ -2,10 +2,10 @@
 
 Documents are tokenised and cut into pieces where they lie; only a narrow row per piece moves on. Pieces
 go by bands of length, the longest first; a piece of over half a sequence opens one. In each round
-of a band its pieces and the gaps of all open sequences are range-sorted together by size, and swept from the
-largest down: a gap raises the level and a piece lowers it. A piece's successor, the smallest gap that holds it
+of a band its pieces and the gaps of all open sequences are sorted together by size, in runs that tasks share, and swept
+from the largest down: a gap raises the level and a piece lowers it. A piece's successor, the smallest gap that holds it
 and that no longer piece takes, is the last gap before it that crossed its level upwards, so levels, running sums
-over the ranges, are the ranks that settle all conflicts at once. Matched gaps shrink and the next round follows. Where
+over the runs plus ranks in them, settle all conflicts at once. Matched gaps shrink and the next round follows. Where
 few pieces of the band still find a gap, as many sequences are opened as their tokens need. A gap that holds several pieces
 of the band is several gaps in a round.
 """
@@ -25,9 +25,10 @@ from quillspark.llm.tokens import encoder
 from quillspark.session import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
-UNITS = "size long, piece boolean, id long, sub int, gap long, part int, at long, edge long"
 #: Bands of length are halved down to this one, which also holds all shorter pieces.
 LAST_BAND = 16
+#: Runs into which the units of a size are cut.
+SHARES = 64
 #: Part of a band's pieces left that must find a gap in a round, or sequences are opened.
 ENOUGH = 0.05
 
@@ -66,45 +67,32 @@ def pieces(
     )
 
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of one range in their order, with the level edge that each crosses, counted from the range's start."""
-    from pyspark import TaskContext
-
-    part, level, at = TaskContext.get().partitionId(), 0, 0
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        piece = batch.column(1).to_numpy(zero_copy_only=False)
-        after = level + np.cumsum(np.where(piece, -1, 1))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(at, at + n)), pa.array(np.where(piece, after, after - 1))],
-            names=["size", "piece", "id", "sub", "gap", "part", "at", "edge"],
-        )
-        level, at = int(after[-1]), at + n
-
-
-def match(left: DataFrame, gaps: DataFrame, most: int, least: int, scratch: Scratch) -> DataFrame:
+def match(left: DataFrame, gaps: DataFrame, most: int, least: int) -> DataFrame:
     """Best fit of every piece (``item, length``, all of ``least`` to ``most``) among the gaps (``seq, gap``), each used once:
     ``item, length, seq, sub, gap``, with null where no gap is left that holds the piece.
 
-    ``sub`` numbers the parts of a gap that is several gaps of at least ``most``. No task holds a whole size: equal sizes
-    are ordered by a hash and cut anywhere. At one level there is an event per size at most.
+    ``sub`` numbers the parts of a gap that is several gaps of at least ``most``. Units of one size and kind are cut into
+    SHARES runs by a hash, so no task holds a whole size; the runs, at most 2 * SHARES for each size, are put in order, and
+    their running sum is the level at which each begins. A run crosses a level once, so a level has an event per run at most.
     """
     parts = F.greatest(F.lit(1), F.floor(F.col("gap") / most)).cast("int")
     split = gaps.filter(F.col("gap") >= least).select("seq", "gap", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("sub"))
     units = split.select(F.floor(F.col("gap") / F.col("parts")).alias("size"), F.lit(False).alias("piece"), F.col("seq").alias("id"), "sub", "gap").unionByName(
         left.select(F.col("length").alias("size"), F.lit(True).alias("piece"), F.col("item").alias("id"), F.lit(0).alias("sub"), F.lit(0).cast("long").alias("gap"))
     )
-    order = [F.col("size").desc(), F.col("piece").asc(), F.xxhash64("id", "sub").asc(), F.col("id").asc(), F.col("sub").asc()]
-    swept = scratch.table(units.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_levels, UNITS), "swept")
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # A row per range, whatever the number of units.
-    bases = swept.groupBy("part").agg(F.sum(F.when(F.col("piece"), -1).otherwise(1)).alias("rise")).select("part", F.coalesce(F.sum("rise").over(before), F.lit(0)).alias("base"))
-    events = swept.join(F.broadcast(bases), "part").withColumn("edge", F.col("edge") + F.col("base"))
-    last = Window.partitionBy("edge").orderBy("part", "at")
-    found = F.lag(F.when(~F.col("piece"), F.struct("id", "sub", "gap"))).over(last)
-    return events.withColumn("g", found).filter("piece").select(
+    run = ["size", "piece", "share"]
+    units = units.withColumn("share", F.pmod(F.xxhash64("id", "sub"), F.lit(SHARES)).cast("int"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "piece", "share")
+    runs = (
+        units.groupBy(*run).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("at", F.row_number().over(order))
+        .withColumn("base", F.coalesce(F.sum(F.when(F.col("piece"), -F.col("n")).otherwise(F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    )
+    rank = F.row_number().over(Window.partitionBy(*run).orderBy("id", "sub"))
+    events = units.withColumn("rank", rank).join(F.broadcast(runs.drop("n")), run)
+    events = events.withColumn("edge", F.col("base") + F.when(F.col("piece"), -F.col("rank")).otherwise(F.col("rank") - 1))
+    last = F.lag(F.when(~F.col("piece"), F.struct("id", "sub", "gap"))).over(Window.partitionBy("edge").orderBy("at"))
+    return events.withColumn("g", last).filter("piece").select(
         F.col("id").alias("item"), F.col("size").alias("length"), F.col("g.id").alias("seq"), F.col("g.sub").alias("sub"), F.col("g.gap").alias("gap")
     )
 
@@ -127,13 +115,13 @@ def place(items: DataFrame, size: int, scratch: Scratch) -> DataFrame:
         room = n  # places that the gaps may have, at most
         while n:
             k += 1
-            if room < ENOUGH * n:  # as many as the pieces need at least; ids of opened sequences are negative, those of pieces are not
-                need = max(-(-tokens // size), -(-n // (size // least)))
+            if room < ENOUGH * n:  # as many as what the gaps can't take needs at least; ids of opened sequences are negative, those of pieces are not
+                need = max(1, -(-(tokens - room * most) // size), -(-(n - room) // (size // least)))
                 opened = spark.range(need).select((-F.col("id") - 1 - F.lit(k << 40)).alias("seq"), F.lit(size).cast("long").alias("gap"))
                 gaps = gaps.unionByName(opened)
             missed, shrunk = Observation(), Observation()
             length = F.when(F.col("seq").isNull(), F.col("length"))
-            found = match(left, gaps, most, least, scratch).observe(
+            found = match(left, gaps, most, least).observe(
                 missed, F.count(length).alias("n"), F.sum(length).alias("tokens"), F.max(length).alias("most"), F.min(length).alias("least")
             )
             found = scratch.table(found, f"round-{k}")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.files import commit
 
 #: Words a worker remembers; at about 200 bytes each this bounds the memory of the cache.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 NULL_KEY = -(2**63)
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -119,7 +119,7 @@ def slow_match(pieces, gaps):
 
 
 @pytest.mark.parametrize("ranges", ["1", "3", "8"])
-def test_sweeps_over_ranges_equal_best_fit(spark, scratch, ranges):
+def test_sweeps_over_runs_equal_best_fit(spark, ranges):
     random.seed(int(ranges))
     pieces = {k: random.choice([30, 30, 30, random.randint(11, 40)]) for k in range(400)}
     gaps = {1000 + k: random.choice([30, 35, random.randint(1, 60)]) for k in range(350)}
@@ -127,7 +127,7 @@ def test_sweeps_over_ranges_equal_best_fit(spark, scratch, ranges):
     spark.conf.set("spark.sql.shuffle.partitions", ranges)
     try:
         got = packing.match(
-            spark.createDataFrame(list(pieces.items()), "item long, length long").repartition(4), spark.createDataFrame(list(gaps.items()), "seq long, gap long"), 60, 11, scratch
+            spark.createDataFrame(list(pieces.items()), "item long, length long").repartition(4), spark.createDataFrame(list(gaps.items()), "seq long, gap long"), 60, 11
         ).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
