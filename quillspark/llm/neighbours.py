@@ -7,12 +7,15 @@ links (cosine at or above the threshold). Then a bounded sample of nodes outside
 compared with all others, and rounds with longer lists and cells of new projections follow until the
 nodes have, on the mean, enough of their links. Lists that
 would grow without bound, as in a large group of near copies, keep a part of their links, enough to
-hold the group together; the links of such groups are then counted exactly, block against block.
+hold the group together; the links of such groups are then counted exactly. Vectors within half the
+threshold's angle of a group's centre are all linked with each other, so they are only counted, as a group of near
+copies is as a whole; those farther out are compared with the group, block against block.
 """
 
 from __future__ import annotations
 
 import itertools
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.graph import components
 from quillspark.session import Scratch
 
+_LOG = logging.getLogger(__name__)
 THRESHOLD = 0.9
 LIST = 14
 TREES, CELL = 4, 80
@@ -34,6 +38,10 @@ LINKED, AUDIT_MOST = 64, 4096
 #: Of a saturated list the nearest and so many random links are kept; groups with such lists are counted by blocks.
 KEEP = 96
 BLOCK = 1024
+#: Vectors of one centre within this angle are linked; a little less than half the threshold's, for rounding.
+CONE = float(np.arccos(THRESHOLD)) / 2 - 1e-7
+#: Crowded groups up to which a row for each is sent to every task.
+SENT = 20_000
 #: Members of a node's neighbourhood that are joined at once.
 JOIN = 96
 EDGES = "u long, v long, sim double"
@@ -47,12 +55,14 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as bytes; null where one is null, empty, zero, or has a null or non-finite component."""
     for batch in batches:
-        out = []
-        for v in batch.column(1):
-            x = None if v.as_py() is None else np.asarray([np.nan if c is None else c for c in v.as_py()], dtype=np.float64)
-            with np.errstate(over="ignore"):
-                ok = x is not None and len(x) and np.isfinite(x).all() and np.isfinite(x.astype("<f4")).all() and x.astype("<f4").any()
-            out.append((x.astype("<f4") + np.float32(0)).tobytes() if ok else None)
+        column = batch.column(1)
+        sizes = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        with np.errstate(over="ignore"):
+            x = column.flatten().to_numpy(zero_copy_only=False).astype("<f4") + np.float32(0)  # null components are NaN
+        bad, some = (np.concatenate([[0], np.cumsum(c)]) for c in (~np.isfinite(x), x != 0))
+        ok = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+        out = [x[a:b].tobytes() if good else None for a, b, good in zip(at[:-1], at[1:], ok, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
 
@@ -238,8 +248,11 @@ def graph(nodes: DataFrame, scratch: Scratch, *, seed: int = 7) -> DataFrame:
     size = LIST
     edges = scratch.table(_merged(in_cells(seed).withColumn("fresh", F.lit(True)), size), "edges-0")
     for k in itertools.count(1):
-        if k > ROUNDS and _audit(nodes, edges, k) >= RECALL:
-            break
+        if k > ROUNDS:
+            recall = _audit(nodes, edges, k)
+            _LOG.info("recall after %d rounds: %.4f", k - 1, recall)
+            if recall >= RECALL:
+                break
         size += LIST // 2 if k > ROUNDS else 0
         found = _round(edges, nodes, size, k)
         if k > ROUNDS:  # new projections reach what the descent can't, so the recall holds in the end
@@ -270,21 +283,62 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _cone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with their group's centre in the last column: whether they are near enough to it that all such are linked."""
+    for batch in batches:
+        if batch.num_rows:
+            vec, centre = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            core = np.empty(len(vec), dtype=bool)
+            sizes = np.array([len(v) for v in vec])
+            for size in np.unique(sizes):
+                k = np.flatnonzero(sizes == size)
+                cos = (_unit([vec[i] for i in k]) * _unit([centre[i] for i in k])).sum(axis=1)
+                core[k] = np.arccos(np.clip(cos, -1.0, 1.0)) <= CONE
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(core)], names=["node", "component", "mass", "vec", "core"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the rows of one block with those of another, given in the order of (component, i, j)."""
+    """Links between far nodes of one block (side 0) and the nodes of another (1: far, 2: near the centre), given in the order
+    of (component, i, j). Links of far nodes count at them, with whomever; near nodes get only those with far ones here."""
     for t in _groups(batches, ["component", "i", "j"]):
         side, node, mass, vec = t["side"].to_numpy(), t["node"].to_numpy(), t["mass"].to_numpy(), t["vec"].to_pylist()
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
         if not len(a) or not len(b):
             continue
-        got = np.zeros(len(a), dtype=np.int64)
+        got, back = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         sizes = np.array([len(v) for v in vec])
         for size in np.unique(sizes):
-            p, q = np.flatnonzero(sizes[a] == size), b[sizes[b] == size]
+            p, q = np.flatnonzero(sizes[a] == size), np.flatnonzero(sizes[b] == size)
             if len(p) and len(q):
-                hit = (_unit([vec[i] for i in a[p]]) @ _unit([vec[i] for i in q]).T >= THRESHOLD) & (node[a[p]][:, None] != node[q][None, :])
-                got[p] = hit @ mass[q]
-        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(got)], names=["node", "n"])
+                hit = (_unit([vec[i] for i in a[p]]) @ _unit([vec[i] for i in b[q]]).T >= THRESHOLD) & (node[a[p]][:, None] != node[b[q]][None, :])
+                got[p], back[q] = hit @ mass[b[q]], mass[a[p]] @ hit
+        near = side[b] == 2
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[a], node[b][near]])), pa.array(np.concatenate([got, back[near]]))], names=["node", "n"])
+
+
+def _crowded_links(label: DataFrame, counted: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, exact``: links of every node of a group in which a list may be cut, by mass."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = counted.select(F.col("u").alias("node"), "lists")
+    heads = label.select("node", "component").join(lists, "node").groupBy("component").agg(F.max("lists").alias("most"), F.max_by("node", F.struct("lists", "node")).alias("node"))
+    heads = scratch.table(heads.filter(F.col("most") >= KEEP).join(nodes.select("node", F.col("vec").alias("centre")), "node").select("component", "centre"), "heads")
+    few = heads.count() <= SENT
+    sent = F.broadcast if few else (lambda df: df)  # one group may hold a third of all nodes; joins by group are for very many groups
+    inside = label.join(sent(heads), "component").join(nodes.select("node", "vec"), "node").select("node", "component", "mass", "vec", "centre")
+    coned = scratch.table(inside.mapInArrow(_cone, "node long, component long, mass long, vec binary, core boolean"), "coned")
+    far = F.count_if(~F.col("core"))
+    sizes = coned.groupBy("component").agg(F.ceil(far / BLOCK).cast("int").alias("far_blocks"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.sum(F.when(F.col("core"), F.col("mass"))).alias("core_mass"))
+    placed = coned.join(sent(sizes), "component")
+    sure = placed.filter("core").select("node", (F.col("core_mass") - F.col("mass")).alias("n"))
+    compared = placed.filter("far_blocks > 0")
+    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    rows = ["node", "mass", "vec"]
+    sides = compared.filter("not core").select("component", own("far_blocks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), *rows).unionByName(
+        compared.select("component", every("far_blocks").alias("i"), own("blocks").alias("j"), F.when(F.col("core"), 2).otherwise(1).alias("side"), *rows)
+    )
+    met = sides.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_blocks, "node long, n long")
+    return sure.unionByName(met).groupBy("node").agg(F.sum("n").alias("exact"))
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -295,7 +349,6 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
     takes part, but no component is named after it. Repeated rows count each; an empty table
     gives no rows; other columns are ignored.
     """
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(_clean, "vec_id long, vec binary")
     rows = scratch.table(clean.withColumn("node", F.xxhash64("vec")), "rows")
     nodes = scratch.table(
@@ -309,19 +362,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
     label = scratch.table(label, "labels")
     named = label.groupBy("component").agg(F.min("least").alias("component_id"))
     counted = links.join(nodes.select(F.col("node").alias("v"), "mass"), "v").groupBy("u").agg(F.sum("mass").alias("linked"), F.count(F.lit(1)).alias("lists"))
-    # Groups in which a list may be cut: all their links are counted again, block against block.
-    crowded = counted.filter(F.col("lists") >= KEEP).join(label, F.col("u") == F.col("node")).select("component").distinct()
-    inside = label.join(crowded, "component", "left_semi").join(nodes.select("node", "vec"), "node")
-    sizes = label.join(crowded, "component", "left_semi").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cut = inside.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sides = [
-        cut.select("component", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "node", "mass", "vec"),
-        cut.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "mass", "vec"),
-    ]
-    exact = (
-        sides[0].unionByName(sides[1]).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-        .mapInArrow(_blocks, "node long, n long").groupBy("node").agg(F.sum("n").alias("exact"))
-    )
+    exact = _crowded_links(label, counted, nodes, scratch)
     done = (
         label.join(named, "component")
         .join(counted.select(F.col("u").alias("node"), "linked"), "node", "left")

@@ -160,6 +160,24 @@ def test_vectors_equal_brute_force(spark, scratch, vectors, monkeypatch):
     assert got[1001].component_id == 0 and not got[1001].kept and got[1009].component_id == 1008
 
 
+def test_crowded_groups_that_spread_are_counted_exactly(spark, scratch, monkeypatch):
+    """An arc of vectors, each linked with those beside it, a tight group at one end, and a sphere around a centre."""
+    monkeypatch.setattr(neighbours, "KEEP", 20)
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    rng = np.random.default_rng(11)
+    arc = [np.array([np.cos(a), np.sin(a), 0.0, 0.0, 0.0, 0.0]) for a in np.radians(np.arange(0, 150, 0.7))]
+    tight = [arc[0] + rng.normal(size=6) * 0.01 for _ in range(80)]
+    ball = [np.array([0.0, 0.0, 0.0, 0.0, 0.0, 1.0]) + rng.normal(size=6) * 0.17 for _ in range(120)]
+    rows = [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate([*arc, *tight, *ball, *tight[:9]])]
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), scratch).collect()}
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = x @ x.T >= 0.9
+    comp = union([(a, b) for a, b in zip(*np.nonzero(hit), strict=True) if a < b], range(len(rows)))
+    assert {k: r.component_id for k, r in got.items()} == comp
+    assert {k: r.n_links for k, r in got.items()} == dict(enumerate(hit.sum(axis=1) - 1))
+
+
 def test_audit_sees_ordinary_nodes_beside_a_crowd(spark):
     rng = np.random.default_rng(5)
     crowd, pairs = [rng.normal(size=16)] * 120, [c for c in rng.normal(size=(40, 16)) for _ in range(2)]
