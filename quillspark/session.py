@@ -17,12 +17,15 @@ _OWN_ROOT: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this process is used instead.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset on a local master, as in
+    tests, a temporary folder of this process is used instead; a cluster without the setting is an
+    error, since executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillspark.plans import catalog, catalog_more  # noqa: F401 - catalog_more adds to the catalog
+from quillspark.plans import catalog, catalog_extra, catalog_more  # noqa: F401 - both add to the catalog
 
 D = "/root/testdata/sf0.001"
 
