@@ -14,7 +14,7 @@ from quillspark.functions import normalize as N
 from quillspark.functions import text as T
 from quillspark.operators import audit, entities, evidence, incremental, organisation, provenance, reports, screening, search, tasks
 from quillspark.plans import composites
-from quillspark.plans.adapters import entity
+from quillspark.plans.adapters import entity, with_entities
 from quillspark.plans.catalog import ORACLE_SQL, QUERIES, _records, _snapshots, query
 from quillspark.session import Scratch, table
 from quillspark.sources import readers, sinks
@@ -757,6 +757,23 @@ _WORDS = "['aspirin', 'placebo', 'cohort', 'mortality', 'sepsis', 'insulin', 'gl
 _pick = "({w})[k * {m} % 20 + 1]".format
 ORACLE_SQL["e_synthetic_papers"] = f"""select k as paper_id, concat_ws(' ', {", ".join(_pick(w=_WORDS, m=m) for m in (3, 7, 11))}, 'study', k) as title, concat('Journal ', k % 17) as journal, concat(1990 + k % 35, '-01') as publication_date,
     concat_ws(' ', {", ".join(_pick(w=_WORDS, m=m) for m in (1, 3, 7, 9, 11, 13, 17, 19))}) as abstract from (select unnest(range((select count(*) from documents))) as k)"""
-NEW = (set(QUERIES) - _BEFORE) | {"p_sentences", "t_stream_change_feed", "e_synthetic_papers"}
+_found = "coalesce(nullif(instr(lower({0}), 'tion'), 0), nullif(instr(lower({0}), 'ing'), 0))".format
+_around = (
+    "(select case when p is not null then concat(case when p - 80 > 1 then '…' else '' end, trim(substr({0}, greatest(1, p - 80), least(length({0}) + 1, p + n + 80) - greatest(1, p - 80))), "
+    "case when least(length({0}) + 1, p + n + 80) <= length({0}) then '…' else '' end) end from (select {1} as p, case when instr(lower({0}), 'tion') > 0 then 4 else 3 end as n))"
+)
+ORACLE_SQL["q_library_search"] = with_entities(
+    rf"""select paper_id, title, journal, coalesce({_around.format("title", _found("title"))}, {_around.format("text", _found("text"))}) as snippet,
+      round(list_cosine_similarity(vector::double[], (select vector::double[] from vectors where evidence_id = 3)), 6) as score
+    from papers join vectors on evidence_id = paper_id where deleted_at is null and try_cast(nullif(regexp_extract(publication_date, '^(\d{{4}})', 1), '') as int) between 1995 and 2020
+      and contains(lower(text), 'tion') and contains(lower(text), 'ing') and paper_id <> 3 order by score desc, paper_id limit 50""".replace("evidence_id = paper_id", "vectors.evidence_id = paper_id").replace("where evidence_id = 3", "where vectors.evidence_id = 3"),
+    "papers", "vectors",
+)
+ORACLE_SQL["s_ris"] = with_entities(
+    r"""select concat('url:', paper_id) as evidence_id, concat_ws(chr(10), 'TY  - JOUR', 'AU  - Doe, J. A.', 'AU  - Study Group', 'TI  - ' || nullif(trim(regexp_replace(title, '\r\n|\r|\n', ' ', 'g')), ''), 'T2  - ' || journal, 'PY  - 2020', 'DA  - 2020',
+      case when paper_id % 9 = 0 then concat('DO  - 10.1/', paper_id % 45, chr(10), 'UR  - https://doi.org/10.1/', paper_id % 45) end, 'N1  - Full text not obtained (quarantined).', 'ER  - ') as entry from papers""".replace("\\\\", "\\"),
+    "papers",
+)
+NEW = (set(QUERIES) - _BEFORE) | {"p_sentences", "t_stream_change_feed", "e_synthetic_papers", "q_library_search", "s_ris"}
 
 __all__ = ["NEW", "composites"]
