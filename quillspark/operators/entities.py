@@ -357,6 +357,16 @@ def revert_merges(tables: dict[str, DataFrame], moves: DataFrame) -> dict[str, D
     }
 
 
+def add_files(entries: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Library after adding files: one entry for equal bytes, whose missing ids the later ones fill; the preprint flag only goes up.
+
+    Both: sha256, position, title, pmid, doi, pmcid, is_preprint.
+    """
+    every = entries.unionByName(incoming.select(*entries.columns))
+    first = lambda x: F.min_by(x, F.when(F.col(x).isNotNull(), F.col("position"))).alias(x)
+    return every.groupBy("sha256").agg(F.min("position").alias("position"), *[first(x) for x in ("title", *SCHEMES)], F.coalesce(F.bool_or("is_preprint"), F.lit(False)).alias("is_preprint"))
+
+
 def primary_identifiers(ids: DataFrame) -> DataFrame:
     """Primary of each paper and scheme: flagged first, then the earliest."""
     w = Window.partitionBy("paper_id", "scheme").orderBy(F.desc(F.col("is_primary").cast("int")), "created_at", "id")

@@ -129,6 +129,11 @@ def save_search(saved: DataFrame, new: DataFrame) -> DataFrame:
     return saved.unionByName(new.select(*saved.columns)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def delete_search(saved: DataFrame, *names: str) -> DataFrame:
+    """Saved searches without the named ones; a name that is not there changes nothing."""
+    return saved.filter(~F.col("name").isin(*names)) if names else saved
+
+
 def batches(ids: DataFrame, size: int, order: str) -> DataFrame:
     """Ids in numbered batches, for requests that take so many at once.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +100,73 @@ def concept_problems(notes: DataFrame) -> DataFrame:
         )
     )
     return j.withColumn("problems", p).filter(F.size("problems") > 0).select("slug", "problems").distinct()
+
+
+# Folders by type of note, words for states, types with duties of their own, and fields that every note has.
+FOLDERS = {
+    "Review": "reviews", "Protocol": "protocols", "Search Strategy": "searches", "Study": "studies", "Evidence Claim": "claims", "Outcome": "outcomes", "Population": "populations",
+    "Intervention": "interventions", "Comparator": "comparators", "Appraisal": "appraisals", "Evidence Gap": "gaps", "Hypothesis": "hypotheses", "Source Document": "source-documents",
+}
+STATES = ("draft", "stable", "provisional", "superseded")
+RETRACTION_STATES = ("none", "retracted", "expression_of_concern", "corrected")
+DATED = ("Review", "Search Strategy", "Evidence Claim")
+RETRACTABLE = ("Study", "Source Document")
+REQUIRED = ("type", "title", "description", "resource", "status")
+
+
+def bundle_problems(notes: DataFrame, records: DataFrame) -> DataFrame:
+    """Rules that the notes of a concept bundle break: ``folder, slug, rule``, a row for each.
+
+    ``notes``: folder, slug, body, and the front matter as columns: type, title, description, resource, tags (array), generated and
+    verified (by, at), status, sources (array of id, resource, title), stale_after, pmid, doi, pmcid, journal, retraction_status,
+    evidence_id, evidence_ids (array), evidence_basis, timestamp. ``records``: evidence_id, pmid, doi, pmcid, journal, ft_status.
+    Rules on files and their places on a disk, and on types of values in a file, have no counterpart in rows with a schema.
+    """
+    c, key = F.col, ["folder", "slug"]
+    strings = F.expr("cast(array() as array<string>)")
+    blank = lambda x: F.coalesce(F.trim(x.cast("string")), F.lit("")) == ""
+    ids = F.transform(F.filter("sources", lambda s: F.coalesce(s["id"].rlike("^[a-z0-9][a-z0-9-]*$"), F.lit(False))), lambda s: s["id"])
+    ids = F.coalesce(ids, strings)
+    used = F.regexp_extract_all("body", F.lit(r"(?<!\])\[\^([^\]\s]+)\]"), F.lit(1))
+    defined = F.regexp_extract_all("body", F.lit(r"(?m)^\[\^([^\]]+)\]:"), F.lit(1))
+    links = F.regexp_extract_all("body", F.lit(r"(?<!!)\[[^\]\n]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"), F.lit(1))
+    stems = F.transform(links, lambda x: F.regexp_replace(F.regexp_replace(F.substring_index(x, "#", 1), "^.*/", ""), r"\.[^.]*$", ""))
+    wiki = F.transform(F.regexp_extract_all("body", F.lit(r"(?<!!)\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "^.*/", ""), r"\.[^.]*$", ""))
+    folder_of = F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv])[c("type")]
+    doi_name = F.lower(F.regexp_replace("doi", "[^A-Za-z0-9]+", "-"))
+    study = c("type") == "Study"
+    pubmed = study | F.coalesce(c("resource").startswith("https://pubmed.ncbi.nlm.nih.gov/"), F.lit(False))
+    moment = lambda x: blank(c(f"{x}.by")) | ~F.coalesce(c(f"{x}.at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.lit(False))
+    forms = [c("pmid").rlike(r"^\d+$"), c("pmcid").rlike(r"^PMC\d+$"), c("doi").rlike(r"^10\.\d{4,}/\S+$"), c("doi") == F.lower("doi")]  # absent ones hold
+    some_sources = F.coalesce(F.size("sources") > 0, F.lit(False))
+    rules = {
+        "V1": blank(c("type")),
+        "V2": some_sources & ((F.size(ids) < F.size("sources")) | (F.size(F.array_distinct(ids)) < F.size(ids))),
+        "V3": F.size(F.array_except(F.array_union(used, defined), ids)) > 0,
+        "V6": functools.reduce(lambda a, b: a | b, [blank(c(x)) for x in REQUIRED]) | ~some_sources | ~F.coalesce(F.size("tags") > 0, F.lit(False)) | c("generated").isNull() | c("verified").isNull()
+        | F.exists("sources", lambda s: blank(s["resource"]) | blank(s["title"])),
+        "V7": (c("generated").isNotNull() & moment("generated")) | (c("verified").isNotNull() & moment("verified")),
+        "V8": c("status").isNotNull() & ~c("status").isin(*STATES),
+        "V9": c("type").isin(*DATED) & ~F.coalesce(c("stale_after").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)),
+        "V10": ~blank(c("type")) & (folder_of.isNull() | (folder_of != c("folder"))),
+        "V11": study & folder_of.isNotNull() & (c("slug") != F.coalesce(F.concat(F.lit("pmid-"), F.nullif("pmid", F.lit(""))), F.concat(F.lit("doi-"), F.nullif(doi_name, F.lit(""))), F.lit(""))),
+        "V14": pubmed & ~functools.reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(True)) for p in forms]),
+        "V15": c("type").isin(*RETRACTABLE) & ~F.coalesce(c("retraction_status").isin(*RETRACTION_STATES), F.lit(False)),
+        "V16": ~F.coalesce(F.array_contains("tags", "deep-research"), F.lit(False)),
+        "V18": F.size(F.array_except(wiki, stems)) > 0,
+        "V19": some_sources & (F.size(used) == 0),
+        "V22": ~F.regexp_replace("slug", "^(pmid-|doi-)", "").rlike("^[a-z0-9][a-z0-9-]{0,79}$"),
+        "V23": c("timestamp").isNotNull(),
+    }
+    own = notes.select(*key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), rule) for rule, cond in rules.items()]))).alias("rule"))
+    declared = (c("evidence_basis") == "abstract_only") | F.contains("body", F.lit("(abstract only)"))
+    cited = notes.select(
+        *key, F.coalesce(declared, F.lit(False)).alias("declared"), F.explode(F.array_distinct(F.array_compact(F.concat(F.array("evidence_id"), F.coalesce("evidence_ids", strings))))).alias("evidence_id")
+    )
+    met = cited.join(records.select("evidence_id", "ft_status", F.lit(True).alias("known")), "evidence_id", "left")
+    lost = met.filter("known is null").select(*key, F.lit("V24").alias("rule"))
+    thin = met.filter("ft_status = 'abstract_only' and not declared").select(*key, F.lit("V25").alias("rule"))
+    fields = ("pmid", "doi", "pmcid", "journal")
+    said = notes.filter(study).select(*key, "evidence_id", *[c(f).alias(f"_{f}") for f in fields]).join(records, "evidence_id")
+    omitted = functools.reduce(lambda a, b: a | b, [~blank(c(f)) & blank(c(f"_{f}")) for f in fields])
+    return own.unionByName(lost).unionByName(thin).unionByName(said.filter(omitted).select(*key, F.lit("V12").alias("rule"))).distinct()

@@ -747,6 +747,90 @@ def v_span_debt(spark: SparkSession, d: str) -> DataFrame:
     return provenance.span_debt(r).select("evidence_id", F.col("owed").cast("long").alias("owed"))
 
 
+# ---------------------------------------------------------------- bundles, libraries, tails
+
+
+_RULES = (
+    ("V1", "doc_id % 20 = 1"), ("V2", "doc_id % 20 = 2"), ("V3", "doc_id % 20 = 2 or doc_id % 20 = 3"), ("V6", "doc_id % 20 in (1, 6)"), ("V7", "doc_id % 20 = 7"), ("V8", "doc_id % 20 = 8"), ("V9", "doc_id % 20 = 9"), ("V10", "doc_id % 20 = 10"),
+    ("V11", "doc_id % 20 = 11"), ("V14", "doc_id % 20 = 14"), ("V15", "doc_id % 20 = 15"), ("V16", "doc_id % 20 = 16"), ("V18", "doc_id % 20 = 18"), ("V19", "doc_id % 20 = 19"), ("V22", "doc_id % 40 = 5"), ("V23", "doc_id % 20 = 4"),
+    ("V12", "doc_id % 20 = 12"), ("V24", "doc_id % 20 = 13"), ("V25", "doc_id % 20 = 17"),
+)
+
+
+@query(" union all ".join(f"select doc_id, '{r}' as rule from documents where {w}" for r, w in _RULES))
+def v_bundle_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A note per document, each with one fault at most; studies, claims and plain notes take turns."""
+    k, s = F.col("doc_id") % 20, F.col("doc_id").cast("string")
+    x = table(spark, d, "documents").select("doc_id")
+    study = k.isin(11, 12, 14, 15, 17)
+    kind = F.when(k == 1, "").when(study, "Study").when(k == 9, "Review").otherwise("Outcome")
+    slug = F.when(k == 11, F.concat(F.lit("pmid-0"), s)).when(study, F.concat(F.lit("pmid-"), s, F.when(k == 14, "x").otherwise(""))).when(F.col("doc_id") % 40 == 5, F.concat(F.lit("Bad_"), s)).otherwise(F.concat(F.lit("note-"), s))
+    when = lambda bad: F.struct(F.lit("someone").alias("by"), F.when(bad, "2024-01-01").otherwise("2024-01-01T00:00:00Z").alias("at"))
+    source = lambda i, title: F.struct(i.alias("id"), F.lit("https://x.example/").alias("resource"), title.alias("title"))
+    body = F.concat(F.when(k == 19, "no note").when(k == 3, "see [^one] and [^gone]").otherwise("see [^one]"), F.when(k == 18, " [[elsewhere]]").otherwise(" [[there]] [t](../a/there.md)"))
+    pmid = F.when(study & (k != 12), F.concat(s, F.when(k == 14, "x").otherwise("")))
+    notes = x.select(
+        F.when(k == 10, "claims").when(study, "studies").when(k == 9, "reviews").otherwise("outcomes").alias("folder"), F.when(k == 12, F.concat(F.lit("doi-10-1000-y"), s)).otherwise(slug).alias("slug"), body.alias("body"), kind.alias("type"), F.when(k == 6, " ").otherwise("t").alias("title"),
+        F.lit("d").alias("description"), F.lit("r").alias("resource"), F.when(k == 16, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("deep-research"))).alias("tags"), when(F.lit(False)).alias("generated"), when(k == 7).alias("verified"),
+        F.when(k == 8, "done").otherwise("draft").alias("status"), F.array(source(F.when(k == 2, "One!").otherwise("one"), F.lit("t"))).alias("sources"), F.lit(None).cast("string").alias("stale_after"), pmid.alias("pmid"), F.when(k == 12, F.concat(F.lit("10.1000/y"), s)).alias("doi"),
+        F.lit(None).cast("string").alias("pmcid"), F.when(k != 12, "j").alias("journal"), F.when(k != 15, "none").alias("retraction_status"), F.when(study, F.concat(F.lit("pmid:"), s)).alias("evidence_id"),
+        F.when(k == 13, F.array(F.lit("pmid:none"))).alias("evidence_ids"), F.lit(None).cast("string").alias("evidence_basis"), F.when(k == 4, "t").alias("timestamp"), "doc_id",
+    )
+    records = x.select(F.concat(F.lit("pmid:"), s).alias("evidence_id"), F.when(k != 12, s).alias("pmid"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pmcid"), F.lit("j").alias("journal"), F.when(k == 17, "abstract_only").otherwise("fulltext").alias("ft_status"))
+    found = reports.bundle_problems(notes, records)
+    return found.join(notes.select("doc_id", "folder", "slug"), ["folder", "slug"]).select("doc_id", "rule").distinct()
+
+
+@query(
+    """select o_orderpriority as sha256, min(o_orderkey) as position, min(o_orderkey) filter (where o_orderkey % 3 = 0) as pmid, min(o_orderkey) filter (where o_orderkey % 5 = 0) as doi, bool_or(o_orderkey % 1000 = 7) as is_preprint from orders group by o_orderpriority"""
+)
+def j_add_files(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("sha256"), k.alias("position"), F.lit("t").alias("title"), F.when(k % 3 == 0, s).alias("pmid"), F.when(k % 5 == 0, s).alias("doi"), F.lit(None).cast("string").alias("pmcid"), (k % 1000 == 7).alias("is_preprint"))
+    out = entities.add_files(o.filter("position % 2 = 0"), o.filter("position % 2 = 1"))
+    return out.select("sha256", "position", F.col("pmid").cast("long").alias("pmid"), F.col("doi").cast("long").alias("doi"), "is_preprint")
+
+
+@query(
+    """select doc_id, case doc_id % 4 when 0 then 'b|c' when 1 then 'a|b|c' when 2 then 'x' else '' end as lines, case doc_id % 4 when 0 then 6 when 1 then 6 when 2 then 2 else 4 end as upto from documents"""
+)
+def t_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Files that grew, that are new, that were replaced by shorter ones, and that have no new whole line."""
+    k = F.col("doc_id") % 4
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.when(k < 2, "a\nb\nc\nto").when(k == 2, "x\nto").otherwise("a\nb\nto").alias("text"))
+    seen = table(spark, d, "documents").filter(k != 1).select(F.col("doc_id").alias("path"), F.when(k == 0, 2).when(k == 2, 90).otherwise(4).cast("long").alias("upto"))
+    from quillspark.streaming import monitor
+
+    lines, upto = monitor.tail(files, seen)
+    said = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "|").alias("lines"))
+    return upto.join(said, "path", "left").select(F.col("path").alias("doc_id"), F.coalesce("lines", F.lit("")).alias("lines"), "upto")
+
+
+@query(f"select doc_id as paper_id, concat_ws(' ', {_TITLE.format(**_DUCK)}, 'Doe J', source, 'doi:10.1/' || cast(doc_id as varchar), 'pmid:' || cast(doc_id as varchar)) as text from documents where doc_id % 13 <> 0")
+def x_metadata_text(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "documents").selectExpr("doc_id as paper_id", f"{_TITLE.format(**_SPARK)} as title", "array('Doe J') as authors", "source as journal", "cast(null as string) as abstract", "if(doc_id % 13 = 0, 1, null) as deleted_at")
+    i = table(spark, d, "documents").selectExpr("doc_id as paper_id", "inline(array(struct('pmid' as scheme, cast(doc_id as string) as value), struct('doi' as scheme, concat('10.1/', doc_id) as value)))")
+    return search.metadata_text(p, i)
+
+
+@query(
+    """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null), s as (select q.vec_id as query, v.vec_id as doc, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 9) as score from v q join v on q.vec_id % 50 = 0)
+    select query, doc, cast(row_number() over (partition by query order by score desc, doc) as int) as rank, 'none' as reason from s qualify rank <= 3 union all select null, null, null, 'no vector index'"""
+)
+def x_semantic_leg(spark: SparkSession, d: str) -> DataFrame:
+    v = entity(spark, d, "vectors").select(F.col("evidence_id").alias("id"), "vector")
+    found, _ = search.semantic_leg(v, v.filter("id % 50 = 0").withColumnRenamed("id", "query"), 3)
+    none, reason = search.semantic_leg(None, v, 3)
+    lost = spark.createDataFrame([(reason if none is None else "found",)], "reason string").selectExpr("cast(null as bigint) as query", "cast(null as bigint) as doc", "cast(null as int) as rank", "reason")
+    return found.select("query", "doc", "rank", F.lit("none").alias("reason")).unionByName(lost)
+
+
+@query("select o_orderpriority as name from orders where o_orderpriority not in ('5-LOW', '1-URGENT') group by o_orderpriority")
+def d_delete_searches(spark: SparkSession, d: str) -> DataFrame:
+    saved = table(spark, d, "orders").select(F.col("o_orderpriority").alias("name")).distinct()
+    return organisation.delete_search(saved, "5-LOW", "1-URGENT", "never saved")
+
+
 # ---------------------------------------------------------------- SQL of queries registered elsewhere
 
 ORACLE_SQL["p_sentences"] = r"""with p as (select doc_id as paper_id, unnest(s) as part, generate_subscripts(s, 1) as i from (select doc_id, string_split(regexp_replace(text, '([.!?])([ \t\n\r\f])', '\1' || chr(1) || '\2', 'g'), chr(1)) as s from documents)),

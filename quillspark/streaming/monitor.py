@@ -69,3 +69,18 @@ def guarded(stream: DataFrame, valid: Callable[[DataFrame], bool], publish: Call
 
     spark = stream.sparkSession
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{checkpoint_root(spark)}/guarded").foreachBatch(step).start()
+
+
+def tail(files: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New whole lines of files that grow, and how far each is read: ``path, line_no, line`` and ``path, upto``.
+
+    ``files``: path, text; ``seen``: path, upto (characters read). A last line without its end waits; a file that is shorter than what
+    was read of it was replaced and is read anew.
+    """
+    j = files.join(seen.select("path", F.col("upto").alias("_upto")), "path", "left")
+    start = F.when(F.coalesce("_upto", F.lit(0)) <= F.length("text"), F.coalesce("_upto", F.lit(0))).otherwise(0)
+    fresh = F.expr("substring(text, _start + 1)")
+    whole = F.when(F.contains("_fresh", F.lit("\n")), F.regexp_replace("_fresh", r"[^\n]*\z", "")).otherwise("")
+    j = j.withColumn("_start", start.cast("int")).withColumn("_fresh", fresh).withColumn("_whole", whole)
+    lines = j.filter("_whole <> ''").select("path", F.posexplode(F.split(F.expr("substring(_whole, 1, length(_whole) - 1)"), "\n")).alias("line_no", "line"))
+    return lines, j.select("path", (F.col("_start") + F.length("_whole")).cast("long").alias("upto"))
