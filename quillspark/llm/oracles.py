@@ -92,6 +92,27 @@ from p left join f f0 on f0.doc_id = p.doc_id and f0.which = 0 left join f f1 on
 left join alike a1 on a1.doc_id = p.doc_id and a1.other = p.doc_id and a1.wb = 1 left join alike a2 on a2.doc_id = p.doc_id and a2.other = p.next_id and a2.wb = 0
 left join used u1 on u1.doc_id = p.doc_id and u1.wb = 1 left join used u2 on u2.doc_id = p.doc_id and u2.wb = 0"""
 
+# Every window of 100 bytes by its digest; those that are not the first with theirs cover what goes. Long texts are cut
+# into parts of 1000 bytes with 99 more, since places in a long string are slow to find.
+_REPEATS = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, length(h) // 2 as n from d),
+c as (select doc_id, n, k, substr(h, 2000 * k + 1, 2198) as part from n, unnest(range(0, n, 1000)) as r(x), lateral (select x // 1000 as k)),
+w as (select doc_id, 1000 * k + i as pos, md5(substr(part, 2 * i + 1, 200)) as m from c, unnest(range(0, 1000)) as r(i) where 1000 * k + i + 100 <= n),
+again as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by m order by doc_id, pos) as r from w) where r > 1),
+runs as (select doc_id, pos, sum(cast(coalesce(pos > before + 100, true) as int)) over (partition by doc_id order by pos) as run from (select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as before from again)),
+spans as (select doc_id, run, min(pos) as a, max(pos) + 100 as b from runs group by all),
+cut as (select n.doc_id, any_value(n) as n, sum(b - a) as removed, count(*) as spans, max(b) as last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head, any_value(h) as h
+  from (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans) s join n on n.doc_id = s.doc_id group by n.doc_id)
+select n.doc_id, n.n as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head || substr(cut.h, 2 * last + 1), n.h))) as kept_sha256 from n left join cut using (doc_id)"""
+
+# The text of a page's article, which the driver's pages mark; menus, adverts and footers are beside it.
+_ARTICLES = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as h from pages),
+b as (select page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(h, '</?(p|h1)[^>]*>', chr(1), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(1)) as blocks from a),
+t as (select page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as t from b)
+select page_id, url, replace(replace(t, '&quot;', '"'), '&amp;', '&') as text, length(replace(replace(t, '&quot;', '"'), '&amp;', '&')) as n_chars from t"""
+
 _VECTORS = """
 with recursive g as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),
 l as (select a.vec_id as u, b.vec_id as v from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
@@ -103,6 +124,8 @@ select vec_id, coalesce(k, 0) as n_links, component_id, vec_id = component_id as
 ORACLE_SQL = {
     "op2_embedding_near_dedup": _VECTORS,
     "op4_mixing": _MIXING.replace("@1", _fill(1, "", "domain")).replace("@2", _fill(2, "domain", "lang")).replace("@3", _fill(3, "domain, lang", "source")),
+    "op6_exact_repeats": _REPEATS,
+    "op7_main_text": _ARTICLES,
     "op9_secret_scan": _SECRETS,
     "op10_imatch": _IMATCH,
 }
