@@ -858,6 +858,19 @@ ORACLE_SQL["s_ris"] = with_entities(
       case when paper_id % 9 = 0 then concat('DO  - 10.1/', paper_id % 45, chr(10), 'UR  - https://doi.org/10.1/', paper_id % 45) end, 'N1  - Full text not obtained (quarantined).', 'ER  - ') as entry from papers""".replace("\\\\", "\\"),
     "papers",
 )
-NEW = (set(QUERIES) - _BEFORE) | {"p_sentences", "t_stream_change_feed", "e_synthetic_papers", "q_library_search", "s_ris"}
+#: From each place the next range: its end is the first break in the 300 characters behind 1200, else 1200.
+ORACLE_SQL["x_chunks"] = r"""with recursive d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+    c as (select doc_id, 0 as pos, 0 as upto from d where n > 0 union all
+      select doc_id, case when upto = 0 then 0 else greatest(pos + 1, upto - 150) end as pos, upto_next from (
+        select doc_id, pos, upto, s, case when s + 1200 >= n then n when p1 > 0 and (p2 = 0 or p1 - 1 <= p2) then s + 1200 + p1 + 1 when p2 > 0 then s + 1200 + p2 + 1 else s + 1200 end as upto_next from (
+          select c.doc_id, pos, upto, n, s, instr(seg, chr(10) || chr(10)) as p1, length(regexp_extract(seg, '(?s)^(.*?[.!?])[ \t\n\r\f\v]', 1)) as p2 from (
+            select c.doc_id, c.pos, c.upto, d.n, case when upto = 0 then 0 else greatest(pos + 1, upto - 150) end as s, substr(d.text, case when upto = 0 then 0 else greatest(pos + 1, upto - 150) end + 1201, 300) as seg
+            from c join d on d.doc_id = c.doc_id where upto < n) c)))
+    select doc_id as paper_id, concat('s', cast(doc_id as varchar)) as source_id, pos as start, upto as "end", upto - pos as n from c join d using (doc_id) where upto > 0 and trim(replace(substr(text, pos + 1, upto - pos), chr(10), ' ')) <> ''"""
+ORACLE_SQL["s_html_text"] = r"""with a as (select page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?(</footer>|$)', chr(10), 'g') as h from pages),
+    b as (select page_id, regexp_replace(regexp_replace(h, '</?(p|h1|div|article|br)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') as t from a),
+    c as (select page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(t, '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') as t from b)
+    select page_id, trim(t, chr(10) || ' ') as text from c"""
+NEW = (set(QUERIES) - _BEFORE) | {"p_sentences", "t_stream_change_feed", "e_synthetic_papers", "q_library_search", "s_ris", "x_chunks", "s_html_text"}
 
 __all__ = ["NEW", "composites"]
