@@ -32,14 +32,8 @@ def _terms(text: Column) -> Column:
     return F.split(F.lower(F.translate(text, _SPACE, " " * len(_SPACE))), " ")
 
 
-def _subsets(digest: Column) -> Column:
-    """Numbers of the subsets that a term is in: one part of each scale, if that part is used. Each scale reads its own four digits of the term's md5."""
-    parts = [F.pmod(F.conv(F.substring(digest, 17 + 4 * k, 4), 16, 10).cast("int"), F.lit(s)) for k, s in enumerate(SCALES)]
-    return F.array_compact(F.array(*[F.when(p < PER_SCALE, F.lit(k * PER_SCALE) + p) for k, p in enumerate(parts)]))
-
-
 def lexicon(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``word_hash, above, digest, subsets`` of the terms in the band, and with their document frequency in
+    """``word_hash, above, digest`` (56 bits of the md5) of the terms in the band, and with their document frequency in
     ``above`` those of higher frequency, at most (terms of a document / HIGH).
 
     A text that many rows have (HOT) counts once, at its least key, so large groups of copies don't move a
@@ -60,50 +54,74 @@ def lexicon(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df"))
         .filter(F.col("df") >= max(2, low * n))
-        .withColumn("digest", F.md5("word"))
         .select(
             F.xxhash64("word").alias("word_hash"),
             F.when(F.col("df") > max(2, high * n), F.col("df")).otherwise(F.lit(0)).alias("above"),
-            F.substring("digest", 1, 16).alias("digest"),
-            _subsets(F.col("digest")).alias("subsets"),
+            F.conv(F.substring(F.md5("word"), 1, 14), 16, 10).cast("long").alias("digest"),
         )
     )
 
 
-def fingerprint_texts(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame, *, sent: bool = True) -> DataFrame:
-    """One row per key with terms in the lexicon: ``fp``, an array of hashes (8 digits) by subset,
-    null where a subset has no term.
+def _entries(digests: Column) -> Column:
+    """Subset (the upper bits) and digest of terms: of each scale one part, by its own 14 bits of the digest, if that part is used."""
 
-    Distinct terms of a subset are sorted by their digests and hashed together, so order and repeats don't count.
-    A document with few terms in the band has the terms nearest above it as well.
-    """
-    subsets = len(SCALES) * PER_SCALE
-    words = texts.select(*keys, F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("word")).filter("word <> ''")
-    known = words.select(*keys, F.xxhash64("word").alias("word_hash")).join(F.broadcast(terms) if sent else terms, "word_hash")
-    nearest = F.array_sort(F.collect_list(F.struct("above", "digest", "subsets")))
-    inside = F.size(F.filter("t", lambda x: x["above"] == 0))
-    wanted = F.greatest(inside, F.lit(LEAST), F.ceil(F.size("t") / PART).cast("int"))
-    chosen = known.groupBy(*keys).agg(nearest.alias("t")).select(*keys, F.explode(F.slice("t", F.lit(1), wanted)).alias("x"))
-    hashed = (
-        chosen.select(*keys, "x.digest", F.explode("x.subsets").alias("subset"))
-        .groupBy(*keys, "subset")
-        .agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("digest")), "")), 1, 8).alias("h"))
-    )
-    return hashed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("subset", "h"))).alias("m")).select(
-        *keys, F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda i: F.element_at("m", i)).alias("fp")
-    )
+    def places(m: Column) -> Column:
+        parts = [F.shiftright(m, 14 * k).bitwiseAND(s - 1) for k, s in enumerate(SCALES)]  # the scales are powers of two
+        return F.array_compact(F.array(*[F.when(p < PER_SCALE, F.shiftleft(p + k * PER_SCALE, 56).bitwiseOR(m)) for k, p in enumerate(parts)]))
+
+    return F.sort_array(F.flatten(F.transform(digests, places)))
+
+
+def _chosen(terms: Column) -> Column:
+    """Of a document's sorted terms (above, digest) those in the band; where they are few, the terms nearest above it as well."""
+    inside = F.size(F.filter(terms, lambda x: x["above"] == 0))
+    return F.slice(terms, F.lit(1), F.greatest(inside, F.lit(LEAST), F.ceil(F.size(terms) / PART).cast("int")))["digest"]
+
+
+def _fingerprint(digests: Column) -> Column:
+    """Subsets and their hashes, as strings of two and eight digits: the distinct terms of each subset are sorted by
+    digest and hashed together, so order and repeats don't count."""
+    none = F.expr("cast(array() as array<string>)")
+
+    def closed(state: Column) -> Column:
+        hashed = F.concat(F.lpad(state["subset"].cast("string"), 2, "0"), F.substring(F.md5(state["said"]), 1, 8))
+        return F.when(state["subset"] < 0, state["out"]).otherwise(F.array_append(state["out"], hashed))
+
+    def step(state: Column, entry: Column) -> Column:
+        subset, said = F.shiftright(entry, 56).cast("int"), entry.bitwiseAND((1 << 56) - 1).cast("string")
+        more = F.struct(subset.alias("subset"), F.concat(state["said"], F.lit(","), said).alias("said"), state["out"].alias("out"))
+        return F.when(state["subset"] == subset, more).otherwise(F.struct(subset.alias("subset"), said.alias("said"), closed(state).alias("out")))
+
+    zero = F.struct(F.lit(-1).alias("subset"), F.lit("").alias("said"), none.alias("out"))
+    return F.aggregate(_entries(digests), zero, step, closed)
+
+
+def fingerprint_texts(texts: DataFrame, keys: list[str], columns: list[str], terms: DataFrame, *, sent: bool = True) -> DataFrame:
+    """One row per key with terms in the lexicon, and for each text column its fingerprint
+    (``_fingerprint``) under the column's name, null without any term."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.array_distinct(_terms(F.col(c))).alias("words")) for k, c in enumerate(columns)]))
+    words = texts.select(*keys, each.alias("x")).select(*keys, "x.which", F.explode("x.words").alias("word")).filter("word <> ''")
+    known = words.select(*keys, "which", F.xxhash64("word").alias("word_hash")).join(F.broadcast(terms) if sent else terms, "word_hash")
+    own = [F.collect_list(F.when(F.col("which") == k, F.struct("above", "digest"))).alias(c) for k, c in enumerate(columns)]
+    found = known.groupBy(*keys).agg(*own)
+    # Each step uses its input more than once, so the steps are kept apart.
+    for of in (F.sort_array, _chosen, _fingerprint, lambda fp: F.when(F.size(fp) > 0, fp)):
+        found = found.select(*keys, *[of(F.col(c)).alias(c) for c in columns])
+    return found
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Part of the subsets with a term on either side on which two fingerprints agree; 0 if there are none."""
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    used = F.size(F.filter(pairs, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
-    same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    return F.when(used > 0, same / used).otherwise(F.lit(0.0))
+    """Part of the subsets with a term on either side on which two fingerprints agree."""
+    subset = lambda x: F.substring(x, 1, 2)
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(F.transform(a, subset), F.transform(b, subset)))
 
 
 def _text_of(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda h: F.coalesce(h, F.lit("-"))), "")
+    """All subsets in order, a dash for those without a term."""
+    subset = lambda x: F.substring(x, 1, 2).cast("int")
+    step = lambda st, x: F.struct(subset(x).alias("at"), F.concat(st["out"], F.repeat(F.lit("-"), subset(x) - st["at"] - 1), F.substring(x, 3, 8)).alias("out"))
+    every = len(SCALES) * PER_SCALE
+    return F.aggregate(fp, F.struct(F.lit(-1).alias("at"), F.lit("").alias("out")), step, lambda st: F.concat(st["out"], F.repeat(F.lit("-"), F.lit(every - 1) - st["at"])))
 
 
 def _numbers(values: list[int | None]) -> Column:
@@ -165,16 +183,7 @@ def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_c
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next", F.lit(1), half)))
         .withColumn("edited", F.coalesce("edited", F.lit("")))
     )
-    both = rows.select(
-        "bucket",
-        "rn",
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"),
-    ).select("bucket", "rn", "x.which", "x.text")
-    fps = (
-        fingerprint_texts(both, ["bucket", "rn", "which"], "text", terms, sent=sent)
-        .groupBy("bucket", "rn")
-        .agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("fp_edited"))
-    )
+    fps = fingerprint_texts(rows, ["bucket", "rn"], ["text", "edited"], terms, sent=sent).withColumnsRenamed({"text": "fp", "edited": "fp_edited"})
     by_row = Window.partitionBy("bucket").orderBy("rn")
     out = (
         rows.select(
@@ -192,7 +201,7 @@ def compare(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_c
         return alike.otherwise(likeness(F.col(a), F.col(b)))
 
     def shown(fp: str, whole: str) -> Column:
-        return F.coalesce(_text_of(F.col(fp)), F.substring(whole, 1, 16))
+        return F.when(F.col(fp).isNull(), F.substring(whole, 1, 16)).otherwise(_text_of(F.col(fp)))
 
     return out.select(
         "doc_id",

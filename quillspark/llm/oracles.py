@@ -62,7 +62,7 @@ b as (select rid, count(*) filter (where kind = 'assign') as n_assign, count(*)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
   coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example, coalesce(n_spread, 0) as n_spread from t left join b using (rid)"""
 
-# Scales 16, 64, 256 and 1024, of each 16 parts; the scale of number k reads the digits 17 + 4k to 20 + 4k of a term's md5.
+# Scales 16, 64, 256 and 1024, of each 16 parts; a term is 56 bits of its md5, and the scale of number k reads 14 of them.
 _IMATCH = r"""
 with recursive scale as (select unnest([0, 1, 2, 3]) as k, unnest([16, 64, 256, 1024]) as parts),
 d as (select doc_id, coalesce(text, '') as text from documents),
@@ -72,14 +72,13 @@ hot as (select text, min(doc_id) as first, count(*) as copies from d group by te
 total as (select (select count(*) from d) - coalesce((select sum(copies - 1) from hot), 0) as n),
 w as (select unnest(list_distinct(string_split(lower(regexp_replace(text, '[\t\n\v\f\r]', ' ', 'g')), ' '))) as word from d left join hot using (text) where first is null or first = doc_id),
 c as (select word, count(*) as df from w where word <> '' group by word having count(*) >= greatest(2, 0.002 * (select n from total))),
-lex as (select word, md5(word) as h, left(md5(word), 16) as digest, case when df > greatest(2, 0.25 * (select n from total)) then df else 0 end as above from c),
+lex as (select word, cast('0x' || left(md5(word), 14) as bigint) as digest, case when df > greatest(2, 0.25 * (select n from total)) then df else 0 end as above from c),
 both_ as (select doc_id, 0 as which, text from p union all select doc_id, 1, edited from p),
 u as (select doc_id, which, unnest(list_distinct(string_split(lower(regexp_replace(text, '[\t\n\v\f\r]', ' ', 'g')), ' '))) as word from both_),
-k as (select doc_id, which, h, digest, row_number() over (partition by doc_id, which order by above, digest) as r,
+k as (select doc_id, which, digest, row_number() over (partition by doc_id, which order by above, digest) as r,
   greatest(count(*) filter (where above = 0) over (partition by doc_id, which), 4, ceil(count(*) over (partition by doc_id, which) / 4.0)) as wanted from u join lex using (word)),
-m as (select doc_id, which, digest, scale.k * 16 + cast('0x' || substr(h, cast(17 + 4 * scale.k as int), 4) as int) % parts as subset
-  from k cross join scale where r <= wanted and cast('0x' || substr(h, cast(17 + 4 * scale.k as int), 4) as int) % parts < 16),
-s as (select doc_id, which, subset, left(md5(string_agg(digest, '' order by digest)), 8) as x from m group by all),
+m as (select doc_id, which, digest, scale.k * 16 + ((digest >> (14 * scale.k)) & 16383) % parts as subset from k cross join scale where r <= wanted and ((digest >> (14 * scale.k)) & 16383) % parts < 16),
+s as (select doc_id, which, subset, left(md5(string_agg(cast(digest as varchar), ',' order by digest)), 8) as x from m group by all),
 f as (select doc_id, which, string_agg(coalesce(x, '-'), '' order by g.subset) as fp from (select distinct doc_id, which from s) t cross join (select unnest(range(64)) as subset) g left join s using (doc_id, which, subset) group by all),
 alike as (select a.doc_id, a.which as wa, b.doc_id as other, b.which as wb, count(*) as same from s a join p on p.doc_id = a.doc_id join s b on b.subset = a.subset and b.x = a.x
   and ((b.doc_id = a.doc_id and b.which = 1) or (b.doc_id = p.next_id and b.which = 0)) where a.which = 0 group by all),
