@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import search
+from quillspark.operators.numbering import numbered
 
 SCHEMES = ("http", "https")
 
@@ -137,10 +138,9 @@ def delete_search(saved: DataFrame, *names: str) -> DataFrame:
 def batches(ids: DataFrame, size: int, order: str) -> DataFrame:
     """Ids in numbered batches, for requests that take so many at once.
 
-    Numbers are dense over all ids of one request list, which a request's own limits keep small.
+    Numbers are dense over all ids.
     """
-    w = Window.orderBy(order)
-    return ids.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    return numbered(ids, "batch", order).withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
 
 
 # ---------------------------------------------------------------- synthetic papers

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.numbering import numbered
+
 # Stages in their order, states, key kinds and the allowed changes of state.
 STAGES = ("protocol", "search", "screen", "adjudicate", "retrieve", "extract", "appraise", "synthesize", "digest", "verify", "report", "okf")
 STATES = ("pending", "active", "completed", "blocked", "failed", "cancelled")
@@ -174,12 +176,12 @@ def attempt_numbers(runs: DataFrame, key: list[str], config: str, seq: str = "se
 def next_event_ids(events: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Ids for new events: past the highest number and the count so far, four digits at least.
 
-    Incoming events of one run are few; they are numbered in one group on purpose, as ids are dense.
+    Ids are dense over the incoming events in their order.
     """
     number = F.regexp_extract("event_id", r"^ev-(\d{4,})$", 1)
     base = events.agg(F.greatest(F.coalesce(F.max(F.when(number != "", number.cast("long"))), F.lit(0)), F.count(F.lit(1))).alias("_base"))
-    numbered = incoming.withColumn("_n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(base))
-    return numbered.withColumn("event_id", F.format_string("ev-%04d", F.col("_base") + F.col("_n"))).drop("_n", "_base")
+    placed = numbered(incoming, "_n", order).join(F.broadcast(base))
+    return placed.withColumn("event_id", F.format_string("ev-%04d", F.col("_base") + F.col("_n"))).drop("_n", "_base")
 
 
 def split_task_id(task_id: str) -> tuple[str, str | None, str | None]:
