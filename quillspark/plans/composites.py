@@ -59,11 +59,8 @@ def retrieve(spark: SparkSession, d: str, *, k: int = 5, per_paper: int = 2, dep
     placed = ranked.join(chunks.select("doc", "paper_id", "source_id", "start", "end"), "doc")
     lexical = search.best_chunk_per_paper(placed, depth, hits)
     vectors = entity(spark, d, "vectors")
-    q = asked.select("item_id", F.col("item_id").alias("evidence_id")).join(vectors, "evidence_id").select(F.col("item_id").alias("query"), F.col("vector").alias("_q"))
-    # A question set is small by nature; its vectors are counted before they are sent everywhere.
-    q = F.broadcast(q) if q.count() <= 10_000 else q
-    near = vectors.join(q, F.col("evidence_id") != F.col("query")).select("query", F.col("evidence_id").alias("doc"), F.round(search.cosine(F.col("vector"), F.col("_q")), 9).alias("score"))
-    semantic = search.top(near.filter("score is not null"), depth)
+    q = asked.select("item_id", F.col("item_id").alias("evidence_id")).join(vectors, "evidence_id").select(F.col("item_id").alias("query"), "vector")
+    semantic = search.nearest_of_each(vectors.select(F.col("evidence_id").alias("id"), "vector"), q, depth, itself=False)
     legs = [lexical.select("query", F.col("paper_id").alias("id"), "rank", F.lit("lexical").alias("leg")), semantic.select("query", F.col("doc").alias("id"), "rank", F.lit("semantic").alias("leg"))]
     fused = search.top(search.fuse(*legs).withColumn("score", F.round("score", 9)), k, tie="id").select("query", F.col("id").alias("paper_id"), F.col("rank").alias("place"), "score", "found_by")
     snaps = entity(spark, d, "sources").select("source_id", F.col("url"), F.lit("full_text").alias("access"), "text")
