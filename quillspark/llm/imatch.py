@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +122,9 @@ def _text_of(fp: Column) -> Column:
     return F.aggregate(fp, F.struct(F.lit(-1).alias("at"), F.lit("").alias("out")), step, lambda st: F.concat(st["out"], F.repeat(F.lit("-"), F.lit(every - 1) - st["at"])))
 
 
-def _numbers(values: list[int | None]) -> Column:
-    """An array as one constant, however many numbers it has."""
-    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+def _numbers(values: list[int]) -> Column:
+    """An array as one constant, however many numbers it has; it is folded, so equal plans stay equal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.expr("cast(array() as array<bigint>)")
 
 
 def _in_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,10 +151,11 @@ def _in_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.max("key").alias("first")).collect()}
     order = sorted(first, reverse=True)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    firsts = _numbers([first.get(b) for b in range(len(cuts) + 1)])
-    targets = _numbers([before.get(b) for b in range(len(cuts) + 1)])
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo"))
-    halo = F.struct(targets[F.col("bucket")].cast("int").alias("bucket"), F.lit(True).alias("halo"))
+    firsts = _numbers([first.get(b, 0) for b in range(len(cuts) + 1)])  # ranges without rows are never asked for
+    targets = _numbers([before.get(b, 0) for b in range(len(cuts) + 1)])
+    # Never null, so that no plan filters it before the exchange, which both branches of a plan then share.
+    own = F.struct(F.coalesce("bucket", F.lit(0)).alias("bucket"), F.lit(False).alias("halo"))
+    halo = F.struct(F.coalesce(targets[F.col("bucket")].cast("int"), F.lit(0)).alias("bucket"), F.lit(True).alias("halo"))
     places = F.when(F.col("key") == firsts[F.col("bucket")], F.array(own, halo)).otherwise(F.array(own))
     return rows.select("key", "text", F.explode(places).alias("at")).select("key", "text", "at.bucket", "at.halo").repartition(n, "bucket")
 
