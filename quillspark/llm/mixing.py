@@ -135,11 +135,13 @@ def apply(
     leaf; those that agree in all three are taken alike. An empty table gives no rows; columns of any name are kept as they are.
     """
     identity = _identity(id_col, text_col, domain)
-    own = dict(zip(identity, free_names(docs, len(identity)), strict=True))
-    times, epoch = free_names(docs, len(own) + 2)[len(own) :]
+    names = free_names(docs, 2 * len(identity) + 2)
+    own, other = (dict(zip(identity, names[k * len(identity) :], strict=False)) for k in (0, 1))
+    times, epoch = names[-2:]
     taken = mix(docs, scratch, id_col=id_col, text_col=text_col, domain=domain, **options)
-    taken = taken.groupBy(*[F.col(c).alias(name) for c, name in own.items()]).agg(F.max("epochs").alias(times)).filter(F.col(times) > 0)
-    same = F.lit(True)
-    for c, name in own.items():
-        same = same & identity[c].eqNullSafe(F.col(name))
-    return docs.join(taken, same).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    taken = taken.groupBy(*[F.col(c).alias(name) for c, name in other.items()]).agg(F.max("epochs").alias(times)).filter(F.col(times) > 0)
+    same = F.col(own["doc_id"]).eqNullSafe(F.col(other["doc_id"]))
+    for c in list(identity)[1:]:
+        same = same & (F.col(own[c]) == F.col(other[c]))
+    keyed = docs.withColumns({own[c]: column for c, column in identity.items()})  # computed once, where the texts are read
+    return keyed.join(taken, same).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
