@@ -539,14 +539,14 @@ def i_upsert_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select l_orderkey as evidence_id, arg_max(l_partkey, (l_shipdate, l_linenumber)) filter (where l_returnflag = 'R') as extraction, arg_max(l_suppkey, (l_shipdate, l_linenumber)) filter (where l_linestatus = 'F') as source
+    """select l_orderkey as evidence_id, arg_max(l_partkey, (l_shipdate, l_linenumber, l_suppkey, l_partkey)) filter (where l_returnflag = 'R') as extraction, arg_max(l_suppkey, (l_shipdate, l_linenumber, l_suppkey, l_partkey)) filter (where l_linestatus = 'F') as source
     from lineitem where l_orderkey % 2 = 0 group by l_orderkey having extraction is not null or source is not null"""
 )
 def i_reusable_work(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     pool = li.select(
         F.col("l_orderkey").alias("evidence_id"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("extraction_path"), F.lit(None).cast("string").alias("appraisal_path"), F.when(F.col("l_linestatus") == "F", F.col("l_suppkey")).alias("source_id"),
-        F.struct("l_shipdate", "l_linenumber").alias("synced_at"),
+        F.struct("l_shipdate", "l_linenumber", "l_suppkey", "l_partkey").alias("synced_at"),
     )
     wanted = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("evidence_id"))
     return incremental.reusable_work(wanted, pool).select("evidence_id", F.col("pooled_extraction").alias("extraction"), F.col("source_id").alias("source"))
