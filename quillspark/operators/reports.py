@@ -114,8 +114,8 @@ RETRACTABLE = ("Study", "Source Document")
 REQUIRED = ("type", "title", "description", "resource", "status")
 
 
-def bundle_problems(notes: DataFrame, records: DataFrame) -> DataFrame:
-    """Rules that the notes of a concept bundle break: ``folder, slug, rule``, a row for each.
+def bundle_problems(notes: DataFrame, records: DataFrame, tag: str) -> DataFrame:
+    """Rules that the notes of a concept bundle, all with its ``tag``, break: ``folder, slug, rule``, a row for each.
 
     ``notes``: folder, slug, body, and the front matter as columns: type, title, description, resource, tags (array), generated and
     verified (by, at), status, sources (array of id, resource, title), stale_after, pmid, doi, pmcid, journal, retraction_status,
@@ -152,7 +152,7 @@ def bundle_problems(notes: DataFrame, records: DataFrame) -> DataFrame:
         "V11": study & folder_of.isNotNull() & (c("slug") != F.coalesce(F.concat(F.lit("pmid-"), F.nullif("pmid", F.lit(""))), F.concat(F.lit("doi-"), F.nullif(doi_name, F.lit(""))), F.lit(""))),
         "V14": pubmed & ~functools.reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(True)) for p in forms]),
         "V15": c("type").isin(*RETRACTABLE) & ~F.coalesce(c("retraction_status").isin(*RETRACTION_STATES), F.lit(False)),
-        "V16": ~F.coalesce(F.array_contains("tags", "deep-research"), F.lit(False)),
+        "V16": ~F.coalesce(F.array_contains("tags", tag), F.lit(False)),
         "V18": F.size(F.array_except(wiki, stems)) > 0,
         "V19": some_sources & (F.size(used) == 0),
         "V22": ~F.regexp_replace("slug", "^(pmid-|doi-)", "").rlike("^[a-z0-9][a-z0-9-]{0,79}$"),

@@ -771,13 +771,13 @@ def v_bundle_rules(spark: SparkSession, d: str) -> DataFrame:
     pmid = F.when(study & (k != 12), F.concat(s, F.when(k == 14, "x").otherwise("")))
     notes = x.select(
         F.when(k == 10, "claims").when(study, "studies").when(k == 9, "reviews").otherwise("outcomes").alias("folder"), F.when(k == 12, F.concat(F.lit("doi-10-1000-y"), s)).otherwise(slug).alias("slug"), body.alias("body"), kind.alias("type"), F.when(k == 6, " ").otherwise("t").alias("title"),
-        F.lit("d").alias("description"), F.lit("r").alias("resource"), F.when(k == 16, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("deep-research"))).alias("tags"), when(F.lit(False)).alias("generated"), when(k == 7).alias("verified"),
+        F.lit("d").alias("description"), F.lit("r").alias("resource"), F.when(k == 16, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("own-bundle"))).alias("tags"), when(F.lit(False)).alias("generated"), when(k == 7).alias("verified"),
         F.when(k == 8, "done").otherwise("draft").alias("status"), F.array(source(F.when(k == 2, "One!").otherwise("one"), F.lit("t"))).alias("sources"), F.lit(None).cast("string").alias("stale_after"), pmid.alias("pmid"), F.when(k == 12, F.concat(F.lit("10.1000/y"), s)).alias("doi"),
         F.lit(None).cast("string").alias("pmcid"), F.when(k != 12, "j").alias("journal"), F.when(k != 15, "none").alias("retraction_status"), F.when(study, F.concat(F.lit("pmid:"), s)).alias("evidence_id"),
         F.when(k == 13, F.array(F.lit("pmid:none"))).alias("evidence_ids"), F.lit(None).cast("string").alias("evidence_basis"), F.when(k == 4, "t").alias("timestamp"), "doc_id",
     )
     records = x.select(F.concat(F.lit("pmid:"), s).alias("evidence_id"), F.when(k != 12, s).alias("pmid"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pmcid"), F.lit("j").alias("journal"), F.when(k == 17, "abstract_only").otherwise("fulltext").alias("ft_status"))
-    found = reports.bundle_problems(notes, records)
+    found = reports.bundle_problems(notes, records, "own-bundle")
     return found.join(notes.select("doc_id", "folder", "slug"), ["folder", "slug"]).select("doc_id", "rule").distinct()
 
 

@@ -75,13 +75,13 @@ NOTE = "folder string, slug string, body string, type string, title string, desc
 
 def test_bundle_rules(spark):
     at = ("me", "2024-01-01T00:00:00Z")
-    good = ("studies", "pmid-7", "said [^one]\n\n[^one]: a study (abstract only)", "Study", "t", "d", "r", ["deep-research"], at, at, "stable", [("one", "r", "t")], None, "7", "10.1000/x", "PMC1", "j", "none", "pmid:7", None, None, None)
+    good = ("studies", "pmid-7", "said [^one]\n\n[^one]: a study (abstract only)", "Study", "t", "d", "r", ["own-bundle"], at, at, "stable", [("one", "r", "t")], None, "7", "10.1000/x", "PMC1", "j", "none", "pmid:7", None, None, None)
     bad = ("claims", "pmid-8", "no notes, ![^x] [[lost|Lost]]", "Study", "t", "d", "r", ["other"], ("", "now"), None, "new", [("One", "r", " "), ("one", "", "t"), ("one", "r", "t")], None, "x8", "10.1000/X", "1", None, None, "pmid:8", ["pmid:9", "pmid:7"], None, "t")
     records = spark.createDataFrame([("pmid:7", "7", "10.1000/x", None, "j", "abstract_only"), ("pmid:8", "8", None, None, "j", "fulltext")], "evidence_id string, pmid string, doi string, pmcid string, journal string, ft_status string")
-    got = rows(reports.bundle_problems(spark.createDataFrame([good, bad], NOTE), records), "slug", "rule")
+    got = rows(reports.bundle_problems(spark.createDataFrame([good, bad], NOTE), records, "own-bundle"), "slug", "rule")
     want = ["V2", "V3", "V6", "V7", "V8", "V10", "V11", "V12", "V14", "V15", "V16", "V18", "V23", "V24", "V25"]
     assert [r for s, r in got if s == "pmid-7"] == [] and sorted(r for s, r in got if s == "pmid-8") == sorted(want)
-    assert reports.bundle_problems(spark.createDataFrame([], NOTE), records).count() == 0
+    assert reports.bundle_problems(spark.createDataFrame([], NOTE), records, "own-bundle").count() == 0
 
 
 def test_nulls_have_no_text(spark):
