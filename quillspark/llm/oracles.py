@@ -120,6 +120,40 @@ r as (select vec_id as node, vec_id as root from embeddings union select l.v, r.
 c as (select node, min(root) as component_id from r group by node), n as (select u, count(*) as k from l group by u)
 select vec_id, coalesce(k, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on vec_id = node left join n on vec_id = u"""
 
+_LINES = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, pos, lines[pos] as line, translate(trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from d, unnest(range(1, len(lines) + 1)) as r(pos)),
+shared as (select k, max(doc_id) as owner from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+m as (select doc_id, pos, line, owner is not null and owner <> doc_id as gone from l left join shared using (k))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from m group by doc_id"""
+
+_NEGATIVES = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+n as (select anchor_id, positive_id, other as negative_id, positive_score, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, other) as rank
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
+# The plain way: every group has every kept term, and pairs of groups meet term by term.
+_DIVERGENCE = r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as n from w group by all having count(distinct k) >= 30),
+size as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+held as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+own as (select lang, source, sum(n) as total from held group by all),
+x as (select g.lang, g.source, kept.term, coalesce(held.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(held.n, 0) + 5)) // (coalesce(own.total, 0) + 5 * size.v) as p, 1 + (1000000000::hugeint * (kept.n + 5)) // (size.total + 5 * size.v) as q
+  from g join kept using (lang) join size using (lang) left join held on held.lang = g.lang and held.source = g.source and held.term = kept.term left join own on own.lang = g.lang and own.source = g.source),
+far as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from x a join x b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(far.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join far on far.lang = a.lang and far.source = a.source and far.item = b.source),
+every as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', term, p - q from x where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 50"""
+
 ORACLE_SQL = {
     "op2_embedding_near_dedup": _VECTORS,
     "op4_mixing": _MIXING.replace("@1", _fill(1, "", "domain")).replace("@2", _fill(2, "domain", "lang")).replace("@3", _fill(3, "domain, lang", "source")),
@@ -127,4 +161,7 @@ ORACLE_SQL = {
     "op7_main_text": _ARTICLES,
     "op9_secret_scan": _SECRETS,
     "op10_imatch": _IMATCH,
+    "op11_line_dedup": _LINES,
+    "op12_hard_negatives": _NEGATIVES,
+    "op13_source_divergence": _DIVERGENCE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_style, imatch, langid, mixing, neighbours, packing, repeats, secrets, simhash, tokens
+from quillspark.llm import divergence, html_style, imatch, langid, lines, mixing, negatives, neighbours, packing, repeats, secrets, simhash, tokens
 from quillspark.llm.oracles import ORACLE_SQL
 from quillspark.session import Scratch, ship_package, table
 
@@ -76,6 +76,21 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.drop_shared_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), Scratch(spark, "op12"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_imatch": op10_imatch,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "public_tokenizer"]
