@@ -16,7 +16,8 @@ from quillspark.operators import audit, entities, evidence, incremental, organis
 from quillspark.plans import composites
 from quillspark.plans.adapters import entity, with_entities
 from quillspark.plans.catalog import ORACLE_SQL, QUERIES, _records, _snapshots, query
-from quillspark.session import Scratch, table
+from quillspark.session import Scratch, ship_package, table
+from quillspark.sources import notes as note_files
 from quillspark.sources import readers, sinks
 
 _BEFORE = set(QUERIES)
@@ -759,7 +760,7 @@ _RULES = (
 
 @query(" union all ".join(f"select doc_id, '{r}' as rule from documents where {w}" for r, w in _RULES))
 def v_bundle_rules(spark: SparkSession, d: str) -> DataFrame:
-    """A note per document, each with one fault at most; studies, claims and plain notes take turns."""
+    """A note per document, each with one fault at most, written as files and read back; studies, claims and plain notes take turns."""
     k, s = F.col("doc_id") % 20, F.col("doc_id").cast("string")
     x = table(spark, d, "documents").select("doc_id")
     study = k.isin(11, 12, 14, 15, 17)
@@ -777,7 +778,12 @@ def v_bundle_rules(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 13, F.array(F.lit("pmid:none"))).alias("evidence_ids"), F.lit(None).cast("string").alias("evidence_basis"), F.when(k == 4, "t").alias("timestamp"), "doc_id",
     )
     records = x.select(F.concat(F.lit("pmid:"), s).alias("evidence_id"), F.when(k != 12, s).alias("pmid"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pmcid"), F.lit("j").alias("journal"), F.when(k == 17, "abstract_only").otherwise("fulltext").alias("ft_status"))
-    found = reports.bundle_problems(notes, records, "own-bundle")
+    # The rules read what the notes' files say.
+    ship_package(spark)
+    front = F.struct(*[c for c in notes.columns if c not in ("folder", "slug", "body", "doc_id")])
+    written = note_files.to_files(notes.select("folder", "slug", "body", front.alias("front")))
+    read = note_files.typed(note_files.from_files(written), notes.select(front.alias("front")).schema["front"].dataType)
+    found = reports.bundle_problems(Scratch(spark, "bundle").table(read, "notes"), records, "own-bundle")
     return found.join(notes.select("doc_id", "folder", "slug"), ["folder", "slug"]).select("doc_id", "rule").distinct()
 
 

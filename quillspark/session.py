@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOT: dict[str, str] = {}
@@ -32,6 +33,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _OWN_ROOT[app]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by the file system that Spark resolves for the path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a path with the file system that Spark resolves for it."""
     jvm = spark.sparkContext._jvm
@@ -39,6 +46,39 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, unless there is one already; False if there is.
+
+    The file is written beside its place and then linked (on a local disk) or renamed without overwriting, which the
+    name node decides for one writer; stores without such a rename need a log that has one.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    temp = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(temp, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(temp.toUri().getPath(), target.toUri().getPath())
+        else:
+            kinds = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+            kinds[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(temp, target, kinds)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+    finally:
+        fs.delete(temp, False)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage without depending on any executor.
 

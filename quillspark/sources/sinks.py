@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillspark.functions import normalize as N
+from quillspark.session import put_if_absent
 
 # Tiers of full text as notes name them, and the escapes of TeX.
 TIERS = ("local library", "PMC full text", "PMC PDF", "Europe PMC full-text XML", "Unpaywall location", "open-access fetch", "preprint twin", "browser search/fetch", "quarantined; full text not obtained")
@@ -18,11 +21,15 @@ SERVERS = {"biorxiv": "bioRxiv", "medrxiv": "medRxiv", "researchsquare": "Resear
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a table's next version to a folder of its own, then move the pointer; readers never see a half."""
-    spark = df.sparkSession
+    """Write a table's next version to a folder of its own, then its pointer beside those before it.
+
+    A pointer is put whole and never replaced, so readers find the last whole version at any moment; a version that has
+    a pointer already is an error.
+    """
     path = f"{root}/v{version:06d}"
     df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(version, path)], "version int, path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    if not put_if_absent(df.sparkSession, f"{root}/current/{version:06d}.json", json.dumps({"version": version, "path": path}) + "\n"):
+        raise ValueError(f"version {version} is taken")
     return path
 
 

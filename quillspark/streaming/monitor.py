@@ -60,15 +60,33 @@ def run_to_folder(stream: DataFrame, name: str, path: str) -> StreamingQuery:
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{checkpoint_root(spark)}/{name}").outputMode("append").format("parquet").start(path)
 
 
-def guarded(stream: DataFrame, valid: Callable[[DataFrame], bool], publish: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Publish a batch only if all of it is valid; otherwise what was published last stays."""
+def guarded(stream: DataFrame, name: str, valid: Callable[[DataFrame], bool], publish: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Publish a batch only if all of it is valid; otherwise what was published last stays.
 
-    def step(batch: DataFrame, _: int) -> None:
-        if valid(batch):
-            publish(batch)
+    ``publish`` gets the number of the batch, which is the same when a lost batch comes again. ``name`` names the stream's checkpoint
+    below the shared folder: a stream that goes on with another's work has its name, every other one a name of its own.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            if valid(batch):
+                publish(batch, number)
+        finally:
+            batch.unpersist()
 
     spark = stream.sparkSession
-    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{checkpoint_root(spark)}/guarded").foreachBatch(step).start()
+    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{checkpoint_root(spark)}/{name}").foreachBatch(step).start()
+
+
+def whole_snapshot(lines: DataFrame) -> bool:
+    """Whether the lines of a snapshot (``value``) are all JSON maps, and there are records with an evidence id; a torn file has neither."""
+    text = lines.filter(F.trim("value") != "")
+    record = F.try_parse_json(F.trim("value"))
+    is_map = F.coalesce(F.schema_of_variant(record).startswith("OBJECT"), F.lit(False))
+    named = is_map & (F.coalesce(F.try_variant_get(record, "$.evidence_id", "string"), F.lit("")) != "")
+    found = text.agg(F.count_if(record.isNull()).alias("bad"), F.count_if(named).alias("named")).first()
+    return found["bad"] == 0 and found["named"] > 0
 
 
 def tail(files: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
