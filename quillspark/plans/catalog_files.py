@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import bundles, paper_plan
 from quillspark.plans.catalog import ORACLE_SQL, QUERIES, query
 from quillspark.session import Scratch, path_exists, ship_package, table
 from quillspark.sources import files, folders, migrations, notes
@@ -55,6 +56,93 @@ def s_concept_notes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_LINKS = """[{'d': '../studies/s-' || doc_id || '.md', 'r': 'research/studies/s-' || doc_id || '.md', 'p': null}, {'d': './s-' || (doc_id + 1) || '.md#x', 'r': null, 'p': case when doc_id + 1 in (select doc_id from documents) then null else 'dangling' end},
+      {'d': '../../../up/x.md', 'r': null, 'p': 'dangling'}, {'d': '../../outputs/run/none.md?q=1', 'r': null, 'p': null}, {'d': '../../notes/n.md', 'r': null, 'p': 'outside'}, {'d': 'gone-' || doc_id % 7 || '/../x.md', 'r': null, 'p': 'dangling'}, {'d': '/abs.md', 'r': null, 'p': 'dangling'}]"""
+
+
+@query(
+    f"""with d as (select doc_id, coalesce(lang, 'none') as lang from documents),
+    l as (select doc_id, unnest({_LINKS}) as x from d)
+    select 'V17' as rule, 'research/studies/s-' || doc_id || '.md' as path, case when x.d like './%' then 'resource' else 'link' end as what, x.d as said, x.p as problem from l where x.p is not null
+    union all select 'V13', 'research/studies/s-' || doc_id || '.md', 'volume', cast(doc_id as varchar), 'not a text' from d where doc_id % 3 = 0
+    union all select 'V13', 'research/studies/s-' || doc_id || '.md', 'issue', 'true', 'not a text' from d where doc_id % 4 = 1
+    union all select 'V20', 'research/logs-' || doc_id % 50 || '/' || doc_id || '/log.md', '4', '2024-13', 'no date' from d where doc_id % 2 = 0
+    union all select 'V20', 'research/logs-' || doc_id % 50 || '/' || doc_id || '/log.md', '5', '2024-01-02', 'out of order' from d where doc_id % 2 = 0
+    union all select 'V20', 'research/logs-' || doc_id % 50 || '/' || doc_id || '/log.md', '5', '2024-01-02', 'twice' from d where doc_id % 6 = 0
+    union all select 'V21', lang, cast(count(*) as varchar), '', 'no index' from d where lang <> 'en' group by lang"""
+)
+def v_bundle_files(spark: SparkSession, d: str) -> DataFrame:
+    """A bundle of studies with links of all kinds, logs, and folders of notes by language of which one has an index."""
+    ship_package(spark)
+    x = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("s"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    k, cat, lit = F.col("doc_id"), F.concat, F.lit
+    path = cat(lit("research/studies/s-"), F.col("s"), lit(".md"))
+    body = cat(
+        lit("[own](../studies/s-"), F.col("s"), lit('.md "title") ![pic](none.png) [web](https://x.example/) [in](#here) [up](../../../up/x.md) [run](../../outputs/run/none.md?q=1)\n[n](../../notes/n.md) [gone](gone-'),
+        (k % 7).cast("string"), lit("/../x.md) [abs](/abs.md)"),
+    )
+    front = F.struct(lit("Study").alias("type"), F.when(k % 3 == 0, k).alias("volume"), F.when(k % 4 == 1, lit(True)).alias("issue"), lit("12").alias("pages"), F.array(F.struct(cat(lit("./s-"), (k + 1).cast("string"), lit(".md#x")).alias("resource"))).alias("sources"))
+    studies = notes.to_files(x.select(lit("research/studies").alias("folder"), cat(lit("s-"), F.col("s")).alias("slug"), front.alias("front"), body.alias("body")))
+    log = F.when(k % 2 == 0, cat(lit("# Log\n## "), F.when(k % 6 == 0, "2024-01-02").otherwise("2024-01-01"), lit("\n## 2024-02-01 \n## 2024-13\n## 2024-01-02"))).otherwise("## 2024-01-01\n## 2024-01-03")
+    logs = x.select(cat(lit("research/logs-"), (k % 50).cast("string"), lit("/"), F.col("s"), lit("/log.md")).alias("path"), log.alias("text"))
+    shelves = x.select(cat(lit("research/"), F.col("lang"), lit("/n-"), F.col("s"), lit(".md")).alias("path"), lit("").alias("text")).unionByName(x.select(cat(lit("research/"), F.when(F.col("lang") == "en", "en").otherwise("studies"), lit("/index.md")).alias("path"), lit("").alias("text")).distinct())
+    other = x.select(lit("notes/n.md").alias("path"), lit("").alias("text")).distinct()
+    every = Scratch(spark, "bundle-files").table(studies.unionByName(logs).unionByName(shelves).unionByName(other), "files")
+    read = notes.from_files(every.filter(F.col("path").startswith("research/studies/s-")))
+    row = lambda df, rule, path, what, said, problem: df.select(lit(rule).alias("rule"), path.alias("path"), what.cast("string").alias("what"), said.alias("said"), problem.alias("problem"))
+    c = F.col
+    out = row(bundles.dangling(read, every), "V17", c("path"), c("kind"), c("dest"), c("problem"))
+    out = out.unionByName(row(bundles.untyped(read), "V13", c("path"), c("field"), c("said"), lit("not a text")))
+    out = out.unionByName(row(bundles.log_problems(every), "V20", c("path"), c("line_no"), c("heading"), c("problem")))
+    return out.unionByName(row(bundles.without_index(every), "V21", c("folder"), c("notes"), lit(""), lit("no index")))
+
+
+@query(
+    """select 'pmid:' || doc_id as evidence_id, case when doc_id % 4 = 3 then [source] when doc_id % 4 = 2 then ['Van ' || source, null] else [source, 'The ' || lang || ' Group'] end as families, case when doc_id % 4 = 3 then [null] when doc_id % 4 = 2 then ['JA', null] else ['B', null] end as initials,
+      '10.1000/' || lower(source) as doi, case when doc_id % 5 = 0 then null else source end as journal, case when doc_id % 3 = 0 then 'none' else 'retracted' end as retraction_status
+    from (select doc_id, coalesce(source, 'none') as source, coalesce(lang, 'none') as lang from documents)"""
+)
+def e_biblio_front(spark: SparkSession, d: str) -> DataFrame:
+    """Authors of several forms and identifiers as the bibliographic front matter of notes."""
+    k, s, cat, lit = F.col("doc_id"), F.col("source"), F.concat, F.lit
+    none = lit(None).cast("string")
+    x = table(spark, d, "documents").select("doc_id", F.coalesce("source", lit("none")).alias("source"), F.coalesce("lang", lit("none")).alias("lang"))
+    authors = F.when(k % 4 == 3, F.array(cat(lit(" "), s, lit(" ")))).when(k % 4 == 2, F.array(cat(lit("Van  "), s, lit("\tJA")), lit(""))).otherwise(F.array(cat(s, lit(" B")), cat(lit("The "), F.col("lang"), lit(" Group"))))
+    rows = x.select(
+        cat(lit("pmid:"), k.cast("string")).alias("evidence_id"), k.cast("string").alias("pmid"), none.alias("pmcid"), cat(lit(" 10.1000/"), F.upper("source")).alias("doi"), authors.alias("authors"), F.when(k % 5 == 0, "").otherwise(s).alias("journal"),
+        *[none.alias(c) for c in ("publication_date", "volume", "issue", "pages", "abstract")], F.expr("cast(null as array<string>)").alias("article_types"), F.when(k % 3 != 0, "retracted").alias("retraction_status"), lit(False).alias("is_preprint"),
+    )
+    b = bundles.biblio_front(rows)
+    return b.select("evidence_id", F.col("biblio.authors.family").alias("families"), F.col("biblio.authors.initials").alias("initials"), F.col("biblio.doi").alias("doi"), F.col("biblio.journal.iso_abbrev").alias("journal"), F.col("biblio.retraction_status").alias("retraction_status"))
+
+
+@query(
+    """with p as (select 'pmid:' || d.doc_id as evidence_id, d.doc_id as k, l.quality as q, l.toxic as t from documents d left join labels l using (doc_id)),
+    x as (select *, k % 7 = 0 as force, k % 2 = 0 as reuse, k % 3 <> 0 as appraise, k % 11 = 0 as extract_only, case when k % 4 = 0 then 'missing' else 'fulltext' end as ft, q is not null as own, k % 5 = 0 as pooled,
+      case when k % 2 = 0 and k % 7 <> 0 and k % 5 = 0 then 'fulltext' when coalesce(q, 0) = 1 then 'fulltext' else 'abstract_only' end as basis from p),
+    y as (select *, not force and ((reuse and pooled) or own) and not coalesce(t = 1, false) as extracted, k % 9 = 1 or (reuse and not force and k % 9 = 2) as appraised, case when basis = 'abstract_only' then 'abstract_only' when not appraise then 'no_appraise_flag' end as skip from x),
+    z as (select *, case when not extracted and ft = 'missing' then 'pending_retrieval' when not extracted then 'pending_extraction' when extract_only then 'completed' when skip is null and not appraised then 'pending_appraisal' when k % 8 = 3 then 'pending_summary'
+      when k % 6 = 5 then 'verification_failed' else 'completed' end as status from y)
+    select evidence_id, status, case status when 'pending_retrieval' then 'retrieve:' when 'pending_extraction' then 'extract:' when 'pending_appraisal' then 'appraise:' end || evidence_id as task_id,
+      status in ('pending_retrieval', 'pending_extraction', 'pending_appraisal') and not coalesce(status = 'pending_extraction' and k % 10 < 4, false) as queue, case when extracted and not extract_only then skip end as skipped, case when status = 'verification_failed' then 3 else 0 end as errors from z"""
+)
+def e_paper_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Next step of a paper for each document, from labels as extractions and rules on the number for the rest."""
+    k = F.col("k")
+    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(F.concat(F.lit("pmid:"), F.col("doc_id").cast("string")).alias("evidence_id"), F.col("doc_id").alias("k"), "quality", "toxic")
+    x = Scratch(spark, "plan").table(x, "papers")
+    file = [F.lit(True).alias("file_exists"), F.col("evidence_id").alias("file_evidence_id")]
+    facts = {
+        "papers": x.select("evidence_id", F.when(k % 4 == 0, "missing").otherwise("fulltext").alias("ft_status"), (k % 2 == 0).alias("reuse"), (k % 7 == 0).alias("force"), (k % 3 != 0).alias("appraise"), (k % 11 == 0).alias("extract_only")),
+        "extractions": x.filter("quality is not null").select("evidence_id", *file, F.when(F.col("quality") == 1, "fulltext").otherwise("abstract_only").alias("basis")),
+        "pooled_extractions": x.filter(k % 5 == 0).select("evidence_id", *file, F.lit("fulltext").alias("basis")),
+        "spans": x.filter("toxic is not null").select("evidence_id", (F.col("toxic") == 0).alias("ok")), "appraisals": x.filter(k % 9 == 1).select("evidence_id"), "pooled_appraisals": x.filter(k % 9 == 2).select("evidence_id"),
+        "summaries": x.filter(k % 8 != 3).select("evidence_id", F.when(k % 6 == 5, 1).otherwise(0).alias("problems")), "refs": x.filter(k % 6 == 5).select("evidence_id", F.explode(F.array(F.lit(False), F.lit(None).cast("boolean"), F.lit(True))).alias("ok")),
+        "board": x.filter(k % 10 < 5).select(F.concat(F.lit("extract:"), F.col("evidence_id")).alias("task_id"), F.when(k % 10 == 4, "cancelled").otherwise("pending").alias("status")),
+    }
+    return paper_plan.plan(facts).withColumn("errors", F.col("errors").cast("int"))
+
+
 # ---------------------------------------------------------------- migrations
 
 
