@@ -28,6 +28,10 @@ from quillspark.session import Scratch
 
 _LOG = logging.getLogger(__name__)
 THRESHOLD = 0.9
+#: Cosines as near to the threshold as this are taken pair by pair.
+NEAR = 1e-9
+#: Rounds without a new link after which the graph is taken as it is, whatever the audit says; that is logged as an error.
+STALLED = 4
 LIST = 14
 TREES, CELL = 4, 80
 ROUNDS = 3
@@ -47,22 +51,46 @@ JOIN = 96
 EDGES = "u long, v long, sim double"
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), dtype="<f4").reshape(len(vectors), -1).astype(np.float64)
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+def _raw(vectors: list[bytes]) -> np.ndarray:
+    """Vectors of one length in double precision, each scaled by a power of two, which changes no cosine, so no square
+    leaves the range. A byte behind the components tells that they are doubles."""
+    if len(vectors[0]) % 4:
+        x = np.frombuffer(b"".join(v[:-1] for v in vectors), dtype="<f8").reshape(len(vectors), -1)
+    else:
+        x = np.frombuffer(b"".join(vectors), dtype="<f4").reshape(len(vectors), -1).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of all rows of two matrices. Those next to the threshold are taken pair by pair, product by product, so
+    a pair is decided alike wherever it is met. One root is taken of both squares, so exact sums give an exact tie: of
+    (0, 1, 3) and (3, 0, 9) the squares' product has the root 30, while the product of their roots is above it."""
+    a, b = _squares(x), _squares(y)
+    sim = (x @ y.T) / np.sqrt(a[:, None] * b[None, :])
+    i, j = np.nonzero(np.abs(sim - THRESHOLD) < NEAR)
+    for at in range(0, len(i), 65_536):
+        p, q = i[at : at + 65_536], j[at : at + 65_536]
+        sim[p, q] = (x[p] * y[q]).sum(axis=1) / np.sqrt(a[p] * b[q])
+    return sim
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as bytes; null where one is null, empty, zero, or has a null or non-finite component."""
+    """Vectors as bytes, as wide as they come; null where one is null, empty, zero, or has a null or non-finite component."""
     for batch in batches:
         column = batch.column(1)
+        wide = pa.types.is_float64(column.type.value_type)
+        if not wide and not pa.types.is_float32(column.type.value_type):
+            column, wide = column.cast(pa.list_(pa.float64())), True
         sizes = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        with np.errstate(over="ignore"):
-            x = column.flatten().to_numpy(zero_copy_only=False).astype("<f4") + np.float32(0)  # null components are NaN
+        x = column.flatten().to_numpy(zero_copy_only=False).astype("<f8" if wide else "<f4") + 0  # null components are NaN, and no zero is negative
         bad, some = (np.concatenate([[0], np.cumsum(c)]) for c in (~np.isfinite(x), x != 0))
         ok = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
-        out = [x[a:b].tobytes() if good else None for a, b, good in zip(at[:-1], at[1:], ok, strict=True)]
+        out = [x[a:b].tobytes() + b"d" * wide if good else None for a, b, good in zip(at[:-1], at[1:], ok, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
 
@@ -72,7 +100,8 @@ def _project(batches: Iterator[pa.RecordBatch], bits: int, seed: int) -> Iterato
         sizes = np.array([len(v) for v in vec])
         for size in np.unique(sizes):
             k = np.flatnonzero(sizes == size)
-            x = _unit([vec[i] for i in k])
+            x = _raw([vec[i] for i in k])
+            x /= np.sqrt(_squares(x))[:, None]
             for tree in range(TREES):
                 side = x @ np.random.default_rng([seed, tree, int(size)]).normal(size=(x.shape[1], bits + 1))
                 code = ((side[:, :bits] > 0) << np.arange(bits)).sum(axis=1)
@@ -87,7 +116,7 @@ def _project(batches: Iterator[pa.RecordBatch], bits: int, seed: int) -> Iterato
 
 def _best(x: np.ndarray, node: np.ndarray, floor: np.ndarray, fresh: np.ndarray | None, most: int) -> tuple[np.ndarray, ...]:
     """Pairs of a small group that would improve the list of the first: the ``most`` best, and all links."""
-    sim = x @ x.T
+    sim = _cosines(x, x)
     ok = sim > floor[:, None]
     if fresh is not None:
         ok &= fresh[:, None] | fresh[None, :]
@@ -116,7 +145,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             for at in range(a, b, CELL):
                 to = min(b, at + CELL)
-                parts.append(_best(_unit(vec[at:to]), node[at:to], np.full(to - at, -1.0), None, 6))
+                parts.append(_best(_raw(vec[at:to]), node[at:to], np.full(to - at, -1.0), None, 6))
         if parts:
             yield _edges(parts)
 
@@ -142,7 +171,7 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for at in range(a, b, 2 * JOIN):
                 to = min(b, at + 2 * JOIN)
                 if to - at > 1 and fresh[at:to].any():
-                    parts.append(_best(_unit(vec[at:to]), member[at:to], floor[at:to], fresh[at:to], 4))
+                    parts.append(_best(_raw(vec[at:to]), member[at:to], floor[at:to], fresh[at:to], 4))
         if parts:
             yield _edges(parts)
 
@@ -223,11 +252,11 @@ def _true_links(nodes: DataFrame, sample: list) -> dict[int, int]:
             sizes = np.array([len(v) for v in vec])
             for size in np.unique(sizes):
                 k = np.flatnonzero(sizes == size)
-                x = _unit([vec[i] for i in k])
+                x = _raw([vec[i] for i in k])
                 q = np.array([i for i, v in enumerate(vecs) if len(v) == size], dtype=np.int64)
                 for at in range(0, len(q), AUDIT):
                     part = q[at : at + AUDIT]
-                    hit = (_unit([vecs[i] for i in part]) @ x.T >= THRESHOLD) & (ids[part][:, None] != own[k][None, :])
+                    hit = (_cosines(_raw([vecs[i] for i in part]), x) >= THRESHOLD) & (ids[part][:, None] != own[k][None, :])
                     n[part] += hit.sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["node", "n"])
 
@@ -247,12 +276,19 @@ def graph(nodes: DataFrame, scratch: Scratch, *, seed: int = 7) -> DataFrame:
 
     size = LIST
     edges = scratch.table(_merged(in_cells(seed).withColumn("fresh", F.lit(True)), size), "edges-0")
+    most, idle = 0, 0
     for k in itertools.count(1):
         if k > ROUNDS:
             recall = _audit(nodes, edges, k)
             _LOG.info("recall after %d rounds: %.4f", k - 1, recall)
             if recall >= RECALL:
                 break
+            links = edges.filter(F.col("sim") >= THRESHOLD).count()
+            idle = 0 if links > most else idle + 1
+            most = max(most, links)
+            if idle >= STALLED:
+                _LOG.error("recall %.4f is below %.4f and %d rounds found no new link", recall, RECALL, idle)
+                break
         size += LIST // 2 if k > ROUNDS else 0
         found = _round(edges, nodes, size, k)
         if k > ROUNDS:  # new projections reach what the descent can't, so the recall holds in the end
@@ -292,7 +328,8 @@ def _cone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(v) for v in vec])
             for size in np.unique(sizes):
                 k = np.flatnonzero(sizes == size)
-                cos = (_unit([vec[i] for i in k]) * _unit([centre[i] for i in k])).sum(axis=1)
+                x, y = _raw([vec[i] for i in k]), _raw([centre[i] for i in k])
+                cos = (x * y).sum(axis=1) / np.sqrt(_squares(x) * _squares(y))
                 core[k] = np.arccos(np.clip(cos, -1.0, 1.0)) <= CONE
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(core)], names=["node", "component", "mass", "vec", "core"])
 
@@ -310,7 +347,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size in np.unique(sizes):
             p, q = np.flatnonzero(sizes[a] == size), np.flatnonzero(sizes[b] == size)
             if len(p) and len(q):
-                hit = (_unit([vec[i] for i in a[p]]) @ _unit([vec[i] for i in b[q]]).T >= THRESHOLD) & (node[a[p]][:, None] != node[b[q]][None, :])
+                hit = (_cosines(_raw([vec[i] for i in a[p]]), _raw([vec[i] for i in b[q]])) >= THRESHOLD) & (node[a[p]][:, None] != node[b[q]][None, :])
                 got[p], back[q] = hit @ mass[b[q]], mass[a[p]] @ hit
         near = side[b] == 2
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[a], node[b][near]])), pa.array(np.concatenate([got, back[near]]))], names=["node", "n"])
@@ -345,7 +382,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
     """``vec_id, n_links, component_id, kept`` of every row.
 
     Rows that are null, zero, or have a null or non-finite component link with nothing; so do
-    vectors of different lengths. Equal vectors are linked with each other. A row with a null id
+    vectors of different lengths. Cosines are of double precision whether the components are floats or doubles, and
+    one of exactly the threshold links. Equal vectors are linked with each other. A row with a null id
     takes part, but no component is named after it. Repeated rows count each; an empty table
     gives no rows; other columns are ignored.
     """

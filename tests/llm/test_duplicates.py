@@ -192,3 +192,53 @@ def test_audit_sees_ordinary_nodes_beside_a_crowd(spark):
 
 def test_vectors_of_nothing(spark, scratch):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_cosines_of_exactly_the_threshold_link(spark, scratch, kind):
+    """Small whole vectors at a cosine of exactly 0.9, each pair in dimensions of its own, and some that are just below."""
+    found = []
+    for a in np.ndindex(4, 4, 4, 4):
+        for b in np.ndindex(4, 4, 4, 10):
+            dot, aa, bb = (int(np.dot(x, y)) for x, y in ((a, b), (a, a), (b, b)))
+            if aa and 100 * dot * dot == 81 * aa * bb and a < b:
+                found.append((a, b))
+    random.seed(3)
+    pairs = random.sample(found, 60)
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        for side, v in enumerate((a, b)):
+            x = [0.0] * (4 * len(pairs) + 4)
+            x[4 * k : 4 * k + 4] = [float(c) for c in v]
+            rows.append((2 * k + side, x))
+    x = [0.0] * (4 * len(pairs))
+    rows += [(1000, [*x, 1.0, 0.0, 0.0, 0.0]), (1001, [*x, 0.8999, 0.4361, 0.0, 0.0])]
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4), scratch).collect()}
+    for k in range(len(pairs)):
+        assert [(got[2 * k + side].n_links, got[2 * k + side].component_id) for side in (0, 1)] == [(1, 2 * k)] * 2, pairs[k]
+    assert got[1000].n_links == got[1001].n_links == 0
+
+
+def test_cosines_do_not_depend_on_the_matrix():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, size=(300, 4)).astype(float)
+    x = x[np.abs(x).max(axis=1) > 0]
+    whole = neighbours._cosines(x, x) >= neighbours.THRESHOLD
+    parts = np.block([[neighbours._cosines(x[a : a + 7], x[b : b + 11]) >= neighbours.THRESHOLD for b in range(0, len(x), 11)] for a in range(0, len(x), 7)])
+    assert (whole == parts).all() and (whole == whole.T).all()
+    exact = 100 * (x @ x.T) ** 2 >= 81 * np.outer((x * x).sum(axis=1), (x * x).sum(axis=1))
+    assert (whole == exact).all()
+
+
+def test_very_large_and_very_small_doubles(spark, scratch):
+    rows = [(1, [1e39, 0.0]), (2, [1e39, 0.0]), (3, [1e-50, 1e-50]), (4, [2e-50, 2e-50]), (5, [1e300, 1e300]), (6, [1.0, -1.0]), (7, [5e-324, 0.0]), (8, [0.0, 0.0]), (9, [float("inf"), 0.0]), (10, [None, 1.0]), (11, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 7: (2, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 8: (0, 8), 9: (0, 9), 10: (0, 10), 11: (0, 11)}
+
+
+def test_an_audit_that_cannot_be_satisfied_ends(spark, scratch, monkeypatch, caplog):
+    monkeypatch.setattr(neighbours, "_audit", lambda *a: 0.0)
+    rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)]
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), scratch)
+    assert got.count() == 60
+    assert any("no new link" in r.message for r in caplog.records)
