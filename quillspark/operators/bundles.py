@@ -7,12 +7,16 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import Scratch
+
 # Roots that notes may point into, roots that need not exist, types with bibliographic texts, and those texts.
 INSIDE = ("research", "assets/papers")
 LOOSE = ("wiki", "outputs")
 PUBMED_TYPES = ("Study", "Source Document")
 PUBMED_PAGES = "https://pubmed.ncbi.nlm.nih.gov/"
 TEXTS = ("pmid", "doi", "pmcid", "volume", "issue", "pages")
+#: A place that at least one of so many links leads to is hot.
+HOT = 1000
 MD_LINK = r"(?<!!)\[[^\]\n]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
 
 
@@ -58,13 +62,22 @@ def places(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(up).alias("resolved")).distinct()
 
 
-def dangling(notes: DataFrame, paths: DataFrame) -> DataFrame:
+def dangling(notes: DataFrame, paths: DataFrame, scratch: Scratch) -> DataFrame:
     """V17, a row for each link that breaks it: ``path, kind, dest, problem``.
 
     ``dangling``: nothing is there, unless the place belongs to the wiki or to the runs, which need not exist; ``outside``: it exists,
     but in no part of the bundle. A link that leaves the root is dangling, since nothing is known of what is there.
+
+    Each place is looked up once, however many links lead to it. Places of a thousandth of all links or more, of which there are a
+    thousand at most, go back to the links by broadcast, the others by a join.
     """
-    met = links(notes).join(places(paths).withColumn("_there", F.lit(True)), "resolved", "left")
+    found = scratch.table(links(notes), "links")
+    counted = found.filter("resolved is not null").groupBy("resolved").agg(F.count(F.lit(1)).alias("_n"))
+    known = scratch.table(counted.join(places(paths).withColumn("_there", F.lit(True)), "resolved", "left"), "places")
+    total = found.count()
+    hot = F.broadcast(known.filter(F.col("_n") * HOT >= total).drop("_n"))
+    rest = known.filter(F.col("_n") * HOT < total).drop("_n")
+    met = found.join(hot, "resolved").unionByName(found.join(hot.select("resolved"), "resolved", "left_anti").join(rest, "resolved", "left"))
     loose = F.coalesce(_below(F.col("resolved"), ("wiki",)) | _below(F.col("resolved"), ("outputs",), itself=False), F.lit(False))
     inside = F.coalesce(_below(F.col("resolved"), INSIDE), F.lit(False))
     problem = F.when(F.col("_there").isNull() & ~loose, "dangling").when(F.col("_there").isNotNull() & ~inside & ~loose, "outside")

@@ -87,11 +87,12 @@ def v_bundle_files(spark: SparkSession, d: str) -> DataFrame:
     logs = x.select(cat(lit("research/logs-"), (k % 50).cast("string"), lit("/"), F.col("s"), lit("/log.md")).alias("path"), log.alias("text"))
     shelves = x.select(cat(lit("research/"), F.col("lang"), lit("/n-"), F.col("s"), lit(".md")).alias("path"), lit("").alias("text")).unionByName(x.select(cat(lit("research/"), F.when(F.col("lang") == "en", "en").otherwise("studies"), lit("/index.md")).alias("path"), lit("").alias("text")).distinct())
     other = x.select(lit("notes/n.md").alias("path"), lit("").alias("text")).distinct()
-    every = Scratch(spark, "bundle-files").table(studies.unionByName(logs).unionByName(shelves).unionByName(other), "files")
+    scratch = Scratch(spark, "bundle-files")
+    every = scratch.table(studies.unionByName(logs).unionByName(shelves).unionByName(other), "files")
     read = notes.from_files(every.filter(F.col("path").startswith("research/studies/s-")))
     row = lambda df, rule, path, what, said, problem: df.select(lit(rule).alias("rule"), path.alias("path"), what.cast("string").alias("what"), said.alias("said"), problem.alias("problem"))
     c = F.col
-    out = row(bundles.dangling(read, every), "V17", c("path"), c("kind"), c("dest"), c("problem"))
+    out = row(bundles.dangling(read, every, scratch), "V17", c("path"), c("kind"), c("dest"), c("problem"))
     out = out.unionByName(row(bundles.untyped(read), "V13", c("path"), c("field"), c("said"), lit("not a text")))
     out = out.unionByName(row(bundles.log_problems(every), "V20", c("path"), c("line_no"), c("heading"), c("problem")))
     return out.unionByName(row(bundles.without_index(every), "V21", c("folder"), c("notes"), lit(""), lit("no index")))

@@ -33,11 +33,13 @@ def test_links_resolve_like_paths(spark):
         assert got[b, d] == (None if left or not inside else want.removeprefix("/root/of/bundle").lstrip("/")), (b, d)
 
 
-def test_dangling_links(spark, scratch):
+@pytest.mark.parametrize("hot", [0, 1, 10**9])
+def test_dangling_links(spark, scratch, monkeypatch, hot):
+    monkeypatch.setattr(bundles, "HOT", hot)
     body = "[a](x.md) ![i](none.png) [b](none.md) [c](#x) [d](https://y) [e](../../wiki/none.md) [f](../../other/y.md) [g](../) [h](x.md#part) [i](../../outputs)"
     rows = [("research/s/n.md", f"---\nsources:\n  - resource: ../gone.md\n  - resource: mailto:x@y\n  - {{}}\n---\n{body}"), ("research/s/x.md", None), ("other/y.md", "no front [z](../research/s/x.md)"), ("broken.md", "---\n- x\n---\n[q](q.md)")]
     files = spark.createDataFrame(rows, "path string, text string")
-    got = {(r.path, r.kind, r.dest, r.problem) for r in bundles.dangling(notes.from_files(files), files).collect()}
+    got = {(r.path, r.kind, r.dest, r.problem) for r in bundles.dangling(notes.from_files(files), files, scratch).collect()}
     n = "research/s/n.md"
     assert got == {(n, "resource", "../gone.md", "dangling"), (n, "link", "none.md", "dangling"), (n, "link", "../../other/y.md", "outside"), (n, "link", "../../outputs", "dangling"), ("broken.md", "link", "q.md", "dangling")}
 
