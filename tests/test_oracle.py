@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillspark.plans import catalog, catalog_extra, catalog_files, catalog_more  # noqa: F401 - all add to the catalog
+from quillspark.plans import catalog, catalog_extra, catalog_files, catalog_more, catalog_reports  # noqa: F401 - all add to the catalog
 
 D = "/root/testdata/sf0.001"
 
