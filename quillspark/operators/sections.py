@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import Scratch
+
 HEADING = r"^(#{1,6})\s+(.*?)\s*#*$"
 NOTE = r"^\[\^([^\]\s]+)\]:\s*(.*)$"
 REF = r"\[\^([^\]\s]+)\](?!:)"
@@ -239,10 +241,13 @@ def wording_findings(lines: DataFrame, tree: DataFrame) -> DataFrame:
     return out.unionByName(_finding(open_, "C-HYPOTHESIS-WALL", "warn", F.lit(None), F.lit("no hypothesis section")))
 
 
-def findings(reports: DataFrame, notes: DataFrame, records: DataFrame) -> DataFrame:
-    """All of them: ``report_id, check_id, status, line_no`` (null where something is missing), ``detail``. An empty table gives no rows."""
-    x = lines(reports)
-    tree = sections(x)
+def findings(reports: DataFrame, notes: DataFrame, records: DataFrame, scratch: Scratch) -> DataFrame:
+    """All of them: ``report_id, check_id, status, line_no`` (null where something is missing), ``detail``. An empty table gives no rows.
+
+    Lines and sections are written once, as every check reads them.
+    """
+    x = scratch.table(lines(reports), "lines")
+    tree = scratch.table(sections(x), "sections")
     return section_findings(x, tree).unionByName(citation_findings(x, notes, records)).unionByName(wording_findings(x, tree))
 
 

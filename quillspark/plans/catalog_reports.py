@@ -67,7 +67,7 @@ def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
 @query(f"{_FOUND} select k as doc_id, check_id, status, line_no, detail from f")
 def v_report_findings(spark: SparkSession, d: str) -> DataFrame:
     """A report for each document with citations, comments, footnotes and sections: findings by line."""
-    return sections.findings(*_reports(spark, d)).withColumnRenamed("report_id", "doc_id")
+    return sections.findings(*_reports(spark, d), Scratch(spark, "report-findings")).withColumnRenamed("report_id", "doc_id")
 
 
 @query(
@@ -77,7 +77,8 @@ def v_report_findings(spark: SparkSession, d: str) -> DataFrame:
 def v_report_status(spark: SparkSession, d: str) -> DataFrame:
     """The same reports: each check's worst state with the first line that it names."""
     reports, notes, records = _reports(spark, d)
-    found = Scratch(spark, "report-findings").table(sections.findings(reports, notes, records), "found")
+    scratch = Scratch(spark, "report-status")
+    found = scratch.table(sections.findings(reports, notes, records, scratch), "found")
     return sections.report_status(reports, found).withColumnRenamed("report_id", "doc_id")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import sections as S
+from quillspark.session import Scratch
 
 H = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
 NOTE = re.compile(r"^\[\^([^\]\s]+)\]:\s*(.*)$")
@@ -63,6 +64,13 @@ def slow(text):
     return kinds, tree, defs, uses
 
 
+@pytest.fixture
+def scratch(spark):
+    s = Scratch(spark, "test-sections")
+    yield s
+    s.close()
+
+
 @pytest.fixture(scope="module")
 def reports():
     rng = random.Random(5)
@@ -99,16 +107,16 @@ def test_empty_sections_and_bodies(spark):
     assert S.section_findings(x, S.sections(x), rules).filter("report_id = 2 and detail = 'no title block'").count() == 1
 
 
-def test_no_reports_no_findings(spark):
+def test_no_reports_no_findings(spark, scratch):
     none = spark.createDataFrame([], "report_id int, text string")
     notes = spark.createDataFrame([], "report_id int, key string, evidence_id string")
     records = spark.createDataFrame([], "evidence_id string, retraction_status string, is_preprint boolean, ft_status string, decision string")
-    assert S.findings(none, notes, records).count() == 0
-    one = S.findings(spark.createDataFrame([(None, None, "x")], "report_id int, text string, key string").drop("key"), notes, records)
+    assert S.findings(none, notes, records, scratch).count() == 0
+    one = S.findings(spark.createDataFrame([(None, None, "x")], "report_id int, text string, key string").drop("key"), notes, records, scratch)
     assert one.count() > 0
 
 
-def test_wording_and_markers(spark):
+def test_wording_and_markers(spark, scratch):
     text = (
         "# Question\nIt clearly shows. Probably because. RR 0.5 [^a]\n\nHR 2 was seen\n# Hypotheses\nThe evidence shows it. We test it.\n# Other\nIt proves it.\n# References\nOR 3\n"
         "[^a]: x\n    abstract only\n[^b]: y"
@@ -116,7 +124,7 @@ def test_wording_and_markers(spark):
     reports = spark.createDataFrame([(1, text)], "report_id int, text string")
     notes = spark.createDataFrame([(1, "a", "e1"), (1, "b", None)], "report_id int, key string, evidence_id string")
     records = spark.createDataFrame([("e1", "corrected", True, "abstract_only", "include")], "evidence_id string, retraction_status string, is_preprint boolean, ft_status string, decision string")
-    found = S.findings(reports, notes, records)
+    found = S.findings(reports, notes, records, scratch)
     got = sorted((r.check_id, r.status, r.line_no, r.detail) for r in found.filter("check_id <> 'C-SECTIONS'").collect())
     assert got == [
         ("C-ATTRIBUTION", "fail", 4, "effect estimate without a footnote"), ("C-CITE-RESOLVE", "fail", 13, "footnote resolves to nothing: [^b]"), ("C-CITE-RESOLVE", "warn", 13, "never referenced: [^b]"),
