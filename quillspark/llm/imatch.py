@@ -11,10 +11,8 @@ from quillspark.session import Scratch
 #: has some hundred distinct terms, so at most (that number / LOW) terms can be in the band,
 #: however large the corpus.
 LOW, HIGH = 0.002, 0.25
-#: Terms of the lexicon up to which it is sent to every task; a longer one is joined by term.
+#: Terms of the lexicon, and groups of equal texts, up to which they are sent to every task; more are joined by their hash.
 SENT = 500_000
-#: A text that more than this part of all rows have counts once in the frequencies; there are at most 1 / HOT such texts.
-HOT = 0.001
 #: Of a document's terms at or above the band, the part that its fingerprint has at least, and the
 #: least number. Where the band gives less, its terms nearest above the band are added: near copies
 #: that are many enough to lift their common terms out of the band would share nothing otherwise.
@@ -34,20 +32,22 @@ def lexicon(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``word_hash, above, digest`` (56 bits of the md5) of the terms in the band, and with their document frequency in
     ``above`` those of higher frequency, at most (terms of a document / HIGH).
 
-    A text that many rows have (HOT) counts once, at its least key, so large groups of copies don't move a
-    term. No text moves: words are counted where they are.
+    Frequencies are over distinct texts, so copies, few or many, move no term: of equal texts the row of the least key
+    counts, once if it is repeated. Only hashes move, and the texts that more than SENT groups of copies would need.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("h", F.xxhash64("text"))
-    sizes = texts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-    rows = texts.count()
-    hot = sizes.filter(F.col("n") > max(1.0, HOT * rows))
-    left = hot.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
-    n = rows - left
+    rows = texts.groupBy("h", "key").agg(F.count(F.lit(1)).alias("same"))
+    groups = rows.groupBy("h").agg(F.sum("same").alias("rows"), F.min(F.struct("key", "same")).alias("least"))
+    copied = F.col("rows") > 1
+    n, sent, repeated = groups.agg(F.count(F.lit(1)), F.count_if(copied) <= SENT, F.coalesce(F.max("least.same"), F.lit(0)) > 1).first()
+    copies = groups.filter(copied).select("h", F.col("least.key").alias("first"), (F.col("least.same") > 1).alias("again"))
+    own = texts.join(F.broadcast(copies) if sent else copies, "h", "left").filter(F.col("first").isNull() | (F.col("first") == F.col("key")))
+    if repeated:  # rows that share key and text
+        again = F.coalesce("again", F.lit(False))
+        own = own.filter(~again).unionByName(own.filter(again).dropDuplicates(["h"]))
     return (
-        texts.join(F.broadcast(hot.select("h", "first")), "h", "left")
-        .filter(F.col("first").isNull() | (F.col("first") == F.col("key")))
-        .select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("word"))
+        own.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("word"))
         .filter("word <> ''")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df"))

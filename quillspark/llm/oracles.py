@@ -68,9 +68,8 @@ with recursive scale as (select unnest([0, 1, 2, 3]) as k, unnest([16, 64, 256,
 d as (select doc_id, coalesce(text, '') as text from documents),
 o as (select doc_id, text, length(text) as n, row_number() over (order by doc_id desc) as i, count(*) over () as many from d),
 p as (select a.*, b.text as next, b.doc_id as next_id, left(a.text, a.n - a.n // 2) || left(b.text, a.n // 2) as edited from o a join o b on b.i = a.i % a.many + 1),
-hot as (select text, min(doc_id) as first, count(*) as copies from d group by text having count(*) > greatest(1.0, 0.001 * (select count(*) from d))),
-total as (select (select count(*) from d) - coalesce((select sum(copies - 1) from hot), 0) as n),
-w as (select unnest(list_distinct(string_split(lower(regexp_replace(text, '[\t\n\v\f\r]', ' ', 'g')), ' '))) as word from d left join hot using (text) where first is null or first = doc_id),
+total as (select count(distinct text) as n from d),
+w as (select unnest(list_distinct(string_split(lower(regexp_replace(text, '[\t\n\v\f\r]', ' ', 'g')), ' '))) as word from (select distinct text from d)),
 c as (select word, count(*) as df from w where word <> '' group by word having count(*) >= greatest(2, 0.002 * (select n from total))),
 lex as (select word, cast('0x' || left(md5(word), 14) as bigint) as digest, case when df > greatest(2, 0.25 * (select n from total)) then df else 0 end as above from c),
 both_ as (select doc_id, 0 as which, text from p union all select doc_id, 1, edited from p),

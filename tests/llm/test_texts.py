@@ -434,3 +434,19 @@ def test_mixing_of_edge_cases(edges, nothing, scratch):
     assert mixing.mix(edges, scratch).count() == len(edge_rows())
     assert mixing.mix(nothing, scratch).count() == 0
     assert mixing.apply(edges, scratch).columns == edges.columns
+
+
+def test_imatch_counts_equal_texts_once(spark):
+    rows = [(k, f"common word{k % 7} own{k}") for k in range(60)] + [(100 + k, "private pair") for k in range(5)] + [(200, "repeated row")] * 4 + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    slow = {}
+    for text in {t or "" for _, t in rows}:
+        for w in set(text.split(" ")) - {""}:
+            slow[w] = slow.get(w, 0) + 1
+    n = len({t or "" for _, t in rows})
+    want = {w: df if df > max(2, 0.25 * n) else 0 for w, df in slow.items() if df >= max(2, 0.002 * n)}
+    digest = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:14], 16)
+    for sent in (500_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(imatch, "SENT", sent)
+            assert {r.digest: r.above for r in imatch.lexicon(docs).collect()} == {digest(w): above for w, above in want.items()}
