@@ -248,13 +248,17 @@ class _Scorer(dict):
     def text_scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         return [self.scores[i].sum(axis=0) if len(i) else None for i in self._numbers(texts)]
 
-    def identified(self, texts: list[str | None], least: float) -> list[bool]:
-        """Whether a text has letters, and its best language explains them; with no languages, letters are enough."""
-        any_language = len(self.model.languages) > 0
-        return [
-            len(i) > 0 and (not any_language or bool(self.scores[i].sum(axis=0).max() >= least * self.lengths[i].sum()))
-            for i in self._numbers(texts)
-        ]
+    def identified(self, texts: list[str | None], least: float) -> list[tuple[bool, str | None]]:
+        """Whether a text has letters, and its best language explains them, and that language; with no languages, letters are enough."""
+        out: list[tuple[bool, str | None]] = []
+        for i in self._numbers(texts):
+            if not len(i) or not self.model.languages:
+                out.append((len(i) > 0, None))
+                continue
+            sums = self.scores[i].sum(axis=0)
+            best = int(np.argmax(sums))
+            out.append((bool(sums[best] >= least * self.lengths[i].sum()), self.model.languages[best]))
+        return out
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -289,12 +293,13 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     )
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The documents whose language is identified.
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """The documents whose language is identified; a null ``lang_col`` becomes the predicted language, a given one stays.
 
     Rejected are null texts, texts without a letter, and texts whose letters have a mean log
     probability below ``least`` in every language, as those of a script that no fitted language
-    has. Close languages do not spoil a text. A model without languages rejects no text with letters.
+    has. Close languages do not spoil a text. A model without languages rejects no text with letters, and fills no null.
+    A table without ``lang_col`` stays without it.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +308,12 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", le
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                yield part.filter(pa.array(scorer.identified(texts, least), pa.bool_()))
+                found = scorer.identified(texts, least)
+                at = part.schema.get_field_index(lang_col)
+                if at >= 0 and part.column(at).null_count:
+                    field = part.schema.field(at)
+                    langs = [best if given is None else given for given, (_, best) in zip(part.column(at).to_pylist(), found, strict=True)]
+                    part = part.set_column(at, field, pa.array(langs, field.type))
+                yield part.filter(pa.array([kept for kept, _ in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

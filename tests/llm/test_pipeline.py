@@ -4,8 +4,12 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillspark.llm import langid, mixing
+from quillspark.llm.queries import public_tokenizer
+from quillspark.session import Scratch
 from tests.llm.test_duplicates import slow_fingerprint, union
 from tests.llm.test_tokens_packing import check_packed
 
@@ -73,3 +77,17 @@ def test_packing_holds_every_document(stages):
 def test_run_equals_the_stages(spark, stages):
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert Counter(map(key, corpus_pipeline.run(spark, D).collect())) == Counter(map(key, stages["best_fit_packing"].collect()))
+
+
+def test_the_prediction_decides_what_has_no_language(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    gone = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    before = {r.doc_id: r.lang for r in gone.collect()}
+    model = langid.train(gone, langid.public_pieces(public_tokenizer("piece_bpe_32k.model")))
+    said = {r.doc_id: r.lang_pred for r in langid.predict(gone, model).collect()}
+    after = corpus_pipeline.language_id(spark, gone, D)
+    got = {r.doc_id: r.lang for r in after.collect()}
+    assert any(before[k] is None for k in got) and all(lang == (before[k] or said[k]) for k, lang in got.items())
+    leaves = lambda df, name: {(r.domain, r.lang, r.source) for r in mixing.mix(df, Scratch(spark, name)).collect()}
+    assert {x[1] for x in leaves(gone, "gone")} - {x[1] for x in leaves(after, "after")} == {""}
+    assert corpus_pipeline.language_id(spark, gone.limit(0), D).count() == 0
