@@ -10,7 +10,7 @@ from quillspark.session import Scratch, ship_package, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no text, no letter in it, or letters that no known language explains."""
+    """Documents without a language go: no text, no letter in it, or letters that no known language explains. A null lang becomes the predicted one, which the mixing weighs."""
     ship_package(spark)
     model = langid.train(docs, langid.public_pieces(public_tokenizer("piece_bpe_32k.model")))
     return langid.keep_identified(docs, model)
