@@ -1,17 +1,21 @@
 """Main text of web pages by site style trees.
 
 Pages of one host share templates. Their document trees are merged: an element of the merged tree
-is a path of tags with classes and ids, and for each element the pages' presentations (sequences
-of child elements) and contents (texts below) are counted, copies of one text once. The entropy of
-these counts, on the scale of the number of pages, is the importance of the element: near 0 where all
-pages have the same, near 1 where each page has its own.
-
-On a host with pages enough the tree decides: a branch goes if its importance is below the bound of
-its kind. What tags and names say only moves the bound (a ``footer`` must be as various as a text to
-stay, a plain box or a part of an article must be nearly the same on all pages to go). Three things
-no tree can see go by their names there: what is never shown, forms, and furniture that is each
-page's own, such as reader comments and rotating adverts. On a host with fewer pages the tags,
-roles and names are the prior that decides, beside boxes that all pages have alike.
+is a path of tags with classes and ids. Its presentations (sequences of child elements) and the features
+of its own content (phrases of its text, its links' texts) are counted by page, copies of one text once. The
+importance of presentation is the entropy of the presentations; that of content is one minus the mean entropy
+of the features over the pages that have the element, each feature weighed by its words and pages: 0 where all pages say the same,
+1 where each page says its own. Both are on the scale of the logarithm of the number of pages.
+
+On a page, an element's importance is composed from the content of all elements at and below it, weighed by their words, or is that
+of its presentation if that is greater. It is then drawn toward what tags, roles and names say of such an element, as
+if some pages more had been seen: a few that say the same for furniture, many that differ for other elements.
+So a host of one page is judged by the prior, a large one by its tree, and there is no size in between where the rule changes. A
+branch goes if the result is below one bound, the same for all elements. Headlines, paragraphs, lists and tables are parts of the box
+that they are in, and are not judged alone unless something marks them.
+
+Three things that no tree can see go by tag or name on all hosts: what is never shown, forms, and furniture that is each page's
+own, such as reader comments and rotating adverts.
 """
 
 from __future__ import annotations
@@ -27,13 +31,12 @@ from pyspark.sql import functions as F
 
 from quillspark.session import Scratch
 
-#: Importance below which a plain box is furniture on a host with PAGES texts or more, whatever else is known.
-LOW, PAGES = 0.15, 8
-#: Texts of a host from which its tree decides, and the importance below which branches go then, by kind.
-JUDGED = 48
-PLAIN, SITE, INSIDE, KEPT = 0, 1, 2, 3
-BOUNDS = {PLAIN: 0.6, SITE: 0.95, INSIDE: 0.3, KEPT: 0.0}
-#: Elements of low importance, over all hosts, up to which the list is sent to every task.
+#: Importance below which a branch goes.
+BOUND = 0.9
+#: What is known before any page is seen: so many pages that say the same for furniture, that differ for other elements.
+SAME_PAGES, OTHER_PAGES = 4, 60
+PLAIN, SITE, KEPT = 0, 1, 2
+#: Elements of all hosts' trees up to which they are sent to every task.
 SENT = 100_000
 
 # Elements by their role in the language of web pages.
@@ -66,6 +69,8 @@ AMBIGUOUS = frozenset(
 #: What such a name removes inside an article.
 BOXES = frozenset("div ul ol dl table span".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a box, which stay or go with it.
+PARTS = frozenset("p li dt dd tr td th thead tbody tfoot caption figcaption table ul ol dl pre blockquote figure".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre search section summary table ul".split()
@@ -74,8 +79,10 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+_TAG = re.compile(r"<[^<>]*>")
 _MASK = (1 << 64) - 1
 _DIGITS = re.compile(r"\b[0-9]+\b")
+_PHRASE = re.compile(r"[.,;!?|\u00b7\u2022\u2026]+(?: |$)")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -203,12 +210,14 @@ def parse(html: str | None) -> Node:
     """The tree of a page. A layout box that is only named like furniture (``with-sidebar``) is none
     if it holds the main part. A form is none if it holds the main part or most of the page's text; its
     controls always go."""
+    source = _NUMBER.sub(_short_number, html or "")  # Python refuses to read numbers of very many digits
     tree = Tree()
     try:
-        tree.feed(_NUMBER.sub(_short_number, html or ""))  # Python refuses to read numbers of very many digits
+        tree.feed(source)
         tree.close()
-    except (AssertionError, ValueError):  # no page known does this; what was read stays
-        pass
+    except (AssertionError, ValueError):  # no page known does this; its text stays whole, without any structure
+        tree = Tree()
+        tree.handle_data(_TAG.sub(" ", source))
     for x in _measure(tree.root):
         wraps = x.holds or 2 * x.chars > tree.root.chars  # one form around the page's text, not a part of it
         if (x.noise in ("named", "own") and x.holds) or (x.noise == "form" and wraps):
@@ -221,46 +230,97 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _kind(x: Node) -> int:
-    """Which bound of importance an element has."""
-    if x.noise in ("site", "named"):
-        return SITE
-    if x.tag in HEADINGS or x.tag in ("#root", "html", "body", "article", "main") or x.holds:
-        return KEPT  # a headline says little but belongs to what follows it
-    return INSIDE if x.inside else PLAIN
-
-
-def features(root: Node) -> list[tuple[int, int, int, int]]:
-    """(element, kind, presentation, content) of a page's elements: hashes of the element's path, of its
-    child elements in order, and of the texts below it without their numbers, summed over its places."""
+def _elements(root: Node) -> list[tuple[Node, int, int, list[str]]]:
+    """(element, place of the one above, path's hash, phrases of its own text) of all elements that a tree may judge, each before those below it."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    order: list[tuple[Node, int, int]] = []  # element, place of the one above, key
+    order: list[tuple[Node, int, int, list[str]]] = []
     stack = [(root, -1, 0)]
     while stack:
         node, above, path = stack.pop()
-        key = digest(node.sign, path)
-        stack.extend((p, len(order), key) for p in node.parts if isinstance(p, Node) and p.noise not in ("never", "form", "own") and p.tag not in INLINE)
-        order.append((node, above, key))
-    content = [0] * len(order)
-    found: dict[int, list[int]] = {}
-    for k in range(len(order) - 1, -1, -1):
-        node, above, key = order[k]
+        key = xxhash.xxh3_64_intdigest(node.sign, path)
         line: list[str] = []
         for p in node.parts:
             if isinstance(p, str):
                 line.append(p)
-            elif p.tag in INLINE and not p.noise:
-                line.append(_all_text(p))
+            elif p.tag == "a" and not p.noise:
+                line += ["| ", _all_text(p), "| "]  # a link's text is a phrase of its own
+            elif p.tag in INLINE:
+                line.append("" if p.noise else _all_text(p))
+            else:
+                line.append(" ")
+                if p.noise not in ("never", "form", "own"):
+                    stack.append((p, len(order), key))
         own = _DIGITS.sub("#", " ".join("".join(line).split()))
-        content[k] += digest(own, 2) if own else 0
+        order.append((node, above, key, [x for x in map(str.strip, _PHRASE.split(own)) if x and x != "|"]))
+    return order
+
+
+def _words(phrase: str) -> int:
+    return phrase.count(" ") + 1
+
+
+def features(root: Node) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(element, presentation, phrases) of a page's elements by hashes, phrases with their words; places of one path are one element, and its phrases are a set."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    found: dict[int, tuple[list[int], set[tuple[int, int]]]] = {}
+    for node, _, key, phrases in _elements(root):
+        shape, said = found.setdefault(key, ([0], set()))
+        shape[0] += digest(">".join(p.sign for p in node.parts if isinstance(p, Node)), 1)
+        said.update((_signed(digest(x, 2)), _words(x)) for x in phrases)
+    return [(_signed(key), _signed(shape[0]), sorted(said)) for key, (shape, said) in sorted(found.items())]
+
+
+#: Of an element of a host: pages that have it, importance of its presentation, importance of its content.
+Known = dict[int, tuple[int, float, float]]
+
+
+def judge(root: Node, tree: Known, *, prior: bool = True) -> tuple[set[int], set[int]]:
+    """Elements that go, and elements of which only their own text goes, both by ``id``.
+
+    Without ``prior`` neither tags nor names count: only the tree decides (used to measure its worth).
+    """
+    order = _elements(root)
+    main = prior and _has_main(root)
+    size, said, wraps = [0] * len(order), [0.0] * len(order), [False] * len(order)
+    gone: set[int] = set()
+    mute: set[int] = set()
+    inside = [False] * len(order)
+    for k, (node, above, _, _) in enumerate(order):
+        inside[k] = (above >= 0 and inside[above]) or node.tag in ("article", "main")
+    for k in range(len(order) - 1, -1, -1):
+        node, above, key, phrases = order[k]
+        pages, shape, content = tree.get(_signed(key), (1, 1.0, 1.0))
+        words = sum(map(_words, phrases))
+        size[k] += words
+        said[k] += words * content
+        wraps[k] = wraps[k] or (node.tag in ("article", "main") and not node.noise)
         if above >= 0:
-            content[above] = (content[above] + content[k] * 3) & _MASK
-        row = found.setdefault(key, [_kind(node), 0, 0])
-        row[1] += digest(">".join(p.sign for p in node.parts if isinstance(p, Node)), 1)
-        row[2] += content[k]
-    return [(_signed(key), kind, _signed(shape), _signed(text)) for key, (kind, shape, text) in found.items()]
+            size[above] += size[k]
+            said[above] += said[k]
+            wraps[above] = wraps[above] or wraps[k]
+        kind = PLAIN
+        if node.tag in ("#root", "html", "body") or node.tag in HEADINGS or (prior and wraps[k] and not node.noise):
+            kind = KEPT  # a headline says little but belongs to what follows it
+        if prior and (node.noise or (main and not inside[k] and kind != KEPT) or (not main and not inside[k] and kind == PLAIN and _menu(node))):
+            kind = SITE
+        if kind == KEPT:
+            if main and not inside[k] and phrases and _drawn(pages, content, SITE) < BOUND:
+                mute.add(id(node))
+            continue
+        if kind == PLAIN and node.tag in PARTS and (inside[k] or node.sign == node.tag):
+            continue
+        value = max(shape, said[k] / size[k]) if size[k] else 1.0
+        if (_drawn(pages, value, kind) if prior else value) < BOUND:
+            gone.add(id(node))
+    return gone, mute
+
+
+def _drawn(pages: int, value: float, kind: int) -> float:
+    """An importance seen on so many pages, drawn toward what is known of such elements."""
+    return value * pages / (pages + SAME_PAGES) if kind == SITE else (value * pages + OTHER_PAGES) / (pages + OTHER_PAGES)
 
 
 def _all_text(node: Node) -> str:
@@ -294,16 +354,9 @@ def _menu(node: Node) -> bool:
     return node.linked >= 0.5 * node.total if node.tag == "nav" else node.links >= 3 and node.linked >= 0.85 * node.total
 
 
-def extract(root: Node, low: frozenset[int] | set[int], judged: bool = False) -> str:
-    """Text blocks of a page in order, one per line, without the branches in ``low`` and those of the prior.
-
-    Where the host's tree is ``judged`` it alone decides on site furniture and on what is beside an ``article``.
-    """
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    main_only = not judged and _has_main(root)
-    gone = ("never", "form", "own") if judged else ("never", "form", "own", "site", "named")
+def extract(root: Node, tree: Known | None = None, *, prior: bool = True) -> str:
+    """Text blocks of a page in order, one per line, without the branches that ``judge`` removes and those that no tree can judge."""
+    gone, mute = judge(root, tree or {}, prior=prior)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -313,46 +366,46 @@ def extract(root: Node, low: frozenset[int] | set[int], judged: bool = False) ->
             blocks.append(text)
         line.clear()
 
-    stack: list[tuple[Node | str | None, int, bool]] = [(root, 0, False)]
+    stack: list[tuple[Node | str | None, bool]] = [(root, False)]
     while stack:
-        x, path, inside = stack.pop()
+        x, muted = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
-            if inside or not main_only:
+            if not muted:
                 line.append(x)
         elif x.tag == "br":
             line.append(" ")
         else:
-            key = digest(x.sign, path)
-            inside = inside or x.tag in ("article", "main")
-            removed = x.noise in gone or (x.noise and x.tag in INLINE) or ((judged or not inside) and _signed(key) in low)
-            if removed or (not inside and not main_only and x is not root and _menu(x)):
+            if x.noise in ("never", "form", "own") or (x.noise and x.tag in INLINE) or id(x) in gone:
                 if x.tag not in INLINE:
                     flush()
                 continue
             if x.tag not in INLINE:
                 flush()
-                stack.append((None, 0, False))
-            stack.extend((p, key, inside) for p in reversed(x.parts))
+                stack.append((None, False))
+                muted = id(x) in mute
+            stack.extend((p, muted) for p in reversed(x.parts))
     flush()
     return "\n".join(blocks)
 
 
+_PHRASES = pa.list_(pa.struct([("x", pa.int64()), ("words", pa.int32())]))
+_ELEMENTS = pa.list_(pa.struct([("key", pa.int64()), ("shape", pa.int64()), ("phrases", _PHRASES)]))
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            rows = []
-            for host, html in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
+            part = batch.slice(at, 256)
+            texts, elements = [], []
+            for html in part.column(1).to_pylist():
                 root = parse(html)
-                text = _signed(xxhash.xxh3_64_intdigest(extract(root, frozenset()) or html or ""))
-                rows += [(host, text, *f) for f in features(root)]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "text", "key", "kind", "shape", "content"])
+                texts.append(_signed(xxhash.xxh3_64_intdigest(extract(root) or html or "")))
+                elements.append(features(root))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.int64()), pa.array(elements, _ELEMENTS)], names=["host", "text", "elements"])
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -361,50 +414,53 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged tree of every host: ``host, key, kind, pages, importance``; ``pages`` counts texts.
+    """The merged tree of every host: ``host, key, pages, shape, content``; ``pages`` counts texts, the others are importances.
 
-    Pages give a row per element. Rows of one text (what the prior leaves of a page) are one page, so copies of an
-    article don't make it look like furniture. The rows are counted by feature before they meet by host, so a
-    host with a third of all pages is no larger a group than its template.
+    Rows of one text (what the prior leaves of a page) are one page, so copies of an article don't make it look like
+    furniture. Features are counted before they meet by element, so a host with a third of all pages is no larger a
+    group than its template, and an element of very many phrases is summed in parts.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(
-        _feature_rows, "host string, text long, key long, kind int, shape long, content long"
+        _feature_rows, "host string, text long, elements array<struct<key: long, shape: long, phrases: array<struct<x: long, words: int>>>>"
+    )
+    once = rows.groupBy("host", "text").agg(F.min("elements").alias("elements")).select("host", F.explode("elements").alias("e")).select("host", "e.*")
+    shape = F.struct(F.col("shape").alias("x"), F.lit(0).alias("words"))
+    both = once.select("host", "key", F.explode(F.concat(F.array(shape), "phrases")).alias("f"))
+    counts = both.groupBy("host", "key", "f.words", "f.x").agg(F.count(F.lit(1)).alias("c"))
+    total = lambda x: F.sum(F.when(F.col("words") == 0, x))  # noqa: E731 - of presentations
+    weighed = F.col("c") * F.log("c")
+    sums = counts.groupBy("host", "key").agg(
+        total(F.col("c")).alias("pages"), total(weighed).alias("shapes"), F.sum(F.col("words") * F.col("c")).alias("said"), F.sum(F.col("words") * weighed).alias("phrases")
     )
-    once = rows.groupBy("host", "key", "text").agg(F.min(F.struct("kind", "shape", "content")).alias("f")).select("host", "key", "f.*")
-    both = once.select("host", "key", "kind", F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("shape").alias("x")), F.struct(F.lit(1).alias("of"), F.col("content").alias("x")))).alias("f"))
-    counts = both.groupBy("host", "key", "f.of", "f.x").agg(F.count(F.lit(1)).alias("c"), F.max("kind").alias("kind"))
-    sums = counts.groupBy("host", "key", "of").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("kind").alias("kind"))
-    entropy = F.when(F.col("pages") > 1, 1 - F.col("clogc") / (F.col("pages") * F.log("pages"))).otherwise(F.lit(1.0))
-    return sums.withColumn("entropy", entropy).groupBy("host", "key").agg(F.max("kind").alias("kind"), F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
+    entropy = lambda clogc, n: F.when((F.col("pages") > 1) & (F.col(n) > 0), F.greatest(F.lit(0.0), 1 - F.col(clogc) / (F.col(n) * F.log("pages")))).otherwise(F.lit(1.0))
+    return sums.select("host", "key", "pages", entropy("shapes", "pages").alias("shape"), entropy("phrases", "said").alias("content"))
 
 
-def verdicts(tree: DataFrame) -> DataFrame:
-    """``host, judged, low``: whether the tree decides on a host, and the elements that go. Hosts of which nothing is known have no row.
+def trees(known: DataFrame) -> DataFrame:
+    """``host, tree``: the elements of a host that two of its texts or more have, in one row. A host's row is as large as its template."""
+    return known.filter("pages > 1").groupBy("host").agg(F.collect_list(F.struct("key", F.col("pages").cast("int").alias("pages"), "shape", "content")).alias("tree"))
 
-    Where it decides, furniture by tag or name that is on fewer than JUDGED texts goes, and other elements
-    on fewer than PAGES go or stay with the branch that they are on. Elsewhere only plain boxes go that
-    nearly all pages have alike.
-    """
-    judged = tree.groupBy("host").agg((F.max("pages") >= JUDGED).alias("judged"))
-    bound = F.element_at(F.create_map(*[F.lit(x) for kv in BOUNDS.items() for x in kv]), F.col("kind"))
-    known = F.col("pages") >= PAGES
-    by_tree = (known & (F.col("importance") < bound)) | ((F.col("kind") == SITE) & (F.col("pages") < JUDGED))
-    low = F.when(F.col("judged"), by_tree).otherwise(known & (F.col("kind") == PLAIN) & (F.col("importance") < LOW))
-    return (
-        tree.join(judged, "host").groupBy("host", "judged").agg(F.collect_set(F.when(low, F.col("key"))).alias("low"))
-        .filter(F.col("judged") | (F.size("low") > 0))
-    )
+
+def _known(tree: pa.ListScalar) -> Known:
+    if not tree.is_valid:
+        return {}
+    e = tree.values
+    key, pages, shape, content = (e.field(k).to_pylist() for k in range(4))
+    return dict(zip(key, zip(pages, shape, content, strict=True), strict=True))
 
 
 def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache: tuple[str | None, Known] = (None, {})  # of the last host, so that memory stays bounded
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            out = []
-            for html, judged, low in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                root = parse(html)
-                text = extract(root, set(low or ()), bool(judged))
-                out.append(text or (extract(root, set()) if low else ""))
+            out: list[str] = [""] * part.num_rows
+            hosts, html = part.column(3).to_pylist(), part.column(2).to_pylist()
+            for k in sorted(range(part.num_rows), key=hosts.__getitem__):
+                if cache[0] != hosts[k]:
+                    cache = (hosts[k], _known(part.column(4)[k]))
+                root = parse(html[k])
+                out[k] = extract(root, cache[1]) or extract(root)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
@@ -416,11 +472,11 @@ def main_text(pages: DataFrame, scratch: Scratch, *, id_col: str = "page_id", ur
     A null or empty page, and a page of nothing but furniture, has an empty text. Pages without a
     host are a site of their own. Null ids stay; repeated rows are returned as often; an empty
     table gives no rows; other columns, whatever their names, are ignored. The pages themselves are never shuffled while
-    the list of low elements is small, which is counted first; beyond that they are joined by host.
+    the trees are small, which is counted first; beyond that they are joined by host.
     """
-    low = scratch.table(verdicts(scratch.table(importance(pages, url_col=url_col, html_col=html_col), "tree")), "low")
-    size = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0
-    sent = F.broadcast(low) if size <= SENT else low
+    known = scratch.table(trees(importance(pages, url_col=url_col, html_col=html_col)), "trees")
+    size = known.agg(F.sum(F.size("tree"))).first()[0] or 0
+    sent = F.broadcast(known) if size <= SENT else known
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(sent, "host", "left").select("page_id", "url", "html", "judged", "low")
+    joined = rows.join(sent, "host", "left").select("page_id", "url", "html", "host", "tree")
     return joined.mapInArrow(_extract_rows, "page_id long, url string, text string, n_chars long")
