@@ -48,6 +48,8 @@ NEVER = frozenset(
     "head title script style noscript template svg math canvas iframe object embed audio video map button select textarea input datalist dialog".split()
 )
 SITE_TAGS = frozenset("nav footer aside menu".split())
+#: Tags that say something without a name.
+UNNAMED = NEVER | SITE_TAGS | {"form", "header"}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar tablist".split())
 OWN_ROLES = frozenset("search form dialog alertdialog alert".split())
 FURNITURE = frozenset(
@@ -81,8 +83,8 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _TAG = re.compile(r"<[^<>]*>")
 _MASK = (1 << 64) - 1
-_DIGITS = re.compile(r"\b[0-9]+\b")
-_PHRASE = re.compile(r"[.,;!?|\u00b7\u2022\u2026]+(?: |$)")
+_DIGITS = re.compile(r"[0-9](?<!\w[0-9])[0-9]*\b")  # starts with a digit, not with a look behind, to be found fast
+_PHRASE = re.compile(r"[.,;!?|\u00b7\u2022\u2026]+ ")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -124,8 +126,13 @@ class Tree(HTMLParser):
             found -= AMBIGUOUS
         return ("own" if found & OWN else "named") if found else ""
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines and columns aren't asked for."""
+        return j
+
     def _drop(self, k: int) -> None:
-        self.count.subtract(n.tag for n in self.open[k:])
+        for n in self.open[k:]:
+            self.count[n.tag] -= 1
         del self.open[k:]
 
     def _close(self, tags: set[str] | frozenset[str], scope: set[str]) -> None:
@@ -143,11 +150,16 @@ class Tree(HTMLParser):
             self._close({"p"}, {"button", "table", "td", "th", "caption", "object", "article", "section", "div", "body", "blockquote", "li"})
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], SCOPES[tag])
-        named = dict(attrs)
-        mark = "".join(f".{re.sub(r'[0-9]+', '#', x)}" for x in sorted(((named.get("class") or "") + " " + (named.get("id") or "")).split()))
         above = self.open[-1]
-        node = Node(tag, tag + mark, above.inside or above.tag in ("article", "main"))
-        node.noise = self._noise(tag, node.inside, named)
+        inside = above.inside or above.tag in ("article", "main")
+        if attrs:
+            named = dict(attrs)
+            marks = f"{named.get('class') or ''} {named.get('id') or ''}".split()
+            node = Node(tag, tag + "".join(f".{re.sub(r'[0-9]+', '#', x)}" for x in sorted(marks)), inside)
+            node.noise = self._noise(tag, inside, named)
+        else:
+            node = Node(tag, tag, inside)
+            node.noise = self._noise(tag, inside, attrs={}) if tag in UNNAMED else ""
         above.parts.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -230,46 +242,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _elements(root: Node) -> list[tuple[Node, int, int, list[str]]]:
-    """(element, place of the one above, path's hash, phrases of its own text) of all elements that a tree may judge, each before those below it."""
+Elements = list[tuple[Node, int, int, list[str]]]
+
+
+def _elements(root: Node) -> Elements:
+    """(element, place of the one above, path's hash, words of its own text) of all elements that a tree may judge, each before those below it.
+
+    A word ``|`` stands before and behind each link."""
     import xxhash
 
-    order: list[tuple[Node, int, int, list[str]]] = []
+    digest = xxhash.xxh3_64_intdigest
+    order: Elements = []
     stack = [(root, -1, 0)]
     while stack:
         node, above, path = stack.pop()
-        key = xxhash.xxh3_64_intdigest(node.sign, path)
+        key = digest(node.sign, path)
         line: list[str] = []
         for p in node.parts:
             if isinstance(p, str):
                 line.append(p)
             elif p.tag == "a" and not p.noise:
-                line += ["| ", _all_text(p), "| "]  # a link's text is a phrase of its own
+                line += [" | ", _all_text(p), " | "]  # a link's text is a phrase of its own
             elif p.tag in INLINE:
                 line.append("" if p.noise else _all_text(p))
             else:
                 line.append(" ")
                 if p.noise not in ("never", "form", "own"):
                     stack.append((p, len(order), key))
-        own = _DIGITS.sub("#", " ".join("".join(line).split()))
-        order.append((node, above, key, [x for x in map(str.strip, _PHRASE.split(own)) if x and x != "|"]))
+        order.append((node, above, key, "".join(line).split()))
     return order
 
 
-def _words(phrase: str) -> int:
-    return phrase.count(" ") + 1
-
-
-def features(root: Node) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def features(root: Node, elements: Elements | None = None) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(element, presentation, phrases) of a page's elements by hashes, phrases with their words; places of one path are one element, and its phrases are a set."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
     found: dict[int, tuple[list[int], set[tuple[int, int]]]] = {}
-    for node, _, key, phrases in _elements(root):
+    for node, _, key, words in _elements(root) if elements is None else elements:
         shape, said = found.setdefault(key, ([0], set()))
-        shape[0] += digest(">".join(p.sign for p in node.parts if isinstance(p, Node)), 1)
-        said.update((_signed(digest(x, 2)), _words(x)) for x in phrases)
+        shape[0] += digest(">".join([p.sign for p in node.parts if isinstance(p, Node)]), 1)
+        for x in _PHRASE.split(_DIGITS.sub("#", " ".join(words)) + " ") if words else ():
+            x = x.strip()
+            if x:
+                h = digest(x, 2)
+                said.add((h - (1 << 64) if h >> 63 else h, x.count(" ") + 1))
     return [(_signed(key), _signed(shape[0]), sorted(said)) for key, (shape, said) in sorted(found.items())]
 
 
@@ -277,12 +294,12 @@ def features(root: Node) -> list[tuple[int, int, list[tuple[int, int]]]]:
 Known = dict[int, tuple[int, float, float]]
 
 
-def judge(root: Node, tree: Known, *, prior: bool = True) -> tuple[set[int], set[int]]:
+def judge(root: Node, tree: Known, *, prior: bool = True, elements: Elements | None = None) -> tuple[set[int], set[int]]:
     """Elements that go, and elements of which only their own text goes, both by ``id``.
 
     Without ``prior`` neither tags nor names count: only the tree decides (used to measure its worth).
     """
-    order = _elements(root)
+    order = _elements(root) if elements is None else elements
     main = prior and _has_main(root)
     size, said, wraps = [0] * len(order), [0.0] * len(order), [False] * len(order)
     gone: set[int] = set()
@@ -291,9 +308,9 @@ def judge(root: Node, tree: Known, *, prior: bool = True) -> tuple[set[int], set
     for k, (node, above, _, _) in enumerate(order):
         inside[k] = (above >= 0 and inside[above]) or node.tag in ("article", "main")
     for k in range(len(order) - 1, -1, -1):
-        node, above, key, phrases = order[k]
+        node, above, key, tokens = order[k]
         pages, shape, content = tree.get(_signed(key), (1, 1.0, 1.0))
-        words = sum(map(_words, phrases))
+        words = len(tokens) - tokens.count("|")
         size[k] += words
         said[k] += words * content
         wraps[k] = wraps[k] or (node.tag in ("article", "main") and not node.noise)
@@ -307,7 +324,7 @@ def judge(root: Node, tree: Known, *, prior: bool = True) -> tuple[set[int], set
         if prior and (node.noise or (main and not inside[k] and kind != KEPT) or (not main and not inside[k] and kind == PLAIN and _menu(node))):
             kind = SITE
         if kind == KEPT:
-            if main and not inside[k] and phrases and _drawn(pages, content, SITE) < BOUND:
+            if main and not inside[k] and words and _drawn(pages, content, SITE) < BOUND:
                 mute.add(id(node))
             continue
         if kind == PLAIN and node.tag in PARTS and (inside[k] or node.sign == node.tag):
@@ -354,9 +371,9 @@ def _menu(node: Node) -> bool:
     return node.linked >= 0.5 * node.total if node.tag == "nav" else node.links >= 3 and node.linked >= 0.85 * node.total
 
 
-def extract(root: Node, tree: Known | None = None, *, prior: bool = True) -> str:
+def extract(root: Node, tree: Known | None = None, *, prior: bool = True, elements: Elements | None = None) -> str:
     """Text blocks of a page in order, one per line, without the branches that ``judge`` removes and those that no tree can judge."""
-    gone, mute = judge(root, tree or {}, prior=prior)
+    gone, mute = judge(root, tree or {}, prior=prior, elements=elements)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -403,8 +420,9 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             texts, elements = [], []
             for html in part.column(1).to_pylist():
                 root = parse(html)
-                texts.append(_signed(xxhash.xxh3_64_intdigest(extract(root) or html or "")))
-                elements.append(features(root))
+                order = _elements(root)
+                texts.append(_signed(xxhash.xxh3_64_intdigest(extract(root, elements=order) or html or "")))
+                elements.append(features(root, order))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.int64()), pa.array(elements, _ELEMENTS)], names=["host", "text", "elements"])
 
 
