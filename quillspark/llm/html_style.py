@@ -77,6 +77,7 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre search section summary table ul".split()
 )
+P, P_SCOPE = frozenset(["p"]), frozenset("button table td th caption object article section div body blockquote li".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -136,19 +137,19 @@ class Tree(HTMLParser):
         del self.open[k:]
 
     def _close(self, tags: set[str] | frozenset[str], scope: set[str]) -> None:
-        if not any(self.count[t] for t in tags):
-            return
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
+            tag = self.open[k].tag
+            if tag in tags:
                 self._drop(k)
                 return
-            if self.open[k].tag in scope:
+            if tag in scope:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P:
-            self._close({"p"}, {"button", "table", "td", "th", "caption", "object", "article", "section", "div", "body", "blockquote", "li"})
-        if tag in SIBLINGS:
+            if self.count["p"]:
+                self._close(P, P_SCOPE)
+        if tag in SIBLINGS and any(self.count[t] for t in SIBLINGS[tag]):
             self._close(SIBLINGS[tag], SCOPES[tag])
         above = self.open[-1]
         inside = above.inside or above.tag in ("article", "main")
@@ -194,20 +195,26 @@ def _measure(root: Node) -> list[Node]:
         order.append(x)
         stack.extend(p for p in x.parts if isinstance(p, Node))
     for x in reversed(order):
-        x.holds = x.headed = False
-        x.chars = x.total = x.linked = x.links = 0
+        holds = headed = False
+        chars = total = linked = links = 0
         for p in x.parts:
             if isinstance(p, str):
                 n = len("".join(p.split()))
-                x.chars += n
-                x.total += n
+                chars += n
+                total += n
             else:
-                x.total += p.total
-                x.linked += p.total if p.tag == "a" else p.linked
-                x.links += p.links + (p.tag == "a")
-                x.headed = x.headed or p.headed or p.tag in ("h1", "h2")
-                x.holds = x.holds or p.holds or p.tag == "main" or (p.tag == "article" and p.headed)
-                x.chars += p.chars if p.noise not in ("never", "site") else 0
+                total += p.total
+                if p.tag == "a":
+                    linked += p.total
+                    links += 1
+                else:
+                    linked += p.linked
+                links += p.links
+                headed = headed or p.headed or p.tag in ("h1", "h2")
+                holds = holds or p.holds or p.tag == "main" or (p.tag == "article" and p.headed)
+                if p.noise not in ("never", "site"):
+                    chars += p.chars
+        x.holds, x.headed, x.chars, x.total, x.linked, x.links = holds, headed, chars, total, linked, links
     return order
 
 
