@@ -51,10 +51,9 @@ def retrieve(spark: SparkSession, d: str, *, k: int = 5, per_paper: int = 2, dep
     scratch = Scratch(spark, "retrieve")
     sources = entity(spark, d, "sources").withColumn("content_hash", provenance.content_hash(F.col("text")))
     chunks = scratch.table(search.chunk_table(sources).withColumn("doc", F.concat_ws("#", "source_id", "start")), "chunks")
-    post = scratch.table(search.postings(chunks, F.col("text"), doc="doc"), "postings")
     asked = table(spark, d, "benchmark")
     terms = search.query_terms(asked, F.col("text"), query="item_id")
-    scored = search.bm25(post, terms, chunks.select("doc"), require_all=False)
+    scored = search.bm25_of_each(chunks, F.col("text"), terms, doc="doc", k=hits)
     ranked = scratch.table(search.top(scored.withColumn("score", F.round("score", 9)), hits), "ranked")
     placed = ranked.join(chunks.select("doc", "paper_id", "source_id", "start", "end"), "doc")
     lexical = search.best_chunk_per_paper(placed, depth, hits)
@@ -66,6 +65,8 @@ def retrieve(spark: SparkSession, d: str, *, k: int = 5, per_paper: int = 2, dep
     snaps = entity(spark, d, "sources").select("source_id", F.col("url"), F.lit("full_text").alias("access"), "text")
     ids = snaps.select(F.col("source_id").alias("source"), provenance.source_id(F.col("url"), F.col("text")).alias("source_id"), provenance.content_hash(F.col("text")).alias("content_hash"), "url", "access", "text")
     spans = placed.join(fused.select("query", "paper_id", "place", "score", "found_by"), ["query", "paper_id"])
+    # Texts of other sources stay where they are: the questions' best papers are few, whatever the number of sources.
+    ids = ids.join(F.broadcast(spans.select(F.col("source_id").alias("source")).distinct()), "source", "left_semi")
     spans = spans.withColumnRenamed("source_id", "source").drop("text").join(ids.select("source", "source_id"), "source").withColumn("access", F.lit("full_text")).withColumn("excerpt", F.lit(None).cast("string")).drop("score").join(fused.select("query", "paper_id", "score"), ["query", "paper_id"])
     checked = provenance.verify_spans(spans, ids.drop("source"))
     best = search.passages(checked.withColumn("hit_rank", F.col("rank")).select("query", "paper_id", "rank", "ok", "start", "end", "sliced").withColumnRenamed("sliced", "passage"), per_paper)
