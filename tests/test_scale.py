@@ -44,3 +44,14 @@ def test_bm25_of_each_in_slices(spark, monkeypatch):
     monkeypatch.setattr(search, "CELLS", 4)
     monkeypatch.setattr(search, "MET", 2)
     assert run() == whole and {(r["query"], r["doc"]) for r in whole} == {(1, 1), (1, 5), (1, 7), (2, 1), (2, 2), (2, 4), (2, 5), (2, 7), (2, 8)}
+
+
+def test_report_checks_send_no_side_whole(spark):
+    reports = spark.createDataFrame([(k, "# Question\n\nA [^a].\n\n[^a]: x") for k in range(50)], "report_id long, text string")
+    notes = spark.createDataFrame([(k, "a", f"e{k}") for k in range(50)], "report_id long, key string, evidence_id string")
+    records = spark.createDataFrame([(f"e{k}", "none", False, "fulltext", "include") for k in range(50)], "evidence_id string, retraction_status string, is_preprint boolean, ft_status string, decision string")
+    scratch = Scratch(spark, "test-reports")
+    found = sections.findings(reports, notes, records, scratch)
+    for df in (found, sections.report_status(reports, found)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    scratch.close()
