@@ -59,6 +59,13 @@ def test_semantic_scores_in_tiles(monkeypatch):
     assert len(tiled) == 15 and pa.Table.from_batches(tiled).to_pylist() == whole
 
 
+def test_primary_identifier_with_ties_and_unknown_times(spark):
+    x = [(1, "doi", v, False, None if v == 2 else "2020", 7) for v in (9, 2, 5)] + [(2, "doi", 4, True, None, 1), (2, "doi", 3, False, "2000", 1)]
+    df = spark.createDataFrame(x, "paper_id int, scheme string, value int, is_primary boolean, created_at string, id int")
+    for part in (df, df.orderBy(F.desc("value")).coalesce(1)):
+        assert rows(entities.primary_identifiers(part), "paper_id", "value") == [(1, 5), (2, 4)]
+
+
 def test_report_checks_send_no_side_whole(spark):
     reports = spark.createDataFrame([(k, "# Question\n\nA [^a].\n\n[^a]: x") for k in range(50)], "report_id long, text string")
     notes = spark.createDataFrame([(k, "a", f"e{k}") for k in range(50)], "report_id long, key string, evidence_id string")
