@@ -59,6 +59,27 @@ def test_semantic_scores_in_tiles(monkeypatch):
     assert len(tiled) == 15 and pa.Table.from_batches(tiled).to_pylist() == whole
 
 
+def test_inbox_with_words_that_all_titles_have(spark):
+    """Against every pair that shares a long word; titles that share words with all pages meet only the pages that have them."""
+    r = random.Random(2)
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(14))
+    titles = [f"observations {name()} revisited" for _ in range(40)] + [None, "short one", "a b c d e f g h i j k l m n o", "Observations"]
+    pages = [f"Vol 3. {t.upper()}. By someone" for t in titles[:30]] + [t.replace("o", "0", 1) for t in titles[30:36]] + ["nothing here", None, "", titles[0], "a b c d e f g h i j k l m n o", f"{titles[1]} and {titles[2]}"]
+    files = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "file_id long, page string")
+    wanted = spark.createDataFrame([(f"e{k}", None, t) for k, t in enumerate([*titles, titles[3]])], "evidence_id string, doi string, title string")
+    norm = lambda s: " ".join("".join(c if c.isalnum() else " " for c in (s or "").lower()).split())
+    want = []
+    for k, p in enumerate(pages):
+        met = []
+        for j, t in enumerate([*titles, titles[3]]):
+            a, b = norm(t), norm(p)
+            if len(a) >= entities.LEAST_TITLE and {w for w in a.split() if len(w) >= 6} & set(b.split()) and (score := T.title_on_page(a, b)) >= 0.85:
+                met.append((score, f"e{j}"))
+        want.append((k, "title" if met else "unmatched", max(met)[1] if met else None, max(met)[0] if met else None))
+    got = entities.match_inbox(files, wanted)
+    assert sorted((x.file_id, x.match, x.evidence_id, x.ratio) for x in got.collect()) == want
+
+
 def test_primary_identifier_with_ties_and_unknown_times(spark):
     x = [(1, "doi", v, False, None if v == 2 else "2020", 7) for v in (9, 2, 5)] + [(2, "doi", 4, True, None, 1), (2, "doi", 3, False, "2000", 1)]
     df = spark.createDataFrame(x, "paper_id int, scheme string, value int, is_primary boolean, created_at string, id int")
