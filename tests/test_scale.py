@@ -59,6 +59,15 @@ def test_semantic_scores_in_tiles(monkeypatch):
     assert len(tiled) == 15 and pa.Table.from_batches(tiled).to_pylist() == whole
 
 
+def test_stemmed_terms_leave_in_small_batches(monkeypatch):
+    texts = ["running dogs run"] * 40 + [None, "", "é x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(43)), pa.array(texts)], names=["doc", "text"])
+    whole = pa.Table.from_batches(list(T.counted(iter([batch])))).to_pylist()
+    monkeypatch.setattr(T._some_rows, "__defaults__", (64,))
+    cut = list(T.counted(iter([batch])))
+    assert pa.Table.from_batches(cut).to_pylist() == whole and len(cut) > 5 and max(b.num_rows for b in cut) <= 12
+
+
 def test_inbox_with_words_that_all_titles_have(spark):
     """Against every pair that shares a long word; titles that share words with all pages meet only the pages that have them."""
     r = random.Random(2)
