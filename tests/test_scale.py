@@ -68,6 +68,29 @@ def test_stemmed_terms_leave_in_small_batches(monkeypatch):
     assert pa.Table.from_batches(cut).to_pylist() == whole and len(cut) > 5 and max(b.num_rows for b in cut) <= 12
 
 
+@pytest.mark.parametrize("ratio", [0.93, 0.9])
+def test_similar_candidates_lose_no_pair(spark, ratio):
+    r = random.Random(5)
+    base = ["".join(r.choice("abcde ") for _ in range(r.randrange(1, 60))) for _ in range(60)]
+    near = []
+    for s in base:
+        for _ in range(3):
+            c = list(s)
+            for _ in range(r.randrange(5)):
+                c[r.randrange(len(c)) : r.randrange(len(c) + 1)] = r.choice(["", "x", "ab"]) if r.random() < 0.3 else c[:0] or ["y"]
+                c = c or ["z"]
+            near.append("".join(c))
+            k = r.randrange(len(s))
+            near += [s[:k] + s[k + 1 :] or "q", s[:k] + "w" + s[k:]]
+    names = sorted(set(base + near))
+    df = spark.createDataFrame([(s,) for s in names], "t string")
+    want = {(p, q) for p, q in itertools.permutations(names, 2) if SequenceMatcher(None, p, q, autojunk=False).ratio() >= ratio}
+    got = entities.similar_candidates(df, df.withColumnRenamed("t", "u"), "t", "u", ratio)
+    assert len(want) > 100 and want <= {(x.t, x.u) for x in got.collect()}
+    kept = got.filter(T.ratio_from(F.col("t"), F.col("u"), ratio, autojunk=False) >= ratio)
+    assert {(x.t, x.u) for x in kept.collect()} == want
+
+
 def test_inbox_with_words_that_all_titles_have(spark):
     """Against every pair that shares a long word; titles that share words with all pages meet only the pages that have them."""
     r = random.Random(2)
