@@ -96,13 +96,20 @@ def import_attachments(incoming: DataFrame, assets: DataFrame) -> tuple[DataFram
     return fresh.select("sha256", F.length("content").alias("size")), named.select("paper_id", "sha256", "role")
 
 
+#: Rows that a task of a replacement sorts, about.
+ROWS_A_TASK = 1_000_000
+
+
 def replace_rows(stored: DataFrame, new: DataFrame, *scope: str) -> DataFrame:
     """Table after replacing all rows of the scopes that ``new`` has rows of."""
-    return stored.join(new.select(*scope).distinct(), list(scope), "left_anti").unionByName(new.select(*stored.columns))
+    return delete_rows(stored, new, *scope).unionByName(new.select(*stored.columns))
 
 
 def delete_rows(stored: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
-    return stored.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+    """Table without the rows of the keys that ``gone`` has. Both sides are dealt out by their rows: packed keys make a
+    partition's bytes few, however many rows a task would sort."""
+    parts = max(1, -(-max(stored.count(), gone.count()) // ROWS_A_TASK))
+    return stored.repartition(parts, *keys).join(gone.select(*keys).repartition(parts, *keys), list(keys), "left_anti")
 
 
 def figures_of(figures: DataFrame, **where) -> DataFrame:  # noqa: ANN003

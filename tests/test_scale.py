@@ -128,3 +128,13 @@ def test_report_checks_send_no_side_whole(spark):
     for df in (found, sections.report_status(reports, found)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     scratch.close()
+
+
+def test_replaced_rows_are_dealt_out_by_their_number(spark, monkeypatch):
+    stored = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("v"))
+    new = spark.createDataFrame([(3, -1), (3, -2), (500, -3)], "k long, v long")
+    want = sorted([(r.k, r.v) for r in stored.collect() if r.k != 3] + [(3, -1), (3, -2), (500, -3)])
+    assert rows(organisation.replace_rows(stored, new, "k"), "k", "v") == want
+    monkeypatch.setattr(organisation, "ROWS_A_TASK", 50)
+    out = organisation.delete_rows(stored, new, "k")
+    assert out.rdd.getNumPartitions() == 20 and out.count() == 990
