@@ -119,6 +119,15 @@ def test_primary_identifier_with_ties_and_unknown_times(spark):
         assert rows(entities.primary_identifiers(part), "paper_id", "value") == [(1, 5), (2, 4)]
 
 
+def test_lines_of_a_long_page(monkeypatch):
+    """A word is compared with lines that it can still join, not with all above it."""
+    n = 3000
+    words = pd.DataFrame({"page_id": "p", "page_width": 600.0, "text": "w", "x0": 1.0, "y0": [12.0 * k for k in range(n)], "x1": 40.0, "y1": [12.0 * k + 10 for k in range(n)]})
+    seen = itertools.count()
+    monkeypatch.setattr(figures, "reversed", lambda x: (next(seen) and v for v in ()) if False else iter([(next(seen), v)[1] for v in x][::-1]), raising=False)
+    assert len(figures.lines_of(words)) == n and next(seen) < 3 * n
+
+
 def test_report_checks_send_no_side_whole(spark):
     reports = spark.createDataFrame([(k, "# Question\n\nA [^a].\n\n[^a]: x") for k in range(50)], "report_id long, text string")
     notes = spark.createDataFrame([(k, "a", f"e{k}") for k in range(50)], "report_id long, key string, evidence_id string")
