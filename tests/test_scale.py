@@ -147,3 +147,35 @@ def test_replaced_rows_are_dealt_out_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(organisation, "ROWS_A_TASK", 50)
     out = organisation.delete_rows(stored, new, "k")
     assert out.rdd.getNumPartitions() == 20 and out.count() == 990
+
+
+def test_dedupe_links_near_copies_without_their_pairs(spark, tmp_path):
+    """The groups of all accepted pairs, for titles with and without guards; near copies have a link each, not a square of pairs."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    base = [" ".join(word() for _ in range(r.randrange(2, 11))) for _ in range(25)] + ["ab", "x" * 90, "é" * 70]
+    titles = list(base)
+    for t in base:
+        for _ in range(4):
+            c = list(t)
+            for _ in range(r.randrange(4)):
+                c[r.randrange(len(c))] = r.choice(["", "q", "zz", "\U0001d4d0"])
+            titles.append("".join(c))
+    near = ["a study of near copies and what they are called " + x + y for x in "abcdefgh" for y in "abcdefgh"]
+    rows_ = [(f"url:{k}", k, None, r.choice([None, None, "10.1/a", "10.1/b"]), t, r.choice([None, "2000", "2001"]), r.random() < 0.2) for k, t in enumerate(titles)]
+    rows_ += [(f"url:{k + 1000}", k + 1000, None, None, t, None, False) for k, t in enumerate(near)]
+    df = spark.createDataFrame(rows_, "evidence_id string, position long, pmid string, doi string, title string, publication_date string, is_preprint boolean")
+    scratch = Scratch(spark, "test-links")
+    own, classes = entities._titled(df, scratch)
+
+    def groups(links):
+        group = {x[1]: x[1] for x in rows_}
+        for a, b in links:
+            group = {k: group[a] if g == group[b] else g for k, g in group.items()}
+        return {frozenset(k for k in group if group[k] == g) for g in set(group.values())}
+
+    pairs = entities._pairs(own, classes, entities.TITLE_MATCH).filter("refused is null").select("x.position", "y.position").collect()
+    links = entities.duplicate_links(own, classes, scratch).collect()
+    assert groups(links) == groups(pairs) and max(map(len, groups(pairs))) >= 64
+    assert len({tuple(x) for x in links if min(x) >= 1000}) < 3 * 64 < len([x for x in pairs if min(x) >= 1000])
+    scratch.close()
