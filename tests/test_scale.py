@@ -179,3 +179,16 @@ def test_dedupe_links_near_copies_without_their_pairs(spark, tmp_path):
     assert groups(links) == groups(pairs) and max(map(len, groups(pairs))) >= 64
     assert len({tuple(x) for x in links if min(x) >= 1000}) < 3 * 64 < len([x for x in pairs if min(x) >= 1000])
     scratch.close()
+
+
+def test_titles_that_the_library_has_whole_are_compared_with_no_other(spark, monkeypatch):
+    known = ["a first title of some length", "a first title of some lengths", "another title that is long enough", "short"]
+    none = F.lit(None).cast("string")
+    ids = [none.alias(c) for c in ("sha256", "doi", "pmid", "pmcid")]
+    library = spark.createDataFrame([(k, 9 - k, t) for k, t in enumerate([*known, known[0]])], "entry_id int, position int, title string").select("*", *ids)
+    ask = lambda *titles: spark.createDataFrame(list(enumerate(titles)), "probe_id int, title string").select("*", *ids)
+    near = entities.fuzzy_lookup(ask(known[0].upper(), "a first title of some lengthz", "short"), library)
+    assert rows(near, "probe_id", "entry_id", "prec") == [(0, 4, 4), (1, 4, 4)]
+    monkeypatch.setattr(entities, "similar_candidates", None)
+    whole = entities.fuzzy_lookup(ask(known[0].upper(), known[2], "short"), library)
+    assert rows(whole, "probe_id", "entry_id", "ratio") == [(0, 4, 1.0), (1, 2, 1.0)]
