@@ -192,3 +192,12 @@ def test_titles_that_the_library_has_whole_are_compared_with_no_other(spark, mon
     monkeypatch.setattr(entities, "similar_candidates", None)
     whole = entities.fuzzy_lookup(ask(known[0].upper(), known[2], "short"), library)
     assert rows(whole, "probe_id", "entry_id", "ratio") == [(0, 4, 1.0), (1, 2, 1.0)]
+
+
+def test_inbox_sends_no_side_whole(spark):
+    """Neither as planned from the sizes of files nor as run."""
+    files = spark.createDataFrame([(k, f"10.1000/x{k}." if k % 2 else f"a certain title on page {k}") for k in range(20)], "file_id long, page string")
+    wanted = spark.createDataFrame([(f"e{k}", f"10.1000/x{k}", f"a certain title on page {k}") for k in range(20)], "evidence_id string, doi string, title string")
+    got = entities.match_inbox(files, wanted)
+    assert {(x.file_id, x.evidence_id) for x in got.collect()} == {(k, f"e{k}") for k in range(20)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
